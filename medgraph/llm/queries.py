@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import exact, packing, sharding, simhash, tokens
 
 
 def vocabulary() -> str:
@@ -23,6 +23,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op6_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_documents(spark, sf_dir), vocabulary())
 
@@ -31,5 +35,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_words, op8_packing)}
-ORACLES: dict[str, str] = {}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_bpe_words, op8_packing, op9_sharding, op10_simhash)}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
+}
