@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, sharding, simhash, tokens
+from . import exact, packing, sharding, simhash, suffix, tokens
 
 
 def vocabulary() -> str:
@@ -27,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(_documents(spark, sf_dir))
+
+
 def op6_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_documents(spark, sf_dir), vocabulary())
 
@@ -43,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_bpe_words, op8_packing, op9_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_suffix_dedup, op6_bpe_words, op8_packing, op9_sharding, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
