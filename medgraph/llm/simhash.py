@@ -32,9 +32,15 @@ BROADCAST_BYTES = 4 << 20
 _HASHES = 200_000
 
 
-def _fingerprints(words_per_shingle: int):
+#: Fixed value: bytes that may stand around a word.
+_PUNCTUATION = b".,;:!?\"'()[]"
+
+
+def _fingerprints(words_per_shingle: int, distinct: bool = False):
     def hashes(text: bytes) -> np.ndarray:
         ws = text.lower().split()
+        if distinct:
+            ws = sorted({w.strip(_PUNCTUATION) or w for w in ws})
         if not ws:
             return np.zeros(0, dtype=np.uint64)
         n = max(1, len(ws) - words_per_shingle + 1)
@@ -58,9 +64,10 @@ def _fingerprints(words_per_shingle: int):
     return fingerprint
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash over shingles of lower-cased (A-Z) words; texts without words have 0."""
-    return clean_docs(docs).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp): 64-bit SimHash over shingles of lower-cased (A-Z) words; texts without words have 0. ``distinct``:
+    over the text's distinct words, bare of punctuation, each once."""
+    return clean_docs(docs).mapInArrow(_fingerprints(1 if distinct else shingle, distinct), "doc_id long, fp long")
 
 
 def _groups(free: int, n: int) -> list[int]:
@@ -178,7 +185,7 @@ def links(fps: DataFrame, radius: int = RADIUS, limit: int = TREE_NODES) -> Data
     return shards.join(side, ["mask", "value"]).select("fp", "tree").mapInPandas(_search(radius), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = TREE_NODES) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = TREE_NODES, distinct: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that is
     reachable over links of at most ``radius`` differing bits.
 
@@ -186,7 +193,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, l
     than a shingle is one shingle. Null ids count for no component_id, which is null where a group has no other.
     Repeated rows repeat. An empty table gives none.
     """
-    fps = saved(fingerprints(docs, shingle), "fingerprints")
+    fps = saved(fingerprints(docs, shingle, distinct), "fingerprints")
     roots = components(links(fps, radius, limit)).withColumnRenamed("node", "fp")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     group = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -195,8 +202,17 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, l
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id. Rows whose id is null stay."""
-    found = near_groups(docs, shingle, radius)
+#: For whole corpora: a copy with few words changed keeps its set of words nearly whole, so its fingerprint over them
+#: lies within these bits, while shingles of several words move far more bits for each changed word.
+WORD_SET_RADIUS = 3
+
+
+def drop_near_copies(docs: DataFrame, radius: int = WORD_SET_RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of near copies, by fingerprints over word sets: the smallest doc_id.
+
+    Rows whose id is null stay, and so do texts without words, which are no copies of each other's content. A text
+    whose only words are punctuation counts them as words.
+    """
+    found = near_groups(docs.filter(F.col("text").rlike("[^ \\t-\\r]")), radius=radius, distinct=True)
     drop = found.filter("doc_id > component_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
