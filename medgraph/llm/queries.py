@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, quality, sharding, simhash, suffix, tokens, toxicity
+from . import exact, lines, packing, quality, sharding, simhash, suffix, tokens, toxicity
 
 
 def vocabulary() -> str:
@@ -35,6 +35,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -59,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_exact_dedup, op5_suffix_dedup, op6_bpe_words, op8_packing, op9_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_fuzzy_lines, op4_exact_dedup, op5_suffix_dedup, op6_bpe_words, op8_packing, op9_sharding, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
