@@ -2,10 +2,9 @@
 
 Every text has a 64-bit hash. The directory looks at the first bits of a hash; a bucket that holds more entries than
 its capacity is split in two by one more bit, and the directory doubles when a bucket needs more bits than it has. The
-index is written to the shared folder, range-partitioned by bucket, so each owner task has a range of keys. A key whose
-hash occurs once is settled by the index alone; only texts of other keys travel, grouped by their bytes (combined
-before the shuffle, so a huge group of copies sends one row per task), and texts that share a hash but not their bytes
-stand in the key's chain as entries of their own.
+index is written to the shared folder, range-partitioned by bucket, so each owner task has a range of keys. Texts meet
+under their hash and are compared by their bytes, combined before the shuffle, so a huge group of copies sends one row
+per task; texts that share a hash but not their bytes stand in the key's chain as entries of their own.
 """
 
 from __future__ import annotations
@@ -66,31 +65,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return clean_docs(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index as a written table: (bucket, depth, hash, rows), one row per key, in key order."""
-    entries = saved(_keyed(docs).groupBy("hash").agg(F.count("*").alias("rows")), "index-entries")
+def _directory(entries: DataFrame, capacity: int) -> DataFrame:
+    """(place, bucket, depth) for every place of the directory; its 2**MAX_DEPTH counts at most reach the driver."""
     cell = F.shiftrightunsigned("hash", 64 - MAX_DEPTH).cast("int")
     counts = {r["cell"]: r["n"] for r in entries.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
     directory = Directory(counts, capacity)
-    table = docs.sparkSession.createDataFrame(directory.places(), "place int, bucket int, depth int")
-    place = F.shiftrightunsigned("hash", 64 - directory.depth).cast("int")
-    return saved(entries.withColumn("place", place).join(F.broadcast(table), "place").select("bucket", "depth", "hash", "rows").repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash"), "index")
+    rows = [(place << (MAX_DEPTH - directory.depth) | low, bucket, depth) for place, bucket, depth in directory.places() for low in range(1 << (MAX_DEPTH - directory.depth))]
+    return entries.sparkSession.createDataFrame(rows, "cell int, bucket int, depth int")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The index as a written table, one row per distinct text: (bucket, depth, hash, chain, text_sha256, group_size,
+    keep_id), in key order. Texts are compared by their bytes; ``chain`` numbers those that share a hash."""
+    texts = _keyed(docs).groupBy("hash", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    entries = saved(texts.select("hash", sha.alias("text_sha256"), "group_size", "keep_id"), "index-entries")
+    chain = F.row_number().over(Window.partitionBy("hash").orderBy("text_sha256"))
+    cell = F.shiftrightunsigned("hash", 64 - MAX_DEPTH).cast("int")
+    placed = entries.withColumn("chain", chain).withColumn("cell", cell).join(F.broadcast(_directory(entries, capacity)), "cell")
+    return saved(placed.select("bucket", "depth", "hash", "chain", "text_sha256", "group_size", "keep_id").repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash", "chain"), "index")
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and the index's bucket and chain.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its place in the key's chain.
 
     Texts are equal when identical; null counts as empty. Of equal texts the largest doc_id stays; null ids never win
     against another id. Rows that repeat both doc_id and text are one record: they carry the same ``kept``. Empty
     tables give no rows. Other columns of ``docs``, whatever their names, are not read.
     """
-    keyed = _keyed(docs)
-    index = build_index(docs, capacity)
-    shared = index.filter("rows > 1").select("hash", "bucket")
-    pages = keyed.join(shared, "hash").groupBy("bucket", "hash", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    chained = pages.select("bucket", "hash", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "group_size", "keep_id", F.row_number().over(Window.partitionBy("hash").orderBy("text")).alias("chain"))
-    owned = saved(chained.repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash", "chain"), "index-chains")
-    rows = keyed.drop("text").join(owned, ["hash", "text_sha256"], "left")
+    groups = build_index(docs, capacity).filter("group_size > 1 OR chain > 1").select("hash", "text_sha256", "group_size", "keep_id", "chain")
+    rows = _keyed(docs).drop("text").join(groups, ["hash", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", F.coalesce("chain", F.lit(1)).alias("chain"))
 
