@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, packing, quality, sharding, simhash, suffix, tokens, toxicity
+from . import exact, lines, lm, packing, quality, sharding, simhash, suffix, tokens, toxicity
 
 
 def vocabulary() -> str:
@@ -51,6 +51,10 @@ def op6_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_documents(spark, sf_dir), vocabulary())
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), vocabulary())
 
@@ -63,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_fuzzy_lines, op4_exact_dedup, op5_suffix_dedup, op6_bpe_words, op8_packing, op9_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_fuzzy_lines, op4_exact_dedup, op5_suffix_dedup, op6_bpe_words, op7_pitman_yor, op8_packing, op9_sharding, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
