@@ -89,7 +89,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     slot and doc_id. Null and empty texts have size 1. Repeated rows, and rows without an id, are rows like any other.
     ``grown_shard`` is null, as the law asks; ``edit_map`` grows a map. An empty table gives no rows.
     """
-    rows = saved(slotted(records(docs), slots), "slotted")
+    rows = saved(slotted(saved(records(docs), "records"), slots), "slotted")  # texts are read once
     sizes = slot_bytes(rows, slots)
     shard_of = store_map(docs.sparkSession, 1, first_map(sizes, shards), sizes)
     counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(shard_of), "virtual_slot")
