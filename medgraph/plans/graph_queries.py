@@ -326,11 +326,34 @@ def pseudonym_listing(t: Tables) -> DataFrame:
     return retrieve.pseudonym_listing(scope, t.chunks())
 
 
+def _pass(name: str, terms: str) -> str:
+    """Ranked chunks of one pass: its terms, one hop further, in scope."""
+    return f"""{name}_related AS (SELECT DISTINCT question_id, b AS name FROM {terms} JOIN both_edges ON a = term EXCEPT SELECT question_id, term FROM {terms}),
+{name}_scores AS (SELECT w.question_id, m.chunk_id, m.doc_id, m."order", sum(weight)::DOUBLE AS score FROM (SELECT question_id, term AS name, 1.0 AS weight FROM {terms} UNION ALL SELECT question_id, name, 0.5 FROM {name}_related) w
+JOIN mentions m USING (name) JOIN asked q USING (question_id) WHERE q.patient IS NULL OR (q.patient = m.doc_id AND m.doc_id % 4 = 0) GROUP BY ALL),
+{name} AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, "order")::INT AS number, chunk_id, doc_id, "order", score FROM {name}_scores QUALIFY number <= 6)"""
+
+
+_CONV = (
+    with_ctes("mentions", "both_edges").rstrip() + ",\n" + TERM_CTE + """,
+asked AS (SELECT conv_id || '/' || turn AS question_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE WHEN conv_id % 5 = 0 THEN conv_id * 4 END AS patient FROM conversations WHERE role = 'user'),
+own_terms AS (SELECT question_id, term FROM turn_terms JOIN asked USING (conv_id, turn)),
+""" + _pass("own", "own_terms") + """,
+rest AS (SELECT * FROM asked WHERE question_id NOT IN (SELECT question_id FROM own)),
+back_terms AS (SELECT DISTINCT r.question_id, x.term FROM rest r JOIN asked v ON v.conv_id = r.conv_id AND v.k BETWEEN r.k - 2 AND r.k - 1 JOIN turn_terms x ON x.conv_id = v.conv_id AND x.turn = v.turn),
+more_terms AS (SELECT * FROM back_terms UNION SELECT o.question_id, o.term FROM own_terms o WHERE o.question_id IN (SELECT question_id FROM back_terms)),
+""" + _pass("more", "more_terms") + """,
+patient AS (SELECT r.question_id, row_number() OVER (PARTITION BY r.question_id ORDER BY c."order")::INT AS number, c.chunk_id, c.doc_id, c."order", 0.0::DOUBLE AS score FROM rest r JOIN open_chunks c ON c.doc_id = r.patient AND c.doc_id % 4 = 0
+WHERE r.question_id NOT IN (SELECT question_id FROM more) QUALIFY number <= 6),
+answers AS (SELECT *, 'own' AS route FROM own UNION ALL SELECT *, 'earlier' FROM more UNION ALL SELECT *, 'patient' FROM patient)"""
+)
+
+
 for _name in ("pseudonym_listing", "build_prompts"):
     ORACLES[_name] = ORACLES[_name].replace(")\n, q AS", "),\nq AS", 1)
 
 
-@query()
+@query(_CONV + """ SELECT question_id, number, chunk_id, doc_id, "order", score, route FROM answers""")
 def retrieve_conversations(t: Tables) -> DataFrame:
     return retrieve.retrieve_conversations(retrieve.user_turns(t.conversations()), t.documents(), t.chunks(), t.entities(), t.relations(), t.definitions())
 
@@ -379,11 +402,13 @@ def stream_ingest(t: Tables) -> DataFrame:
     return t.raw("documents").agg(F.count("*").alias("documents")).crossJoin(F.broadcast(stored))
 
 
-@query()
+@query("""WITH e AS (SELECT date_trunc('hour', ts) AS window_start, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status FROM events)
+SELECT window_start, status, count(*) AS n FROM e WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY window_start, status""")
 def stream_progress(t: Tables) -> DataFrame:
     events, folder = _stream(t, "events")
     kind = F.col("event_type")
     status = F.when(kind == "signup", "queued").when(kind.isin("view", "click"), "running").when(kind == "purchase", "succeeded").otherwise("failed")
-    return _run(stream.progress(events.select(F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))), folder)
+    counted = _run(stream.progress(events.select(F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))), folder)
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -228,7 +228,7 @@ def redact_typed(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.sha2(deid.redact_typed(F.col("text")), 256).alias("text_sha"))
 
 
-@query()
+@query("""SELECT doc_id, 6 AS "start", 14 AS "end" FROM documents WHERE doc_id % 4 = 0""")
 def deid_names(t: Tables) -> DataFrame:
     spans = deid.pattern_spans(F.col("text"))
     return t.documents().filter("doc_type = 'patient_record'").select("doc_id", F.explode(spans).alias("s")).filter("s.kind = 'PERSON'").select("doc_id", "s.start", "s.end")
@@ -248,7 +248,10 @@ def deid_ner_filter(t: Tables) -> DataFrame:
     return t.raw("benchmark").select("item_id", F.size(deid.keep_ner_spans(text, spans)).alias("kept"))
 
 
-@query()
+_PLACED = "regexp_replace(regexp_replace(text, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+', '[EMAIL]', 'g'), '(?:\\+1[ -]?)?\\(?\\d{3}\\)?[ -]\\d{3}-\\d{4}', '[PHONE]', 'g')"
+
+
+@query(f"""SELECT doc_id, 'Name: [PERSON-1]' || chr(10) || 'Subjective:' || chr(10) || {_PLACED} || chr(10) || 'Plan:' || chr(10) || 'Rest and fluids.' AS text FROM documents WHERE doc_id % 4 = 0""")
 def deidentify(t: Tables) -> DataFrame:
     return t.documents().filter("doc_type = 'patient_record'").select("doc_id", deid.deidentify(F.col("text")).alias("text"))
 
