@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +119,22 @@ def user_turns(conversations: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), "conv_id", "turn", "question", "terms", earlier.alias("earlier_terms"), pseudonyms.alias("pseudonyms"))
 
 
-def retrieve_conversations(turns: DataFrame, docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, definitions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Own terms first; unanswered turns again with earlier terms; then a named patient's records."""
-    scope = pseudonym_scope(turns, docs)
-    own = turns.select("question_id", F.explode("terms").alias("term")).distinct()
-    first = search(own, chunks, entities, relations, definitions, scope, k).withColumn("route", F.lit("own"))
-    answered = first.select("question_id").distinct()
-    rest = turns.join(answered, "question_id", "left_anti")
+def retrieve_conversations(turns: DataFrame, docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, definitions: DataFrame, k: int = TOP_K, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Own terms first; unanswered turns again with earlier terms; then a named patient's records.
+
+    ``cut`` is put on what several passes read (a writer of tables there spares each pass the plans before it).
+    """
+    turns = cut(turns)
+    scope, mentioned, edges = pseudonym_scope(turns, docs), cut(mentions(chunks, entities)), cut(name_edges(entities, relations))
+
+    def run(terms: DataFrame, route: str) -> DataFrame:
+        direct = direct_names(terms, entities, definitions)
+        return cut(top_k(chunk_scores(direct, related_names(direct, edges), mentioned, scope), k).withColumn("route", F.lit(route)))
+
+    first = run(turns.select("question_id", F.explode("terms").alias("term")).distinct(), "own")
+    rest = turns.join(first.select("question_id").distinct(), "question_id", "left_anti")
     more = rest.filter(F.size("earlier_terms") > 0).select("question_id", F.explode(F.array_union("terms", "earlier_terms")).alias("term")).distinct()
-    second = search(more, chunks, entities, relations, definitions, scope, k).withColumn("route", F.lit("earlier"))
+    second = run(more, "earlier")
     left = rest.select("question_id").join(second.select("question_id").distinct(), "question_id", "left_anti")
     third = pseudonym_listing(scope.join(left, "question_id", "left_semi"), chunks, k).withColumn("route", F.lit("patient"))
     return first.unionByName(second).unionByName(third)

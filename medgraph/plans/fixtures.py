@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
 from ..operators import chunk, extract
+from ..sources.scratch import stored
 
 HEAD, TAIL = "Subjective:\n", "\nPlan:\nRest and fluids."
 
@@ -16,6 +17,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """A derived table that a query reads several times, written once: what a user's graph store would hold."""
+        if name not in self._stored:
+            self._stored[name] = stored(getattr(self, name)())
+        return self._stored[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -59,10 +67,10 @@ class Tables:
         return pairs.distinct()
 
     def entities(self) -> DataFrame:
-        return extract.dictionary_entities(self.chunks(), self.dictionary(), 2)
+        return extract.dictionary_entities(self._stored.get("chunks", self.chunks()), self.dictionary(), 2)
 
     def relations(self) -> DataFrame:
-        return extract.rule_relations(self.entities(), self.rules())
+        return extract.rule_relations(self._stored.get("entities", self.entities()), self.rules())
 
     def questions(self) -> DataFrame:
         return self.raw("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extract, graph, retrieve
+from ..sources.scratch import shared_dir, stored
 from ..streaming import ingest as stream
 from .fixtures import Tables, with_ctes
 from .text_queries import TERM_CTE
@@ -121,14 +122,14 @@ def extract_batch(t: Tables) -> DataFrame:
 (SELECT count(*) FROM entities x JOIN definitions d ON x.normalized_name = d.normalized_term WHERE x.doc_id = s.doc_id) AS definitions_matched,
 (SELECT count(*) FROM entities x WHERE x.doc_id = s.doc_id AND x.normalized_name NOT IN (SELECT normalized_term FROM definitions)) AS definitions_missing FROM src s""")
 def ingest_stats(t: Tables) -> DataFrame:
-    return graph.ingest_stats(t.documents(), t.chunks(), t.entities(), t.relations(), t.definitions())
+    return graph.ingest_stats(t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.definitions())
 
 
 @query(with_ctes("chunks", "entities", "relations", "definitions") + """, e AS (SELECT chunk_id, count(*) AS entities, count(DISTINCT CASE WHEN normalized_name IN (SELECT normalized_term FROM definitions) THEN entity_id END) AS defined FROM entities GROUP BY 1),
 r AS (SELECT chunk_id, count(DISTINCT (source_id, target_id, relation_type)) AS relations FROM relations GROUP BY 1)
 SELECT c.chunk_id, c.doc_id, c."order", coalesce(entities, 0) AS entities, coalesce(relations, 0) AS relations, coalesce(defined, 0) AS defined FROM chunks c LEFT JOIN e USING (chunk_id) LEFT JOIN r USING (chunk_id)""".replace(", e AS", ", e AS", 1))
 def chunk_stats(t: Tables) -> DataFrame:
-    return graph.chunk_stats(t.chunks(), t.entities(), t.relations(), t.definitions())
+    return graph.chunk_stats(t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.definitions())
 
 
 ORACLES["chunk_stats"] = ORACLES["chunk_stats"].replace(")\n, e AS", "),\ne AS", 1)
@@ -144,7 +145,7 @@ def stats_or_recount(t: Tables) -> DataFrame:
 @query(with_ctes("chunks", "entities", "definitions", "src") + """SELECT s.doc_id, filename, doc_type, c.chunk_id, c."order", c.text, e.entity_id, e.name, e.entity_type, e.normalized_name, d.definition_text
 FROM src s JOIN chunks c ON c.doc_id = s.doc_id LEFT JOIN entities e ON e.chunk_id = c.chunk_id LEFT JOIN definitions d ON d.normalized_term = e.normalized_name""")
 def document_graph(t: Tables) -> DataFrame:
-    return graph.document_graph(t.documents(), t.chunks(), t.entities(), t.definitions())
+    return graph.document_graph(t.documents(), t.stored("chunks"), t.stored("entities"), t.definitions())
 
 
 @query(with_ctes("src") + "SELECT doc_id, filename, doc_type, ingested_at, CASE WHEN ingestion_complete = false THEN 'incomplete' ELSE 'complete' END AS status FROM src ORDER BY ingested_at DESC LIMIT 50")
@@ -208,7 +209,7 @@ def delete_documents(t: Tables) -> DataFrame:
 
 @query(with_ctes("relations") + """, dead AS (SELECT entity_id FROM entities WHERE "order" % 2 = 1) SELECT source_id, target_id, relation_type FROM relations WHERE source_id NOT IN (SELECT * FROM dead) AND target_id NOT IN (SELECT * FROM dead)""")
 def delete_chunks(t: Tables) -> DataFrame:
-    return graph.delete_chunks(t.chunks().filter("`order` % 2 = 1"), t.chunks(), t.entities(), t.relations())[2].select("source_id", "target_id", "relation_type")
+    return graph.delete_chunks(t.stored("chunks").filter("`order` % 2 = 1"), t.stored("chunks"), t.stored("entities"), t.stored("relations"))[2].select("source_id", "target_id", "relation_type")
 
 
 ORACLES["delete_chunks"] = ORACLES["delete_chunks"].replace(")\n, dead AS", "),\ndead AS", 1)
@@ -248,25 +249,25 @@ def direct_names(t: Tables) -> DataFrame:
 
 @query(_SEARCH + " SELECT question_id, name FROM related")
 def related_names(t: Tables) -> DataFrame:
-    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.entities(), t.definitions())
-    return retrieve.related_names(direct, retrieve.name_edges(t.entities(), t.relations()))
+    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.stored("entities"), t.definitions())
+    return retrieve.related_names(direct, retrieve.name_edges(t.stored("entities"), t.stored("relations")))
 
 
 @query(_SEARCH + """ SELECT question_id, chunk_id, doc_id, "order", count(*) AS hits FROM direct JOIN mentions USING (name) GROUP BY ALL""")
 def mention_counts(t: Tables) -> DataFrame:
-    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.entities(), t.definitions())
-    return retrieve.mention_counts(direct, retrieve.mentions(t.chunks(), t.entities()))
+    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.stored("entities"), t.definitions())
+    return retrieve.mention_counts(direct, retrieve.mentions(t.stored("chunks"), t.stored("entities")))
 
 
 @query(_SEARCH + " SELECT * FROM scores")
 def chunk_scores(t: Tables) -> DataFrame:
-    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.entities(), t.definitions())
-    related = retrieve.related_names(direct, retrieve.name_edges(t.entities(), t.relations()))
-    return retrieve.chunk_scores(direct, related, retrieve.mentions(t.chunks(), t.entities()))
+    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.stored("entities"), t.definitions())
+    related = retrieve.related_names(direct, retrieve.name_edges(t.stored("entities"), t.stored("relations")))
+    return retrieve.chunk_scores(direct, related, retrieve.mentions(t.stored("chunks"), t.stored("entities")))
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return retrieve.search(retrieve.terms_of(t.questions()), t.chunks(), t.entities(), t.relations(), t.definitions())
+    return retrieve.search(retrieve.terms_of(t.questions()), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.definitions())
 
 
 @query(_SEARCH + " SELECT * FROM ranked")
@@ -276,14 +277,14 @@ def search_topk(t: Tables) -> DataFrame:
 
 @query(_SEARCH + """ SELECT question_id, number, r.chunk_id, r.doc_id, r."order", score, c.text, s.doc_type, CASE WHEN s.doc_type = 'patient_record' THEN 'Patient ' || s.pseudonym ELSE s.filename END AS source_label FROM ranked r JOIN chunks c USING (chunk_id) JOIN src s ON s.doc_id = r.doc_id""")
 def hydrate_chunks(t: Tables) -> DataFrame:
-    return retrieve.hydrate(_ranked(t), t.documents(), t.chunks())
+    return retrieve.hydrate(_ranked(t), t.documents(), t.stored("chunks"))
 
 
 @query(_SEARCH + """, sources AS (SELECT question_id, string_agg('[' || number || '] ' || CASE WHEN s.doc_type = 'patient_record' THEN 'Patient ' || s.pseudonym ELSE s.filename END || chr(10) || CASE WHEN length(c.text) > 2000 THEN substr(c.text, 1, 2000) || ' …' ELSE c.text END, chr(10) || chr(10) ORDER BY number) AS blocks
 FROM ranked r JOIN chunks c USING (chunk_id) JOIN src s ON s.doc_id = r.doc_id GROUP BY question_id)
 SELECT question_id, 'Sources:' || chr(10) || chr(10) || blocks || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM sources JOIN benchmark ON item_id = question_id""")
 def build_prompts(t: Tables) -> DataFrame:
-    return retrieve.build_prompts(t.questions(), retrieve.hydrate(_ranked(t), t.documents(), t.chunks()))
+    return retrieve.build_prompts(t.questions(), retrieve.hydrate(_ranked(t), t.documents(), t.stored("chunks")))
 
 
 @query(_SEARCH + " SELECT question_id, number, chunk_id FROM ranked WHERE number IN (1, 3)")
@@ -355,7 +356,7 @@ for _name in ("pseudonym_listing", "build_prompts"):
 
 @query(_CONV + """ SELECT question_id, number, chunk_id, doc_id, "order", score, route FROM answers""")
 def retrieve_conversations(t: Tables) -> DataFrame:
-    return retrieve.retrieve_conversations(retrieve.user_turns(t.conversations()), t.documents(), t.chunks(), t.entities(), t.relations(), t.definitions())
+    return retrieve.retrieve_conversations(retrieve.user_turns(t.conversations()), t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.definitions(), cut=stored)
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
@@ -369,13 +370,11 @@ def history_messages(t: Tables) -> DataFrame:
 
 def _stream(t: Tables, name: str) -> tuple[DataFrame, str]:
     """The table as a stream, and a fresh folder that driver and executors share."""
-    import tempfile
     import uuid
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="medgraph-stream-")
     path = f"{t.sf_dir}/{name}.parquet*"  # a pattern, since a stream takes a folder but no single file
     schema = t.raw(name).schema
-    return t.spark.readStream.schema(schema).parquet(path), f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return t.spark.readStream.schema(schema).parquet(path), f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _run(stream_df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
