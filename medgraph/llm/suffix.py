@@ -312,11 +312,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFra
     """
 
     def cut(doc_id, text, gone, kept):
-        return doc_id, hashlib.sha256(text).hexdigest(), None if len(kept) == len(text) else kept.decode(errors="ignore")
+        return doc_id, hashlib.sha256(text).hexdigest(), kept.decode(errors="ignore"), len(kept) != len(text)
 
-    changed = _repeats(docs, cut, "doc_id long, _sha string, _kept string", block_bytes).filter("_kept IS NOT NULL").withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_sha"])
+    # texts come from the blocks; the table's other columns join them by id and hash, and no text is shuffled twice
+    texts = _repeats(docs, cut, "doc_id long, _sha string, _kept string, _cut boolean", block_bytes).withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_sha"])
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    joined = docs.withColumn("_row_sha", sha).join(changed, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_row_sha") == F.col("_sha")), "left")
-    text = F.coalesce("_kept", "text")
-    columns = [text.alias(c) if c == "text" else F.coalesce(F.length("_kept").cast("long"), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    rest = docs.withColumn("_row_sha", sha).withColumn("_null", F.col("text").isNull()).drop("text")
+    joined = rest.join(texts, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_row_sha") == F.col("_sha")))
+    text = F.when(~F.col("_null"), F.col("_kept"))
+    count = lambda c: F.when(F.col("_cut"), F.length("_kept").cast("long")).otherwise(F.col(c)).alias(c)
+    return joined.select(*[text.alias(c) if c == "text" else count(c) if c == "n_chars" else F.col(c) for c in docs.columns])
