@@ -13,8 +13,10 @@ the corpus totals come with the answers.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -66,11 +68,11 @@ class Words:
     def __init__(self, block: B.Block, shards: int):
         self.block, self.shards = block, shards
         self.held = [held_out(i) for i in block.id_list()]
-        number: dict[bytes, int] = {}
+        number: dict[bytes, int] = defaultdict(itertools.count().__next__)  # numbered as they appear
         texts = []
         for t in block.texts():
             ws = t.lower().split()
-            texts.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), dtype=np.int64, count=len(ws)))
+            texts.append(np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws)))
         self.words, self.texts = list(number), texts
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.flat = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int64)
@@ -118,30 +120,35 @@ class Words:
         self.train = ~np.array(self.held, dtype=bool)[self.text_of]
 
     def contexts(self) -> None:
-        """Distinct (context, word) of the block, sorted by the context's owner."""
-        known = self.context >= 0
-        pair = (self.context << 32) | np.maximum(self.word, 0)
-        keep = np.flatnonzero(known & (self.word >= 0))
-        keys, back = np.unique(pair[keep], return_inverse=True)
-        self.pair_of = np.full(len(pair), -1)
-        self.pair_count = np.bincount(back[self.train[keep]], minlength=len(keys))
-        seen = np.zeros(len(keys), dtype=np.int64)
-        seen[back] = self.seen[keep]
-        contexts = np.unique(self.context[known])
-        place = np.lexsort((contexts, contexts % self.shards))
-        self.ctx = contexts[place]
-        rank = np.empty(len(contexts), dtype=np.int64)
-        rank[place] = np.arange(len(contexts))
-        key_ctx = rank[np.searchsorted(contexts, keys >> 32)]
-        by = np.lexsort((keys, key_ctx))
-        self.key_ctx, self.key_word = key_ctx[by], (keys & 0xFFFFFFFF)[by]
-        self.pair_count, self.pair_seen = self.pair_count[by], seen[by]
-        inverse = np.empty(len(keys), dtype=np.int64)
-        inverse[by] = np.arange(len(keys))
-        self.pair_of[keep] = inverse[back]
-        self.ctx_of = np.full(len(pair), -1)
-        self.ctx_of[known] = rank[np.searchsorted(contexts, self.context[known])]
-        self.ctx_cuts = np.searchsorted(self.ctx % self.shards, np.arange(self.shards + 1))
+        """Distinct (context, word) of the block by the context's owner, all from one sort: a context's number is put as
+        owner and place there, and a word that training lacks counts as word 0, which asks for the context alone."""
+        width = -(-(1 << 32) // self.shards)
+        known = np.flatnonzero(self.context >= 0)
+        context, word = self.context[known], np.maximum(self.word[known], 0)
+        key = ((context % self.shards * width + context // self.shards) << 32).view(np.uint64) | word.view(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        of_token = np.empty(len(key), dtype=np.int64)
+        of_token[order] = np.cumsum(head) - 1
+        key = key[head]
+        placed = (key >> np.uint64(32)).astype(np.int64)
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = placed[1:] != placed[:-1]
+        ctx_of_key = np.cumsum(first) - 1
+        self.ctx, owner = placed[first] % width, placed[first] // width
+        words = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        real = words > 0
+        self.key_ctx, self.key_word = ctx_of_key[real], words[real]
+        pair_of_key = np.where(real, np.cumsum(real) - 1, -1)
+        self.ctx_of, self.pair_of = np.full(len(self.context), -1), np.full(len(self.context), -1)
+        self.ctx_of[known], self.pair_of[known] = ctx_of_key[of_token], pair_of_key[of_token]
+        inside = self.pair_of >= 0
+        self.pair_count = np.bincount(self.pair_of[inside & self.train], minlength=len(self.key_word))
+        self.pair_seen = np.zeros(len(self.key_word), dtype=np.int64)
+        self.pair_seen[self.pair_of[inside]] = self.seen[inside]
+        self.ctx_cuts = np.searchsorted(owner, np.arange(self.shards + 1))
         self.key_cuts = np.searchsorted(self.key_ctx, self.ctx_cuts)
 
     def context_questions(self):
