@@ -4,7 +4,8 @@ Texts are split into words in Spark; every distinct word goes once to the shard
 once for the whole corpus; ids come back to the blocks and take the words' positions. Decoding joins ids to pieces.
 
 A word is a run without ASCII white space. The vocabulary's own splitter never crosses white space, its normaliser
-maps every character by itself, and special tokens hold no white space, so a text's ids are its words' ids in order.
+(NFC, then lower case) composes no character with white space, and special tokens hold no white space, so a text's ids
+are its words' ids in order.
 """
 
 from __future__ import annotations
@@ -46,9 +47,14 @@ def pieces(vocabulary: str) -> list[str]:
 
 
 def words(text: bytes) -> list[bytes]:
-    """Words of a text. ASCII letters are lowered first, as the vocabulary does, to have fewer distinct words; texts
-    that may spell a special token keep their case, since those are matched before lowering."""
-    return (text if b"<|" in text else text.lower()).split()
+    """Words of a text. Words wholly in ASCII are lowered first, as the vocabulary does, to have fewer distinct words;
+    others keep their case, since a letter and a mark may compose in lower case only. Texts that may spell a special
+    token keep theirs too, since those are matched before lowering."""
+    if b"<|" in text:
+        return text.split()
+    if text.isascii():
+        return text.lower().split()
+    return [w.lower() if w.isascii() else w for w in text.split()]
 
 
 def _by_shard(block: B.Block, shards: int) -> list[list[bytes]]:

@@ -93,3 +93,10 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.token_digests(docs, vocabulary()).count() == 0
     assert packing.pack_documents(docs, vocabulary()).count() == 0
+
+
+def test_marks_that_compose_in_lower_case_only(spark):
+    texts = [(i, f"Some {letter}{mark} and {letter}{mark}ABC") for i, (letter, mark) in enumerate([("J", "\u030c"), ("H", "\u0331"), ("T", "\u0308"), ("W", "\u030a"), ("Y", "\u030a")])]
+    t = tokens.tokenizer(vocabulary())
+    got = tokens.encode(spark.createDataFrame(texts, "doc_id long, text string"), vocabulary()).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == [(i, t.encode(x, add_special_tokens=False).ids) for i, x in texts]
