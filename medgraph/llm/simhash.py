@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .shared import clean_docs, saved
@@ -207,12 +208,81 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, l
 WORD_SET_RADIUS = 3
 
 
+#: Least five-word Jaccard similarity of near copies; MinHash bands, and values of each, that bring candidates together.
+JACCARD = 0.8
+JACCARD_SHINGLE = 5
+BANDS, BAND_VALUES = 20, 5
+#: Documents of one bucket, in order of id, meet so many that follow, and the first.
+FOLLOWING = 3
+
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * BAND_VALUES), dtype=np.uint64, endpoint=False) | np.uint64(1)
+
+
+def _shingles(text: bytes) -> np.ndarray:
+    """Distinct hashes of a text's runs of five lower-cased (A-Z) words; a shorter text is one run."""
+    ws = text.lower().split()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in ws), dtype=np.uint64, count=len(ws))
+    n = max(1, len(h) - JACCARD_SHINGLE + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(min(JACCARD_SHINGLE, len(h))):  # order counts: each place has a step of its own
+        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, bands = [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            h, least = _shingles(text), None
+            for at in range(0, len(h), 2_000):
+                part = h[at : at + 2_000, None] * _MIX[0] + _MIX[1]
+                part = ((part ^ (part >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)).min(axis=0)
+                least = part if least is None else np.minimum(least, part)
+            ids.append(doc_id)
+            bands.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, BAND_VALUES))])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(bands, type=pa.list_(pa.int64()))], names=["doc_id", "bands"])
+
+
+def _alike(similarity: float):
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            keep = []
+            for x, y in zip(s, t, strict=True):
+                x, y = _shingles(x), _shingles(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return alike
+
+
+def near_copy_links(docs: DataFrame, radius: int = WORD_SET_RADIUS, similarity: float = JACCARD) -> DataFrame:
+    """(a, b): doc_ids whose texts have at least this five-word Jaccard similarity, each pair compared.
+
+    Candidates share a group of word-set fingerprints or a MinHash band. Of each such bucket every document meets the
+    first and the next few, so a bucket of m documents gives at most 4 m pairs.
+    """
+    texts = clean_docs(docs).filter("doc_id is not null")
+    groups = near_groups(texts, radius=radius, distinct=True).select("doc_id", F.lit(-1).alias("band"), F.col("component_id").alias("bucket"))
+    bands = texts.mapInArrow(_bands, "doc_id long, bands array<long>").select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    order = Window.partitionBy("band", "bucket").orderBy("doc_id")
+    met = [F.first("doc_id").over(order), *(F.lag("doc_id", i).over(order) for i in range(1, FOLLOWING + 1))]
+    pairs = groups.unionByName(bands).select(F.col("doc_id").alias("b"), F.array(*met).alias("met")).select(F.explode("met").alias("a"), "b")
+    pairs = saved(pairs.filter("a < b").distinct(), "near-pairs")
+    few = saved(texts.join(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi"), "near-texts")
+    a, b = (few.select(F.col("doc_id").alias(k), F.col("text").alias(t)) for k, t in (("a", "s"), ("b", "t")))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "s", "t").mapInArrow(_alike(similarity), "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, radius: int = WORD_SET_RADIUS) -> DataFrame:
-    """``docs`` with one document of each group of near copies, by fingerprints over word sets: the smallest doc_id.
+    """``docs`` with one document of each group of near copies, linked by five-word Jaccard similarity: the smallest
+    doc_id. Links are verified pairs; groups are what they connect.
 
     Rows whose id is null stay, and so do texts without words, which are no copies of each other's content. A text
     whose only words are punctuation counts them as words.
     """
-    found = near_groups(docs.filter(F.col("text").rlike("[^ \\t-\\r]")), radius=radius, distinct=True)
-    drop = found.filter("doc_id > component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    found = components(near_copy_links(docs.filter(F.col("text").rlike("[^ \\t-\\r]")), radius))
+    drop = found.filter("node > root").select(F.col("node").alias("_drop")).distinct()
     return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
