@@ -9,14 +9,17 @@ many groups at a time, in rounds until one group holds them all.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks as B
+from . import words as W
 from .shared import numbered, saved
-from .tokens import with_word_ids, words
+from .tokens import WordIds, with_word_ids
 
 WINDOW = 2048
 #: Open windows of a group.
@@ -29,6 +32,7 @@ END_ID = 1
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group_id long, window long, offset long, full boolean"
 _COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
+_ARROW = pa.schema([(c, pa.bool_() if c == "full" else pa.int64()) for c in _COLUMNS])
 
 
 class OpenWindows:
@@ -99,26 +103,27 @@ def _merge(size: int, n_open: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, n_open: int = OPEN, slack: int = SLACK, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, n_open: int = OPEN, slack: int = SLACK, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document ends with id 1, so null and empty texts are one piece of one token. A text longer than a window
     is cut into whole windows and a rest. Repeated rows are packed as often as they stand. An empty table gives none.
     """
 
-    def rows(block: B.Block, ids: dict[bytes, bytes]) -> pd.DataFrame:
+    def rows(block: W.Block, answers: list[bytes]) -> Iterator[pa.Table]:
         packer, out = OpenWindows(window, n_open, slack), []
-        end = END_ID.to_bytes(4, "little")
-        for doc_id, text in zip(block.id_list(), block.texts(), strict=True):
-            raw = b"".join(map(ids.__getitem__, words(text))) + end
-            n = len(raw) // 4
-            out += [(doc_id, front, length, zlib.crc32(raw[4 * front : 4 * (front + length)]), n, block.key, w, at) for w, at, front, length in packer.put(n)]
-        pdf = pd.DataFrame(out, columns=_COLUMNS[:-1])
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-        pdf["full"] = pdf["window"].isin(packer.full)
-        return pdf
-
-    return _merged(with_word_ids(docs, vocabulary, rows, PIECE, block_bytes), window)
+        numbers, at = block.numbers, 0
+        n_words = int(numbers.max(initial=-1)) + 1
+        table = WordIds(n_words, answers, END_ID)
+        for doc_id, size in zip(block.id_list(), block.sizes.tolist(), strict=True):
+            raw = memoryview(table.ids(np.append(numbers[at : at + size], n_words)).astype("<u4").tobytes())
+            at, n = at + size, len(raw) // 4
+            out += [(doc_id, front, length, zlib.crc32(raw[4 * front : 4 * (front + length)]), n, block.key, w, offset) for w, offset, front, length in packer.put(n)]
+        columns = [pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)]
+        full = pa.array([w in packer.full for w in columns[6].to_pylist()])
+        yield pa.table([*columns, full], names=_COLUMNS)
+
+    return _merged(with_word_ids(docs, vocabulary, rows, PIECE, _ARROW, block_bytes), window)
 
 
 def _merged(pieces: DataFrame, window: int) -> DataFrame:

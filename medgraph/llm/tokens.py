@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words in Spark; every distinct word goes once to the shard that owns it and is encoded there
-once for the whole corpus; ids come back to the blocks and take the words' positions. Decoding joins ids to pieces.
+Texts are split into words in Spark; a shuffle by word brings each distinct word of the corpus together, where it is
+encoded once; its ids go back to the blocks and take the word's positions. Decoding joins ids to pieces.
 
 A word is a run without ASCII white space. The vocabulary's own splitter never crosses white space, its normaliser
 (NFC, then lower case) composes no character with white space, and special tokens hold no white space, so a text's ids
@@ -10,19 +10,19 @@ are its words' ids in order.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks as B
-from .shared import clean_docs, text_bytes
+from . import words as W
 
-WORDS = 1
+#: Words of a block's texts that are turned into ids at a time.
+CHUNK = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -57,113 +57,131 @@ def words(text: bytes) -> list[bytes]:
     return [w.lower() if w.isascii() else w for w in text.split()]
 
 
-def _by_shard(block: B.Block, shards: int) -> list[list[bytes]]:
-    """Distinct words of a block by owner, in order of appearance: the same list for the question and the answer."""
-    seen: dict[bytes, None] = {}
-    for text in block.texts():
-        seen.update(dict.fromkeys(words(text)))
-    out: list[list[bytes]] = [[] for _ in range(shards)]
-    for w in seen:
-        out[zlib.crc32(w) % shards].append(w)
-    return out
-
-
-def _encode_shard(vocabulary: str):
-    def encode(requests: list[bytes]) -> list[bytes]:
-        asked = [r.split() for r in requests]
-        known: dict[bytes, int] = {}
-        for r in asked:
-            for w in r:
-                known.setdefault(w, len(known))
-        found, t = [], tokenizer(vocabulary)
-        distinct = [w.decode() for w in known]
-        for at in range(0, len(distinct), 20_000):
-            found += [e.ids for e in t.encode_batch_fast(distinct[at : at + 20_000], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        for r in asked:
-            at = np.fromiter(map(known.__getitem__, r), dtype=np.int64, count=len(r))
-            n = lengths[at]
-            take = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield n.astype(np.uint32).tobytes() + flat[take].tobytes()
+def _encode(vocabulary: str):
+    """Rows sorted by word to packed answers: ids of each (block, number). A run of equal words is encoded once."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(vocabulary)
+        last, last_ids = None, np.zeros(0, dtype=np.uint32)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            block, number, lengths = (np.concatenate([h[k] for h in held]) for k in range(3))
+            flat, starts = np.concatenate([h[3] for h in held]), np.cumsum(lengths) - lengths
+
+            def data(places: np.ndarray) -> bytes:
+                n = lengths[places]
+                take = np.repeat(starts[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                return np.int64(len(places)).tobytes() + W.planes(number[places]) + W.planes(n) + W.planes(flat[take])
+
+            return W.by_block(block, data)
+
+        for batch in batches:
+            distinct, counts = _runs(batch.column(0))
+            same = bool(distinct) and distinct[0] == last
+            found = [e.ids for e in t.encode_batch_fast([w.decode() for w in distinct[same:]], add_special_tokens=False)]
+            ids = ([last_ids] if same else []) + [np.array(x, dtype=np.uint32) for x in found]
+            if not ids:
+                continue
+            last, last_ids = distinct[-1], ids[-1]
+            lengths = np.repeat(np.array([len(x) for x in ids]), counts)
+            flat = np.concatenate([x for x, n in zip(ids, counts, strict=True) for _ in range(n)])
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), lengths, flat))
+            size += batch.num_rows
+            if size >= W.PENDING:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     return encode
 
 
-def word_ids(block: B.Block, got: B.Answers, shards: int) -> dict[bytes, bytes]:
-    """Ids of each distinct word of a block, as little-endian unsigned 32-bit numbers."""
-    out: dict[bytes, bytes] = {}
-    for shard, mine in enumerate(_by_shard(block, shards)):
-        if mine:
-            raw = got[WORDS][shard]
-            ends = 4 * np.cumsum(np.frombuffer(raw, dtype=np.uint32, count=len(mine)).astype(np.int64))
-            ids, at = raw[4 * len(mine) :], 0
-            for w, end in zip(mine, ends.tolist(), strict=True):
-                out[w] = ids[at:end]
-                at = end
-    return out
+def _runs(column: pa.Array) -> tuple[list[bytes], list[int]]:
+    """Distinct values of a sorted column and how often each stands there."""
+    runs = pc.run_end_encode(column)
+    ends = runs.run_ends.to_numpy()
+    return runs.values.to_pylist(), np.diff(ends, prepend=0).tolist()
 
 
-def with_word_ids(docs: DataFrame, vocabulary: str, fn, schema: str, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """Rows that ``fn(block, ids of each word)`` makes of each block of documents."""
-    shards = B.n_shards(text_bytes(clean_docs(docs)))
-    base = B.pack(docs, block_bytes)
+class WordIds:
+    """Ids of a block's words, by number; the number after the last stands for the end of a document."""
 
-    def question(block: B.Block, _: B.Answers):
-        return [(s, b" ".join(mine)) for s, mine in enumerate(_by_shard(block, shards)) if mine]
+    def __init__(self, n_words: int, answers: list[bytes], end: int | None = None):
+        parts = []
+        for raw in answers:
+            r = W.Reader(raw)
+            (n,) = r.head("<q")
+            number, lengths = r.numbers(n), r.numbers(n)
+            parts.append((number, lengths, r.numbers(int(lengths.sum()))))
+        self.lengths = np.zeros(n_words + 1, dtype=np.int64)
+        starts = np.zeros(n_words + 1, dtype=np.int64)
+        at, flat = 0, []
+        for number, lengths, ids in parts:
+            self.lengths[number] = lengths
+            starts[number] = at + np.cumsum(lengths) - lengths
+            at += len(ids)
+            flat.append(ids.astype(np.uint32))
+        if end is not None:
+            self.lengths[n_words], starts[n_words] = 1, at
+            flat.append(np.array([end], dtype=np.uint32))
+        self.starts, self.flat = starts, np.concatenate(flat) if flat else np.zeros(0, dtype=np.uint32)
 
-    table = B.answer(B.ask(base, question), WORDS, _encode_shard(vocabulary))
-    return B.finish(base, table, lambda block, got: fn(block, word_ids(block, got, shards)), schema)
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of words in order."""
+        n = self.lengths[numbers]
+        return self.flat[np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every text. Null and empty texts have no ids; repeated rows give repeated rows."""
+def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, list[bytes]], Iterator[pa.Table]], schema: str, arrow: pa.Schema, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
+    """Rows that ``fn(block, answers with its words' ids)`` makes of each block of documents."""
+    base = W.word_blocks(docs, words, block_bytes)
+    table = W.word_rows(base).repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), W.ANSWER)
+    return W.meet(base, table, fn, schema, arrow)
 
-    def rows(block: B.Block, ids: dict[bytes, bytes]) -> pd.DataFrame:
-        found = [np.frombuffer(b"".join(map(ids.__getitem__, words(t))), dtype=np.uint32).astype(np.int32) for t in block.texts()]
-        return pd.DataFrame({"doc_id": pd.array(block.id_list(), dtype="Int64"), "ids": found})
 
-    return with_word_ids(docs, vocabulary, rows, "doc_id long, ids array<int>")
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def encode(docs: DataFrame, vocabulary: str, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
+    """(doc_id, ids array<int>) of every text. Null and empty texts have no ids; repeated rows give repeated rows; an
+    empty table gives none."""
+
+    def rows(block: W.Block, answers: list[bytes]) -> Iterator[pa.Table]:
+        numbers, at, first = block.numbers, 0, 0
+        table = WordIds(int(numbers.max(initial=-1)) + 1, answers)
+        ids, ends = block.id_list(), np.cumsum(block.sizes)
+        while first < len(ids):  # whole documents of about CHUNK words at a time
+            last = max(first + 1, int(np.searchsorted(ends, at + CHUNK, side="right")))
+            mine = numbers[at : ends[last - 1]]
+            tokens = np.append(0, np.cumsum(table.lengths[mine]))[np.append(0, ends[first:last] - at)]
+            lists = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(table.ids(mine).astype(np.int32)))
+            yield pa.table([pa.array(ids[first:last], type=pa.int64()), lists], names=["doc_id", "ids"])
+            first, at = last, int(ends[last - 1])
+
+    return with_word_ids(docs, vocabulary, rows, "doc_id long, ids array<int>", _IDS, block_bytes)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(row columns, text): ids of each row joined to the piece table by position. The table is as long as the
-    vocabulary, never longer, so it is broadcast. The vocabulary names no decoder: pieces stand with blanks between.
+    """``encoded`` with the decoded ``text`` of its ``ids``: every id is joined to the piece table. The vocabulary names
+    no decoder: pieces stand with blanks between.
 
-    Rows without ids give the empty text. ``encoded`` needs ``doc_id`` and ``ids``.
+    The table has an id for every place from 0, so its one-row form is an array whose index is the join's key: a
+    look-up for each id in place of a shuffled row. It is as long as the vocabulary, so it is broadcast whatever the
+    corpus. An id outside it is null and vanishes; rows without ids give the empty text.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(list(enumerate(pieces(vocabulary))), "id int, piece string")
-    keyed = encoded.withColumn("row_key", F.monotonically_increasing_id())
-    parts = keyed.select("row_key", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    texts = parts.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts")).select("row_key", F.array_join(F.transform("parts", lambda p: p["piece"]), " ").alias("text"))
-    return keyed.join(texts, "row_key", "left").select("doc_id", "ids", F.coalesce("text", F.lit("")).alias("text"))
+    table = encoded.sparkSession.createDataFrame([(pieces(vocabulary),)], "_pieces array<string>")
+    joined = encoded.crossJoin(F.broadcast(table))  # with one row
+    return joined.withColumn("text", F.concat_ws(" ", F.transform("ids", lambda i: F.get("_pieces", i)))).drop("_pieces")
 
 
-def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: str, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
     """Per document: token count, SHA-256 of its decimal ids and of the decoded text.
 
     Null or empty text: no tokens, both digests of the empty string. Very long texts are one row like any other;
     repeated rows give repeated results; an empty table gives none.
     """
-
-    def rows(block: B.Block, ids: dict[bytes, bytes]) -> pd.DataFrame:
-        number = [str(i).encode() for i in range(len(pieces(vocabulary)))]
-        piece = [p.encode() for p in pieces(vocabulary)]
-        as_ids, as_text = {}, {}
-        for w, raw in ids.items():
-            if raw:  # a word of characters that the vocabulary drops has no ids
-                mine = np.frombuffer(raw, dtype=np.uint32).tolist()
-                as_ids[w] = b" ".join([number[i] for i in mine])
-                as_text[w] = b" ".join([piece[i] for i in mine])
-        out = []
-        for t in block.texts():
-            ws = [w for w in words(t) if w in as_ids]
-            line = b" ".join(map(as_ids.__getitem__, ws))
-            out.append((line.count(b" ") + 1 if line else 0, hashlib.sha256(line).hexdigest(), hashlib.sha256(b" ".join(map(as_text.__getitem__, ws))).hexdigest()))
-        pdf = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        pdf.insert(0, "doc_id", pd.array(block.id_list(), dtype="Int64"))
-        return pdf
-
-    return with_word_ids(docs, vocabulary, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    both = decode(encode(docs, vocabulary, block_bytes), vocabulary)
+    line = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
