@@ -103,7 +103,7 @@ def _merge(size: int, n_open: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, n_open: int = OPEN, slack: int = SLACK, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, n_open: int = OPEN, slack: int = SLACK, block_bytes: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document ends with id 1, so null and empty texts are one piece of one token. A text longer than a window

@@ -10,6 +10,7 @@ are its words' ids in order.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -134,7 +135,7 @@ class WordIds:
         return self.flat[np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, list[bytes]], Iterator[pa.Table]], schema: str, arrow: pa.Schema, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
+def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, list[bytes]], Iterator[pa.Table]], schema: str, arrow: pa.Schema, block_bytes: int | None = None) -> DataFrame:
     """Rows that ``fn(block, answers with its words' ids)`` makes of each block of documents."""
     base = W.word_blocks(docs, words, block_bytes)
     table = W.word_rows(base).repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), W.ANSWER)
@@ -144,7 +145,7 @@ def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, list[
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def encode(docs: DataFrame, vocabulary: str, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, block_bytes: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every text. Null and empty texts have no ids; repeated rows give repeated rows; an
     empty table gives none."""
 
@@ -163,25 +164,47 @@ def encode(docs: DataFrame, vocabulary: str, block_bytes: int = W.BLOCK_BYTES) -
     return with_word_ids(docs, vocabulary, rows, "doc_id long, ids array<int>", _IDS, block_bytes)
 
 
+def _at_ids(ids: pa.ListArray, table: pa.StringArray) -> pa.StringArray:
+    """Each row's ids joined to the table's strings, with blanks between."""
+    lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), pc.take(table, ids.flatten()))
+    return pc.binary_join(lists, " ")
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``encoded`` with the decoded ``text`` of its ``ids``: every id is joined to the piece table. The vocabulary names
-    no decoder: pieces stand with blanks between.
+    """(doc_id, ids, text): every id joined to the piece table. The vocabulary names no decoder: pieces stand with
+    blanks between. ``encoded`` needs ``doc_id`` and ``ids``; rows without ids give the empty text.
 
-    The table has an id for every place from 0, so its one-row form is an array whose index is the join's key: a
-    look-up for each id in place of a shuffled row. It is as long as the vocabulary, so it is broadcast whatever the
-    corpus. An id outside it is null and vanishes; rows without ids give the empty text.
+    The piece table has a row for every id from 0 on, so the join's key is the row's number: each id looks its piece
+    up, in Arrow batches, and no row per id is shuffled and sorted back into its text. It is as long as the vocabulary.
     """
-    table = encoded.sparkSession.createDataFrame([(pieces(vocabulary),)], "_pieces array<string>")
-    joined = encoded.crossJoin(F.broadcast(table))  # with one row
-    return joined.withColumn("text", F.concat_ws(" ", F.transform("ids", lambda i: F.get("_pieces", i)))).drop("_pieces")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(pieces(vocabulary))
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _at_ids(batch.column(1), table)], names=["doc_id", "ids", "text"])
+
+    filled = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return filled.mapInArrow(rows, "doc_id long, ids array<int>, text string")
 
 
-def token_digests(docs: DataFrame, vocabulary: str, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def token_digests(docs: DataFrame, vocabulary: str, block_bytes: int | None = None) -> DataFrame:
     """Per document: token count, SHA-256 of its decimal ids and of the decoded text.
 
     Null or empty text: no tokens, both digests of the empty string. Very long texts are one row like any other;
     repeated rows give repeated results; an empty table gives none.
     """
-    both = decode(encode(docs, vocabulary, block_bytes), vocabulary)
-    line = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = pa.array([str(i) for i in range(len(pieces(vocabulary)))])
+        for batch in _slices(batches):
+            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column.cast(pa.binary()).to_pylist()]) for column in (_at_ids(batch.column(1), decimal), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(batch.column(1)).cast(pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    decoded = decode(encode(docs, vocabulary, block_bytes), vocabulary)
+    return decoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .blocks import squeeze, unsqueeze
-from .shared import clean_docs
+from .shared import clean_docs, text_bytes
 
-#: Text bytes of a block; a scan task's last block is smaller, and a single longer document makes a longer one.
-BLOCK_BYTES = 32 << 20
+#: Most and least text bytes of a block. Between them, every core gets some blocks. A scan task's last block is smaller,
+#: and a single longer document makes a longer one.
+BLOCK_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 #: Answers that a task holds before it sends them.
 PENDING = 1 << 20
 _NAMES = ["block", "ids", "sizes", "numbers", "words"]
@@ -124,9 +125,12 @@ def _pack(split: Split, block_bytes: int):
     return pack
 
 
-def word_blocks(docs: DataFrame, split: Split, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def word_blocks(docs: DataFrame, split: Split, block_bytes: int | None = None) -> DataFrame:
     """Blocks of whole documents, dealt by a key that is a hash of what they hold and where they were cut, so that a
     task that runs again makes the same ones. ``split`` gives a text's words, none of which holds ASCII white space."""
+    if block_bytes is None:
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        block_bytes = min(BLOCK_BYTES, max(LEAST_BYTES, text_bytes(docs) // (2 * cores)))
     return clean_docs(docs).mapInArrow(_pack(split, block_bytes), BLOCK).repartition("block")
 
 
@@ -147,8 +151,8 @@ def word_rows(blocks: DataFrame, train: Callable[[Block], np.ndarray] | None = N
                 for at in range(0, len(words), 1 << 16):
                     yield table.slice(at, 1 << 16)
 
-    few = blocks.select("block", "ids", "sizes", "words") if train is None else blocks
-    return few.mapInArrow(rows, "word binary, block long, number int" + (", n long" if train is not None else ""))
+    # all columns are passed on, for the exchange that holds the blocks to be the same one, and reused
+    return blocks.mapInArrow(rows, "word binary, block long, number int" + (", n long" if train is not None else ""))
 
 
 def by_block(block: np.ndarray, data: Callable[[np.ndarray], bytes]) -> pa.RecordBatch:
