@@ -1,40 +1,54 @@
 """Hierarchical Pitman-Yor language model, scored with seatings sampled by Gibbs.
 
-Every previous word is a context with a restaurant of its own; all contexts share one parent restaurant over words,
-whose base is uniform. A word's customers in a context are its counts there; each table of a context sends one
-customer to the parent. A Gibbs sweep takes all customers of one dish out of a restaurant and seats them again one
-after another, given the other dishes' tables. Predictive probabilities are averaged over the draws of
-contexts and of the parent (over all pairs of them, since a context's draw and the parent's multiply).
-
-Nothing is collected: blocks of documents ask the shards that own words and contexts (see ``blocks``) in three rounds:
-words (counts and numbers), contexts (customers and tables), and parent tables. Every block asks every shard, so that
-the corpus totals come with the answers.
+Every previous word is a context with a restaurant of its own. Contexts share parents: each class of contexts (by a
+hash of the context's word) has one parent restaurant, where every table of its contexts is a customer; the parents'
+base is the smoothed unigram distribution of the corpus. A context with very many customers is refined by a hash of
+the word before it, so no restaurant, and no class, grows without bound.
+
+The state of a seating is how many tables serve each dish. A Gibbs step takes all customers of a dish out of its
+restaurant and seats them again by their exact conditional: the weight of ``t`` tables is the product of the new-table
+weights (strength + discount * tables, which grows with each table), of the parent's probabilities of its new
+customers (which it remembers as they come), and of the generalised Stirling number that counts the seatings of the
+customers at ``t`` tables. Parents are seated in the same way against the base. Dishes of one half of a class are drawn
+together, given the tables of all others. Predictive probabilities are averaged over the draws.
+
+Words meet in a shuffle by word, pairs of words in a shuffle by class; answers go back to the blocks (see ``words``).
+Nothing is collected: the corpus totals are one row, joined to the blocks.
 """
 
 from __future__ import annotations
 
-import itertools
-import struct
 import zlib
-from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import blocks as B
-from .shared import clean_docs, text_bytes
+from . import words as W
 
 FOLDS = 10
-#: Sweeps, and how many of the last ones count.
+#: Sweeps over a class, and how many of the last ones count.
 SWEEPS, DRAWS = 4, 3
-STRENGTH = 1.0
-#: Customers of a dish are seated one by one up to here; after it in blocks of a sixteenth of those already seated.
-ONE_BY_ONE = 64
-WORDS, CONTEXTS, PARENT = 1, 2, 3
-#: Numbers of the text's start (a context) and its end (a word); words follow.
-START, END, FIRST = 0, 1, 2
+#: Discounts and strengths of contexts and of parents: constants of the model, the same for every corpus.
+DISCOUNT, STRENGTH = 0.8, 1.0
+PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
+#: Training tokens for each class of contexts, and customers of a context before it is refined.
+CLASS_TOKENS, REFINE = 1 << 21, 1 << 20
+#: Customers up to which seatings are counted by their recursion; beyond it by closed forms.
+EXACT = 1024
+#: Text bytes for each bucket of words that are numbered together.
+BUCKET_BYTES = 16 << 20
+START, UNKNOWN, FIRST = 0, 1, 2
+END = b""
+NUMBER, COUNT = 5, 7  # bytes of a word's number and of a count
+WORDS, PAIRS = 1, 2
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -42,319 +56,396 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers below 2**32 by byte position, which compresses better."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def split(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
-class Reader:
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw, 0
+def _training(block: W.Block) -> np.ndarray:
+    return ~np.array([held_out(i) for i in block.id_list()], dtype=bool)
 
-    def numbers(self, n: int) -> np.ndarray:
-        planes = np.frombuffer(self.raw, dtype=np.uint8, count=4 * n, offset=self.at).reshape(4, n)
-        self.at += 4 * n
-        return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
-    def head(self, layout: str) -> tuple:
-        out = struct.unpack_from(layout, self.raw, self.at)
-        self.at += struct.calcsize(layout)
-        return out
+# ---- words: counts and numbers ----
+
+
+def _number(buckets: int):
+    """Rows (bucket, word, block, number, n) sorted by bucket and word to answers: corpus count and number of each word.
+    A bucket's words are numbered by falling count; a row without a block holds a bucket's tokens and distinct words."""
+
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket = table.column("bucket")[0].as_py()
+        words = pc.run_end_encode(table.column("word").chunk(0))
+        ends = words.run_ends.to_numpy()
+        starts = np.append(0, ends[:-1])
+        total = np.add.reduceat(table.column("n").to_numpy(), starts)
+        rank = np.empty(len(total), dtype=np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        number = np.where(total > 0, FIRST + rank * buckets + bucket, UNKNOWN)
+        place, block, local = np.repeat(np.arange(len(total)), ends - starts), table.column("block").to_numpy(), table.column("number").to_numpy()
+
+        def data(at: np.ndarray) -> bytes:
+            return np.int64(len(at)).tobytes() + W.planes(local[at]) + W.planes(total[place[at]], COUNT) + W.planes(number[place[at]], NUMBER)
+
+        yield W.by_block(block, data, WORDS, bucket)
+        totals = np.array([total.sum(), (total > 0).sum()], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.int64()), pa.array([WORDS], type=pa.int32()), pa.array([bucket], type=pa.int32()), pa.array([totals.tobytes()], type=pa.binary())], names=["block", "kind", "part", "data"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            edges = [0, *(np.flatnonzero(np.diff(batch.column(0).to_numpy())) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if held and held[-1].column(0)[0] != batch.column(0)[a]:
+                    yield from answer(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from answer(held)
+
+    return number
+
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.frombuffer(d, dtype=np.int64).tolist() for b, d in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True) if b is None]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["tokens", "distinct"])
 
-class Words:
-    """A block's distinct words by owner, and its texts as numbers of them."""
-
-    def __init__(self, block: B.Block, shards: int):
-        self.block, self.shards = block, shards
-        self.held = [held_out(i) for i in block.id_list()]
-        number: dict[bytes, int] = defaultdict(itertools.count().__next__)  # numbered as they appear
-        texts = []
-        for t in block.texts():
-            ws = t.lower().split()
-            texts.append(np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws)))
-        self.words, self.texts = list(number), texts
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.flat = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int64)
-        train = np.repeat(~np.array(self.held, dtype=bool), self.lengths)
-        self.count = np.bincount(self.flat[train], minlength=len(number))
-        owner = np.fromiter((zlib.crc32(w) for w in number), dtype=np.int64, count=len(number)) % shards
-        self.order = np.argsort(owner, kind="stable")
-        self.cuts = np.searchsorted(owner[self.order], np.arange(shards + 1))
-        self.train_docs = len(self.held) - sum(self.held)
-        self.train_tokens = int(train.sum()) + self.train_docs
-
-    def of(self, shard: int) -> np.ndarray:
-        return self.order[self.cuts[shard] : self.cuts[shard + 1]]
-
-    def questions(self):
-        for s in range(self.shards):
-            mine = self.of(s)
-            yield s, struct.pack("<qqq", len(mine), self.train_docs, self.train_tokens) + _planes(self.count[mine]) + b" ".join([self.words[i] for i in mine.tolist()])
-
-    def learn(self, got: dict[int, bytes]) -> None:
-        """Corpus counts and numbers of the words. A word that training lacks has number -1."""
-        n = len(self.words)
-        self.total, self.number, self.n_distinct = np.zeros(n, dtype=np.int64), np.full(n, -1), 0
-        for s in range(self.shards):
-            r, mine = Reader(got[s]), self.of(s)
-            self.all_docs, self.all_tokens, distinct = r.head("<qqq")
-            self.n_distinct += distinct
-            self.total[mine] = r.numbers(len(mine))
-            place = r.numbers(len(mine))
-            self.number[mine] = np.where(self.total[mine] > 0, FIRST + place * self.shards + s, -1)
-        self.n_distinct += self.all_docs > 0  # the end is a token too
-
-    def tokens(self) -> None:
-        """Context and word of each token; each text ends with END and begins after START."""
-        ends = np.cumsum(self.lengths + 1) - 1
-        size = int((self.lengths + 1).sum())
-        self.text_of = np.repeat(np.arange(len(self.lengths)), self.lengths + 1)
-        inner = np.ones(size, dtype=bool)
+
+# ---- a block's tokens and pairs ----
+
+
+class Tokens:
+    """A block's tokens as pairs of context and word, and the distinct pairs by class of the context."""
+
+    def __init__(self, block: W.Block, answers: W.Answers):
+        self.block = block
+        words = [*block.words, END]
+        n = len(words)
+        self.corpus, self.n_distinct = int(block.row["tokens"]), int(block.row["distinct"])
+        total, number = np.zeros(n, dtype=np.int64), np.full(n, UNKNOWN)
+        for kind, _, raw in answers:
+            if kind == WORDS:
+                r = W.Reader(raw)
+                (m,) = r.head("<q")
+                at = r.numbers(m)
+                total[at], number[at] = r.numbers(m, COUNT), r.numbers(m, NUMBER)
+        self.training = _training(block)
+        sizes = block.sizes
+        ends = np.cumsum(sizes + 1) - 1
+        self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        local = np.full(len(self.doc), n - 1, dtype=np.int64)
+        inner = np.ones(len(local), dtype=bool)
         inner[ends] = False
-        self.word, self.seen = np.full(size, END), np.full(size, self.all_docs)
-        self.word[inner], self.seen[inner] = self.number[self.flat], self.total[self.flat]
-        self.context = np.empty(size, dtype=np.int64)
-        self.context[1:] = self.word[:-1]
-        self.context[ends - self.lengths] = START
-        self.train = ~np.array(self.held, dtype=bool)[self.text_of]
-
-    def contexts(self) -> None:
-        """Distinct (context, word) of the block by the context's owner, all from one sort: a context's number is put as
-        owner and place there, and a word that training lacks counts as word 0, which asks for the context alone."""
-        width = -(-(1 << 32) // self.shards)
-        known = np.flatnonzero(self.context >= 0)
-        context, word = self.context[known], np.maximum(self.word[known], 0)
-        key = ((context % self.shards * width + context // self.shards) << 32).view(np.uint64) | word.view(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        head = np.ones(len(key), dtype=bool)
-        head[1:] = key[1:] != key[:-1]
-        of_token = np.empty(len(key), dtype=np.int64)
+        local[inner] = block.numbers
+        self.seen = total[local]  # in training, over the corpus
+        # contexts: the word before, and the word before that where the context is refined
+        before = np.append(n, local[:-1])
+        before[ends - sizes] = n  # a text's start
+        further = np.append(n, before[:-1])
+        further[ends - sizes] = n
+        customers = np.append(total, total[n - 1])  # a start for each end
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [*words, b"\nstart"]), dtype=np.uint64, count=n + 1)
+        hashes = (hashes >> np.uint64(2)).astype(np.int64)
+        # places of contexts: the word before has its local number, a refined one a place after those for each part
+        context, key, klass = before.copy(), np.append(number, START) << 20, hashes
+        hot = np.flatnonzero(customers[before] > REFINE)
+        if len(hot):
+            sub = hashes[further[hot]] % -(-customers[before[hot]] // REFINE)
+            both, back = np.unique(before[hot] << 20 | sub, return_inverse=True)
+            context[hot] = n + 1 + back
+            old, sub = both >> 20, both & ((1 << 20) - 1)
+            key, klass = np.append(key, key[old] | sub), np.append(klass, hashes[old] ^ (sub * 0x9E3779B97F4A7 & ((1 << 62) - 1)))
+        known = (customers[before] > 0) & (self.corpus > 0)
+        n_classes = max(1, -(-self.corpus // CLASS_TOKENS))
+        self._pairs(np.flatnonzero(known), context, key, klass % n_classes, local, number, total)
+
+    def _pairs(self, at: np.ndarray, context: np.ndarray, key: np.ndarray, klass: np.ndarray, local: np.ndarray, number: np.ndarray, total: np.ndarray) -> None:
+        """Distinct pairs, from one sort: contexts get places by class and key, words by number."""
+        there = np.flatnonzero(np.bincount(context[at], minlength=len(key)))
+        there = there[np.lexsort((key[there], klass[there]))]
+        place = np.empty(len(key), dtype=np.int64)
+        place[there] = np.arange(len(there))
+        self.contexts, self.klass = key[there], klass[there]
+        self.words, first, word = np.unique(number, return_index=True, return_inverse=True)  # all unknown words are one
+        self.word_count = total[first]
+        width = len(self.words)
+        pairs = place[context[at]] * width + word[local[at]]
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        head = np.diff(pairs, prepend=-1) > 0
+        of_token = np.empty(len(pairs), dtype=np.int64)
         of_token[order] = np.cumsum(head) - 1
-        key = key[head]
-        placed = (key >> np.uint64(32)).astype(np.int64)
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = placed[1:] != placed[:-1]
-        ctx_of_key = np.cumsum(first) - 1
-        self.ctx, owner = placed[first] % width, placed[first] // width
-        words = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        real = words > 0
-        self.key_ctx, self.key_word = ctx_of_key[real], words[real]
-        pair_of_key = np.where(real, np.cumsum(real) - 1, -1)
-        self.ctx_of, self.pair_of = np.full(len(self.context), -1), np.full(len(self.context), -1)
-        self.ctx_of[known], self.pair_of[known] = ctx_of_key[of_token], pair_of_key[of_token]
-        inside = self.pair_of >= 0
-        self.pair_count = np.bincount(self.pair_of[inside & self.train], minlength=len(self.key_word))
-        self.pair_seen = np.zeros(len(self.key_word), dtype=np.int64)
-        self.pair_seen[self.pair_of[inside]] = self.seen[inside]
-        self.ctx_cuts = np.searchsorted(owner, np.arange(self.shards + 1))
-        self.key_cuts = np.searchsorted(self.key_ctx, self.ctx_cuts)
-
-    def context_questions(self):
-        for s in range(self.shards):
-            a, b = self.ctx_cuts[s : s + 2]
-            x, y = self.key_cuts[s : s + 2]
-            ctx, keys = self.ctx[a:b], self.key_word[x:y]
-            sizes = np.bincount(self.key_ctx[x:y] - a, minlength=b - a)
-            base = np.minimum(255, np.round(8 * np.log2(np.maximum(1, self.pair_seen[x:y])))).astype(np.uint8)
-            yield s, struct.pack("<qqqq", len(ctx), len(keys), self.all_tokens, self.n_distinct) + _planes(np.diff(ctx, prepend=0)) + _planes(sizes) + _planes(keys) + _planes(self.pair_count[x:y]) + base.tobytes()
-
-    def learn_contexts(self, got: dict[int, bytes]) -> None:
-        n, m = len(self.ctx), len(self.key_word)
-        self.ctx_customers, self.ctx_tables, self.discount = np.zeros(n), np.zeros(n), np.zeros(n)
-        self.customers, self.tables, self.mine = np.zeros(m), np.zeros(m, dtype=np.int64), np.zeros(m, dtype=bool)
-        for s in range(self.shards):
-            (a, b), (x, y), r = self.ctx_cuts[s : s + 2], self.key_cuts[s : s + 2], Reader(got[s])
-            (self.discount[a:b],) = r.head("<d")
-            self.ctx_customers[a:b], self.ctx_tables[a:b] = r.numbers(b - a), r.numbers(b - a)
-            self.customers[x:y], self.tables[x:y] = r.numbers(y - x), r.numbers(y - x)
-            self.mine[x:y] = np.unpackbits(np.frombuffer(r.raw, dtype=np.uint8, offset=r.at), count=y - x)
-
-    def parent_questions(self):
-        """Tables (summed over draws) that this block answers for, by word."""
-        held = np.flatnonzero(self.mine)
-        words, back = np.unique(self.key_word[held], return_inverse=True)
-        tables = np.bincount(back, self.tables[held], len(words)).astype(np.int64)
-        own = np.unique(np.concatenate([self.number[self.number >= 0], [END], words]))
-        total = np.zeros(len(own), dtype=np.int64)
-        total[np.searchsorted(own, words)] = tables
-        for s in range(self.shards):
-            at = np.flatnonzero(own % self.shards == s)
-            yield s, struct.pack("<q", len(at)) + _planes(np.diff(own[at], prepend=0)) + _planes(total[at])
-
-    def scores(self, got: dict[int, bytes]) -> np.ndarray:
-        """log10 probability of each token."""
-        known = np.unique(np.concatenate([self.number[self.number >= 0], [END], self.key_word[np.flatnonzero(self.mine)]]))
-        share, customers, spread = np.zeros(len(known)), 0.0, STRENGTH
-        for s in range(self.shards):
-            r, at = Reader(got[s]), np.flatnonzero(known % self.shards == s)
-            discount, n, tables = r.head("<ddd")
-            customers, spread = customers + n, spread + discount * tables
-            share[at] = r.numbers(len(at)) / DRAWS - discount * r.numbers(len(at)) / DRAWS
-        base = spread / (STRENGTH + customers) / (self.n_distinct + 1)
-        parent = np.full(len(self.word), base)
-        inside = self.word >= 0
-        parent[inside] += share[np.searchsorted(known, self.word[inside])] / (STRENGTH + customers)
-        p = parent.copy()
-        c = np.flatnonzero(self.ctx_of >= 0)
-        ctx = self.ctx_of[c]
-        below = STRENGTH + self.ctx_customers[ctx]
-        own = np.zeros(len(c))
-        pair = self.pair_of[c]
-        hit = pair >= 0
-        own[hit] = self.customers[pair[hit]] - self.discount[ctx[hit]] * self.tables[pair[hit]] / DRAWS
-        p[c] = own / below + (STRENGTH + self.discount[ctx] * self.ctx_tables[ctx] / DRAWS) / below * parent[c]
-        return np.log10(np.maximum(p, 1e-300))
-
-
-def _count_words(requests: list[bytes]):
-    asked, n_docs, n_tokens = [], 0, 0
-    total: dict[bytes, int] = {}
-    for raw in requests:
-        r = Reader(raw)
-        n, docs, tokens = r.head("<qqq")
-        count = r.numbers(n).tolist()
-        words = raw[r.at :].split()
-        n_docs, n_tokens = n_docs + docs, n_tokens + tokens
-        for w, c in zip(words, count, strict=True):
-            total[w] = total.get(w, 0) + c
-        asked.append(words)
-    place = {w: k for k, w in enumerate(sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w)))}
-    for words in asked:
-        c = np.fromiter(map(total.__getitem__, words), dtype=np.int64, count=len(words))
-        at = np.fromiter((place.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        yield struct.pack("<qqq", n_docs, n_tokens, len(place)) + _planes(c) + _planes(at)
-
-
-def discount(counts: np.ndarray) -> float:
-    """The usual estimate from dishes with one and with two customers."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
-
-
-def seat(customers: np.ndarray, base: np.ndarray, open_tables: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers sat down one after another. ``open_tables``: of the restaurant's dishes."""
-    tables = np.minimum(customers, 1)
-    many = np.flatnonzero(customers > 1)
-    new = (STRENGTH + d * open_tables[many]) * base[many]
-    left, t, j = customers[many] - 1, np.ones(len(many)), 1
-    rows = np.arange(len(many))
-    while len(rows):
-        block = 1 if j < ONE_BY_ONE else j // 16
-        take = np.minimum(block, left[rows])
-        chance = new[rows] / (new[rows] + j - d * t[rows])
-        t[rows] += (rng.random(len(rows)) < chance) if block == 1 else rng.binomial(take, np.clip(chance, 0, 1))
-        left[rows] -= take
-        j += block
-        rows = rows[left[rows] > 0]
-    tables[many] = t
-    return tables
-
-
-def gibbs(restaurant: np.ndarray, customers: np.ndarray, base: np.ndarray, d: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of dishes and of restaurants, summed over the draws. ``restaurant``: of each dish, counted from 0."""
-    rng = np.random.default_rng(seed)
-    n = int(restaurant.max()) + 1 if len(restaurant) else 0
-    tables = np.minimum(customers, 1)
-    dishes, rooms = np.zeros(len(customers), dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for sweep in range(SWEEPS):
-        open_tables = np.bincount(restaurant, tables, n)
-        tables = seat(customers, base, open_tables[restaurant] - tables, d, rng)
-        if sweep >= SWEEPS - DRAWS:
-            dishes += tables
-            rooms += np.bincount(restaurant, tables, n).astype(np.int64)
-    return dishes, rooms
-
-
-def _seat_contexts(requests: list[bytes]):
-    parts, shapes = [], []
-    n_tokens = n_distinct = 0
-    for raw in requests:
-        r = Reader(raw)
-        n, m, n_tokens, n_distinct = r.head("<qqqq")
-        ctx, sizes = np.cumsum(r.numbers(n)), r.numbers(n)
-        word, count = r.numbers(m), r.numbers(m)
-        base = np.frombuffer(raw, dtype=np.uint8, count=m, offset=r.at)
-        parts.append((np.repeat(ctx, sizes) << 32 | word, count, base))
-        shapes.append((ctx, m))
-    keys = np.concatenate([p[0] for p in parts])
-    every, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    customers = np.bincount(back, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
-    base = (2.0 ** (np.concatenate([p[2] for p in parts])[first] / 8.0)) / max(1, n_tokens + n_distinct)
-    rooms, room = np.unique(every >> 32, return_inverse=True)
-    d = discount(customers)
-    tables, room_tables = gibbs(room, customers, base, d, zlib.crc32(every[:1].tobytes()))
-    room_customers = np.bincount(room, customers, len(rooms)).astype(np.int64)
-    holder = np.zeros(len(keys), dtype=bool)
-    holder[first] = True  # one of the blocks that ask reports the tables to the parent
-    at = 0
-    for ctx, m in shapes:
-        mine = back[at : at + m]
-        where = np.minimum(np.searchsorted(rooms, ctx), max(0, len(rooms) - 1))
-        there = rooms[where] == ctx if len(rooms) else np.zeros(len(ctx), dtype=bool)
-        pick = (lambda x, where=where, there=there: np.where(there, x[where], 0)) if len(rooms) else (lambda x, ctx=ctx: np.zeros(len(ctx), dtype=np.int64))
-        yield struct.pack("<d", d) + _planes(pick(room_customers)) + _planes(pick(room_tables)) + _planes(customers[mine]) + _planes(tables[mine]) + np.packbits(holder[at : at + m]).tobytes()
-        at += m
-
-
-def _seat_parent(requests: list[bytes]):
+        pairs = pairs[head]
+        self.pair_context, self.pair_word = pairs // width, pairs % width
+        self.pair_count = np.bincount(of_token[self.training[self.doc[at]]], minlength=len(pairs))
+        self.pair = np.full(len(local), -1)
+        self.pair[at] = of_token
+        edges = np.flatnonzero(np.diff(self.klass, prepend=-1))
+        self.classes = self.klass[edges]
+        self.context_cuts = np.append(edges, len(self.klass))
+        self.pair_cuts = np.searchsorted(self.pair_context, self.context_cuts)
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        """(class, data) for each class that the block has contexts of."""
+        for k, klass in enumerate(self.classes.tolist()):
+            (a, b), (x, y) = self.context_cuts[k : k + 2], self.pair_cuts[k : k + 2]
+            words, index = np.unique(self.pair_word[x:y], return_inverse=True)
+            head = np.array([self.corpus, self.n_distinct, b - a, len(words), y - x], dtype=np.int64).tobytes()
+            sizes = np.bincount(self.pair_context[x:y] - a, minlength=b - a)
+            yield klass, head + W.planes(np.diff(self.contexts[a:b], prepend=0), 8) + W.planes(sizes) + W.planes(np.diff(self.words[words], prepend=0), NUMBER) + W.planes(self.word_count[words], COUNT) + W.planes(index) + W.planes(self.pair_count[x:y], COUNT)
+
+    def base(self) -> np.ndarray:
+        """Base probability of each token."""
+        return base(self.seen, self.corpus, self.n_distinct)
+
+    def probabilities(self, answers: W.Answers) -> np.ndarray:
+        """The model's probability of each token; after a context that training lacks, the base's."""
+        p = np.zeros(len(self.pair_word))
+        place = {k: i for i, k in enumerate(self.classes.tolist())}
+        for kind, part, raw in answers:
+            if kind == PAIRS:
+                x, y = self.pair_cuts[place[part] : place[part] + 2]
+                p[x:y] = np.frombuffer(raw, dtype=np.float32)
+        out = self.base()
+        hit = self.pair >= 0
+        out[hit] = p[self.pair[hit]]
+        return out
+
+
+def base(count: np.ndarray, n_tokens: int, n_distinct: int) -> np.ndarray:
+    return (count + 0.1) / (n_tokens + 0.1 * (n_distinct + 1))
+
+
+# ---- seatings ----
+
+
+@lru_cache(maxsize=4)
+def log_seatings(d: float, n: int = EXACT) -> np.ndarray:
+    """log of the generalised Stirling numbers S(c, t), c and t up to n: the weight of all seatings of c customers at t
+    tables, each table of k customers weighing (1 - d)(2 - d)...(k - 1 - d)."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(n + 1)
+    for c in range(n):
+        with np.errstate(divide="ignore"):
+            stay = out[c] + np.log(np.maximum(c - d * t, 0))
+        out[c + 1, 0] = -np.inf
+        out[c + 1, 1:] = np.logaddexp(stay[1:], out[c, :-1])
+    return out
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, after ten steps up."""
+    x = np.asarray(x, dtype=float)
+    down = np.log(x[..., None] + np.arange(10)).sum(axis=-1)
+    z = x + 10
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - down
+
+
+def log_seatings_far(c: float, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for many customers, c > t: few tables by the closed alternating sum, which then hardly cancels, more by
+    the saddle point of the series sum over c of S(c, t) x^c / c!."""
+    t = np.asarray(t, dtype=float)
+    few = t <= c**d
+    out = np.empty(len(t))
+    out[few], out[~few] = _alternating(c, t[few], d), _saddle(c, t[~few], d)
+    return out
+
+
+def _alternating(c: float, t: np.ndarray, d: float) -> np.ndarray:
+    j = np.arange(1, 61)
+    ways = np.where(j <= t[:, None], log_gamma(t + 1)[:, None] - log_gamma(np.maximum(t[:, None] - j, 0) + 1.0) - log_gamma(j + 1.0), -np.inf)
+    size = ways + log_gamma(c - j * d) - log_gamma(np.array(c - d)) + log_gamma(1 + j * d)
+    total = ((-1.0) ** (j + 1) * np.sin(np.pi * j * d) / np.pi * np.exp(size)).sum(axis=1)
+    return log_gamma(np.array(c - d)) - t * np.log(d) - log_gamma(t + 1) + np.log(np.maximum(total, 1e-300))
+
+
+def _saddle(c: float, t: np.ndarray, d: float) -> np.ndarray:
+    low, high = np.full(len(t), -600.0), np.zeros(len(t))
+    for _ in range(60):  # log(1 - x) by halving: x g'(x) / g(x) = c / t falls as 1 - x grows
+        middle = (low + high) / 2
+        y = np.exp(middle)
+        slope = -np.expm1(middle) * d * y ** (d - 1) / -np.expm1(d * middle)
+        low, high = np.where(slope > c / t, middle, low), np.where(slope > c / t, high, middle)
+    y = np.exp((low + high) / 2)
+    x, g = 1 - y, -np.expm1(d * (low + high) / 2)
+    g1, g2 = d * y ** (d - 1), d * (1 - d) * y ** (d - 2)
+    spread = t * x * ((g1 + x * g2) / g - x * (g1 / g) ** 2)
+    return log_gamma(c + 1.0) - t * np.log(d) - log_gamma(t + 1.0) + t * np.log(g) - c * np.log(x) - 0.5 * np.log(2 * np.pi * spread)
+
+
+def draw_tables(c: np.ndarray, open_weight: np.ndarray, d: float, p, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with ``c`` customers, from their conditional given all else. ``open_weight``: strength and
+    discount times the restaurant's other tables. ``p(rows, i)``: probability, in the parent, of the i-th new customer."""
+    out = np.minimum(c, 1)
+    order = np.argsort(c, kind="stable")
+    order = order[c[order] >= 2]
+    near = order[c[order] <= EXACT]
+    table = log_seatings(d)
+    edges = [0, *(np.flatnonzero(np.diff(c[near])) + 1).tolist(), len(near)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b == a:
+            continue
+        n = int(c[near[a]])
+        i = np.arange(n)
+        step = max(1, (1 << 19) // n)
+        for at in range(a, b, step):
+            rows = near[at : min(b, at + step)]
+            weight = np.cumsum(np.log((open_weight[rows, None] + d * i) * p(rows, i[None, :])), axis=1) + table[n, 1 : n + 1]
+            out[rows] = 1 + _pick(weight, rng)
+    for row in order[c[order] > EXACT]:
+        out[row] = _far_tables(int(c[row]), row, open_weight[row], d, p, rng)
+    return out
+
+
+def _pick(weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One column of each row, in proportion to exp(weight)."""
+    total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    return (total < rng.random(len(weight))[:, None] * total[:, -1:]).sum(axis=1)
+
+
+def _far_tables(c: int, row: int, open_weight: float, d: float, p, rng: np.random.Generator) -> int:
+    """Tables of one dish with many customers: the same weights, on points that close in on where the mass lies."""
+    rows = np.array([row])
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        # sums of log(a + i) for i < t, from values at the ends: p changes by steps of one customer
+        first, last = p(rows, np.zeros((1, 1)))[0, 0], p(rows, t[None, :] - 1.0)[0]
+        return t * np.log(d) + log_gamma(open_weight / d + t) - log_gamma(open_weight / d) + t * (np.log(first) + np.log(last)) / 2 + log_seatings_far(float(c), t, d)
+
+    points = np.unique(np.round(np.geomspace(1, c - 1, 49)))
+    for _ in range(3):
+        w = weight(points)
+        near = np.flatnonzero(w > w.max() - 30)
+        a, b = points[max(0, near[0] - 1)], points[min(len(points) - 1, near[-1] + 1)]
+        points = np.unique(np.round(np.linspace(a, b, 65)))
+    w = weight(points)
+    k = int(_pick(w[None, :], rng)[0])
+    width = int(points[min(k + 1, len(points) - 1)] - points[k])
+    return int(points[k]) + int(rng.integers(0, max(1, width)))
+
+
+class Seating:
+    """A class of contexts and their parent: tables of every (context, word) and of every word in the parent."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, customers: np.ndarray, base: np.ndarray, n_contexts: int, seed: int):
+        self.context, self.word, self.c, self.base, self.n = context, word, customers, base, n_contexts
+        self.rng = np.random.default_rng(seed)
+        self.t = np.minimum(customers, 1)
+        self.customers = np.bincount(context, customers, n_contexts)
+        self.m = np.bincount(word, self.t, len(base)).astype(np.int64)
+        self.s = np.minimum(self.m, 1)
+
+    def _contexts(self, rows: np.ndarray) -> None:
+        word, own = self.word[rows], self.t[rows]
+        tables = np.bincount(self.context, self.t, self.n)[self.context[rows]]
+        m, s = self.m[word] - own, self.s[word]
+        new = (PARENT_STRENGTH + PARENT_DISCOUNT * self.s.sum()) * self.base[word]
+        below = PARENT_STRENGTH + self.m.sum() - own
+
+        def p(at, i):
+            k = m[at, None] + i
+            return (np.maximum(k - PARENT_DISCOUNT * np.minimum(s[at, None], k), 0) + new[at, None]) / (below[at, None] + i)
+
+        drawn = draw_tables(self.c[rows], STRENGTH + DISCOUNT * (tables - own), DISCOUNT, p, self.rng)
+        self.t[rows] = drawn
+        self.m = np.bincount(self.word, self.t, len(self.base)).astype(np.int64)
+        self.s = np.minimum(np.maximum(self.s, np.minimum(self.m, 1)), self.m)
+
+    def _parent(self, rows: np.ndarray) -> None:
+        others = self.s.sum() - self.s[rows]
+        self.s[rows] = draw_tables(self.m[rows], PARENT_STRENGTH + PARENT_DISCOUNT * others, PARENT_DISCOUNT, lambda at, i: self.base[rows[at], None] + 0 * i, self.rng)
+
+    def sweep(self) -> None:
+        for kind, counts in ((self._contexts, self.c), (self._parent, None)):
+            several = np.flatnonzero((self.m if counts is None else counts) > 1)
+            side = self.rng.random(len(several)) < 0.5
+            for rows in (several[side], several[~side]):
+                if len(rows):
+                    kind(rows)
+
+    def predictive(self, context: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Probability of words after contexts; ``pair``: the seated pair, or -1."""
+        tables = np.bincount(self.context, self.t, self.n)
+        parent = (self.m - PARENT_DISCOUNT * self.s + (PARENT_STRENGTH + PARENT_DISCOUNT * self.s.sum()) * self.base) / (PARENT_STRENGTH + self.m.sum())
+        own = np.where(pair >= 0, (self.c - DISCOUNT * self.t)[pair], 0.0) if len(self.c) else np.zeros(len(pair))
+        return (own + (STRENGTH + DISCOUNT * tables[context]) * parent[word]) / (STRENGTH + self.customers[context])
+
+
+def averaged(context, word, customers, base, n_contexts: int, seed: int, sweeps: int = SWEEPS, draws: int = DRAWS) -> np.ndarray:
+    """Predictive probability of each (context, word), averaged over draws; pairs without customers are asked only."""
+    seated = np.flatnonzero(customers > 0)
+    pair = np.full(len(customers), -1)
+    pair[seated] = np.arange(len(seated))
+    room = Seating(context[seated], word[seated], customers[seated], base, n_contexts, seed)
+    total = np.zeros(len(customers))
+    for k in range(sweeps):
+        room.sweep()
+        if k >= sweeps - draws:
+            total += room.predictive(context, word, pair)
+    return total / draws
+
+
+def _seat_class(table: pa.Table) -> pa.Table:
+    """The requests of one class to answers: the probability of each requested pair."""
+    rows = sorted(zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True))
+    klass = table.column("part")[0].as_py()
     parts = []
-    for raw in requests:
-        r = Reader(raw)
-        (n,) = r.head("<q")
-        parts.append((np.cumsum(r.numbers(n)), r.numbers(n)))
-    every, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    summed = np.bincount(back, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
-    customers = -(-summed // DRAWS)
-    d = discount(customers)
-    # words are dealt by a hash, so a shard's tables over its words stand for all tables over all words
-    base = np.full(len(every), 1.0 / max(1, len(every)))
-    tables, total = gibbs(np.zeros(len(every), dtype=np.int64), customers, base, d, len(every))
-    at = 0
-    for words, _ in parts:
-        mine = back[at : at + len(words)]
-        yield struct.pack("<ddd", d, customers.sum(), (total[0] if len(total) else 0) / DRAWS) + _planes(DRAWS * customers[mine]) + _planes(tables[mine])
-        at += len(words)
-
-
-def score(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    for _, squeezed in rows:
+        r = W.Reader(W.unsqueeze(squeezed))
+        corpus, distinct, n_contexts, n_words, n = r.array(5, "<i8").tolist()
+        contexts, sizes = np.cumsum(r.numbers(n_contexts, 8)), r.numbers(n_contexts)
+        words, seen = np.cumsum(r.numbers(n_words, NUMBER)), r.numbers(n_words, COUNT)
+        parts.append((np.repeat(contexts, sizes), words[r.numbers(n)], r.numbers(n, COUNT), words, seen))
+    every, context = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    words, first = np.unique(np.concatenate([p[3] for p in parts]), return_index=True)
+    seen = np.concatenate([p[4] for p in parts])[first]
+    word = np.searchsorted(words, np.concatenate([p[1] for p in parts]))
+    keys, pair = np.unique(context * len(words) + word, return_inverse=True)
+    customers = np.bincount(pair, np.concatenate([p[2] for p in parts]), len(keys)).astype(np.int64)
+    p = averaged(keys // len(words), keys % len(words), customers, base(seen, corpus, distinct), len(every), klass)
+    p, at, out = p.astype(np.float32)[pair], 0, []
+    for x in parts:
+        out.append(W.squeeze(p[at : at + len(x[0])].tobytes()))
+        at += len(x[0])
+    n = len(rows)
+    return pa.table([pa.array([b for b, _ in rows], type=pa.int64()), pa.array([PAIRS] * n, type=pa.int32()), pa.array([klass] * n, type=pa.int32()), pa.array(out, type=pa.binary())], names=["block", "kind", "part", "data"])
+
+
+def score(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Null and empty texts are one token, the end. Rows without an id train the model and are not held out. Repeated
-    rows count as often as they stand. With nothing to learn from, words are uniform over the one unknown word. An
-    empty table gives no rows; other columns are not read.
+    rows count as often as they stand. With nothing to learn from, words are uniform over the one unknown word. After
+    a word that training lacks, the score is the base's. An empty table gives no rows; other columns are not read.
     """
-    shards = B.n_shards(text_bytes(clean_docs(docs)))
-    base = B.pack(docs, block_bytes)
+    buckets = max(8, -(-W.text_bytes(docs) // BUCKET_BYTES))
+    blocks = W.word_blocks(docs, split, block_bytes)
+    rows = W.word_rows(blocks, _training, END).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+    dealt = rows.select("bucket", "word", "block", "number", "n").repartition("bucket").sortWithinPartitions("bucket", "word")
+    words = dealt.mapInArrow(_number(buckets), W.ANSWER).repartition("block")
+    totals = words.mapInArrow(_totals, "tokens long, distinct long").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct"))
+    base_blocks = blocks.crossJoin(F.broadcast(totals))  # one row
 
-    def ready(block: B.Block, got: B.Answers, contexts: bool) -> Words:
-        w = Words(block, shards)
-        w.learn(got[WORDS])
-        w.tokens()
-        w.contexts()
-        if contexts:
-            w.learn_contexts(got[CONTEXTS])
-        return w
+    def requests(block: W.Block, answers: W.Answers) -> Iterator[pa.Table]:
+        found = list(Tokens(block, answers).requests())
+        yield pa.table([pa.array([k for k, _ in found], type=pa.int32()), pa.array([block.key] * len(found), type=pa.int64()), pa.array([W.squeeze(d) for _, d in found], type=pa.binary())], names=["part", "block", "data"])
 
-    words = B.answer(B.ask(base, lambda block, _: Words(block, shards).questions()), WORDS, _count_words)
-    contexts = B.answer(B.ask(base, lambda block, got: ready(block, got, False).context_questions(), words), CONTEXTS, _seat_contexts)
-    both = words.unionByName(contexts)
-    parent = B.answer(B.ask(base, lambda block, got: ready(block, got, True).parent_questions(), both), PARENT, _seat_parent)
+    asked = W.meet(base_blocks, words, requests, "part int, block long, data binary", pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
+    pairs = asked.groupBy("part").applyInArrow(_seat_class, W.ANSWER)
 
-    def rows(block: B.Block, got: B.Answers) -> pd.DataFrame:
-        w = ready(block, got, True)
-        n = len(w.lengths)
-        plain = np.log10((w.seen + 0.1) / (w.all_tokens + 0.1 * (w.n_distinct + 1)))
-        out = {"doc_id": pd.array(block.id_list(), dtype="Int64"), "held_out": w.held, "n_tokens": w.lengths + 1, "n_known": np.bincount(w.text_of[w.seen > 0], minlength=n), "train_tokens": w.all_tokens}
-        return pd.DataFrame(out | {"base_score": np.bincount(w.text_of, plain, n), "score": np.bincount(w.text_of, w.scores(got[PARENT]), n)})
+    def rows_of(block: W.Block, answers: W.Answers) -> Iterator[pa.Table]:
+        tokens = Tokens(block, answers)
+        n = len(block.sizes)
+        columns = [pa.array(block.id_list(), type=pa.int64()), pa.array(~tokens.training), pa.array(block.sizes + 1), pa.array(np.bincount(tokens.doc[tokens.seen > 0], minlength=n)), pa.array(np.full(n, tokens.corpus))]
+        columns += [pa.array(np.bincount(tokens.doc, np.log10(np.maximum(p, 1e-300)), n)) for p in (tokens.base(), tokens.probabilities(answers))]
+        yield pa.table(columns, names=_ARROW.names)
 
-    return B.finish(base, both.unionByName(parent), rows, SCHEMA)
+    return W.meet(base_blocks, words.unionByName(pairs), rows_of, SCHEMA, _ARROW)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
     """Perplexity per token of held-out and of training documents, under the base and under the model."""
-    from pyspark.sql import functions as F
-
     per = {c: F.pow(10.0, -F.sum(c) / F.sum("n_tokens")).alias(p) for c, p in (("base_score", "base_perplexity"), ("score", "perplexity"))}
     return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), *per.values())

@@ -110,7 +110,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, n_ope
     is cut into whole windows and a rest. Repeated rows are packed as often as they stand. An empty table gives none.
     """
 
-    def rows(block: W.Block, answers: list[bytes]) -> Iterator[pa.Table]:
+    def rows(block: W.Block, answers: W.Answers) -> Iterator[pa.Table]:
         packer, out = OpenWindows(window, n_open, slack), []
         numbers, at = block.numbers, 0
         n_words = int(numbers.max(initial=-1)) + 1

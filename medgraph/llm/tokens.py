@@ -109,9 +109,9 @@ def _runs(column: pa.Array) -> tuple[list[bytes], list[int]]:
 class WordIds:
     """Ids of a block's words, by number; the number after the last stands for the end of a document."""
 
-    def __init__(self, n_words: int, answers: list[bytes], end: int | None = None):
+    def __init__(self, n_words: int, answers: W.Answers, end: int | None = None):
         parts = []
-        for raw in answers:
+        for _, _, raw in answers:
             r = W.Reader(raw)
             (n,) = r.head("<q")
             number, lengths = r.numbers(n), r.numbers(n)
@@ -135,7 +135,7 @@ class WordIds:
         return self.flat[np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
-def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, list[bytes]], Iterator[pa.Table]], schema: str, arrow: pa.Schema, block_bytes: int | None = None) -> DataFrame:
+def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, W.Answers], Iterator[pa.Table]], schema: str, arrow: pa.Schema, block_bytes: int | None = None) -> DataFrame:
     """Rows that ``fn(block, answers with its words' ids)`` makes of each block of documents."""
     base = W.word_blocks(docs, words, block_bytes)
     table = W.word_rows(base).repartition("word").sortWithinPartitions("word").mapInArrow(_encode(vocabulary), W.ANSWER)
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, vocabulary: str, block_bytes: int | None = None) ->
     """(doc_id, ids array<int>) of every text. Null and empty texts have no ids; repeated rows give repeated rows; an
     empty table gives none."""
 
-    def rows(block: W.Block, answers: list[bytes]) -> Iterator[pa.Table]:
+    def rows(block: W.Block, answers: W.Answers) -> Iterator[pa.Table]:
         numbers, at, first = block.numbers, 0, 0
         table = WordIds(int(numbers.max(initial=-1)) + 1, answers)
         ids, ends = block.id_list(), np.cumsum(block.sizes)

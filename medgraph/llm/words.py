@@ -33,7 +33,9 @@ PENDING = 1 << 20
 _NAMES = ["block", "ids", "sizes", "numbers", "words"]
 BLOCK = "block long, " + ", ".join(f"{c} binary" for c in _NAMES[1:])
 _BLOCK = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in _NAMES[1:])])
-ANSWER = "block long, data binary"
+ANSWER = "block long, kind int, part int, data binary"
+#: What came back for a block: kind, part and data of each answer.
+Answers = list[tuple[int, int, bytes]]
 Split = Callable[[bytes], list[bytes]]
 
 
@@ -41,7 +43,8 @@ def planes(x: np.ndarray, width: int = 4) -> bytes:
     """Numbers of ``width`` bytes by byte position, which compresses better. A number that is too large is an error."""
     if len(x) and (int(x.min()) < 0 or int(x.max()) >> (8 * width)):
         raise OverflowError(f"a number does not fit {width} bytes")
-    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    whole = 4 if width <= 4 else 8
+    return np.ascontiguousarray(x.astype(f"<u{whole}").view(np.uint8).reshape(-1, whole)[:, :width].T).tobytes()
 
 
 class Reader:
@@ -51,9 +54,11 @@ class Reader:
         self.raw, self.at = raw, 0
 
     def numbers(self, n: int, width: int = 4) -> np.ndarray:
-        found = np.frombuffer(self.raw, dtype=np.uint8, count=width * n, offset=self.at).reshape(width, n)
+        whole = 4 if width <= 4 else 8
+        found = np.zeros((n, whole), dtype=np.uint8)
+        found[:, :width] = np.frombuffer(self.raw, dtype=np.uint8, count=width * n, offset=self.at).reshape(width, n).T
         self.at += width * n
-        return np.ascontiguousarray(found.T).view(f"<u{width}").ravel().astype(np.int64)
+        return found.view(f"<u{whole}").ravel().astype(np.int64)
 
     def array(self, n: int, dtype: str) -> np.ndarray:
         found = np.frombuffer(self.raw, dtype=dtype, count=n, offset=self.at)
@@ -70,7 +75,7 @@ class Block:
     """Documents of a block in scan order: ids, words in each, all their word numbers, and the distinct words."""
 
     def __init__(self, row: dict):
-        self.key = row["block"]
+        self.key, self.row = row["block"], row
         self.sizes = np.frombuffer(unsqueeze(row["sizes"]), dtype=np.int64)
         both, n = unsqueeze(row["ids"]), len(self.sizes)
         self.ids, self.null_id = np.frombuffer(both, dtype=np.int64, count=n), np.frombuffer(both, dtype=np.uint8, offset=8 * n).astype(bool)
@@ -134,19 +139,22 @@ def word_blocks(docs: DataFrame, split: Split, block_bytes: int | None = None) -
     return clean_docs(docs).mapInArrow(_pack(split, block_bytes), BLOCK).repartition("block")
 
 
-def word_rows(blocks: DataFrame, train: Callable[[Block], np.ndarray] | None = None) -> DataFrame:
+def word_rows(blocks: DataFrame, train: Callable[[Block], np.ndarray] | None = None, end: bytes | None = None) -> DataFrame:
     """(word, block, number) of each distinct word of a block; with ``train`` (true for the documents that count) also
-    ``n``, how often the word stands in those."""
+    ``n``, how often the word stands in those. ``end``: one more word, numbered last, that stands once in each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                words = block.words
+                words = block.words if end is None else [*block.words, end]
                 columns = [pa.array(words, type=pa.binary()), pa.array(np.full(len(words), block.key)), pa.array(np.arange(len(words), dtype=np.int32))]
                 if train is not None:
-                    counted = np.repeat(train(block), block.sizes)
-                    columns.append(pa.array(np.bincount(block.numbers[counted], minlength=len(words)).astype(np.int64)))
+                    docs = train(block)
+                    n = np.bincount(block.numbers[np.repeat(docs, block.sizes)], minlength=len(words)).astype(np.int64)
+                    if end is not None:
+                        n[-1] = docs.sum()
+                    columns.append(pa.array(n))
                 table = pa.RecordBatch.from_arrays(columns, names=["word", "block", "number", "n"][: len(columns)])
                 for at in range(0, len(words), 1 << 16):
                     yield table.slice(at, 1 << 16)
@@ -155,22 +163,26 @@ def word_rows(blocks: DataFrame, train: Callable[[Block], np.ndarray] | None = N
     return blocks.mapInArrow(rows, "word binary, block long, number int" + (", n long" if train is not None else ""))
 
 
-def by_block(block: np.ndarray, data: Callable[[np.ndarray], bytes]) -> pa.RecordBatch:
+def by_block(block: np.ndarray, data: Callable[[np.ndarray], bytes], kind: int = 0, part: int = 0) -> pa.RecordBatch:
     """One answer row for each block: ``data`` of the places that belong to it."""
     order = np.argsort(block, kind="stable")
     edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
     parts = [order[a:b] for a, b in itertools.pairwise(edges) if b > a]
     keys, found = [int(block[p[0]]) for p in parts], [squeeze(data(p)) for p in parts]
-    return pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(found, type=pa.binary())], names=["block", "data"])
+    columns = [pa.array(keys, type=pa.int64()), pa.array([kind] * len(keys), type=pa.int32()), pa.array([part] * len(keys), type=pa.int32()), pa.array(found, type=pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "kind", "part", "data"])
 
 
-def meet(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, list[bytes]], Iterator[pa.Table]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """Each block with all its answers, to rows of the result."""
+def meet(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, Answers], Iterator[pa.Table]], schema: str, arrow: pa.Schema) -> DataFrame:
+    """Each block with all its answers, to rows of the result. Answers without a block (totals) are passed over."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows and right.column("block")[0].as_py() is None:
+            return arrow.empty_table()
         if left.num_rows != 1:
             raise RuntimeError("answers without their block, or two blocks of one key")
-        found = list(fn(Block(left.to_pylist()[0]), [unsqueeze(x.as_py()) for x in right.column("data")]))
+        got = [(r["kind"], r["part"], unsqueeze(r["data"])) for r in right.to_pylist()]
+        found = list(fn(Block(left.to_pylist()[0]), got))
         return pa.concat_tables([t.cast(arrow) for t in found]) if found else arrow.empty_table()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(both, schema)

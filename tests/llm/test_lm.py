@@ -1,5 +1,6 @@
 """The language model: contract figures by brute force, seating invariants, held-out perplexity."""
 
+import itertools
 import math
 import random
 import zlib
@@ -41,17 +42,83 @@ def test_contract_figures_and_perplexity(spark):
     assert again == {(r.doc_id, r.score) for r in got}
 
 
-def test_seating():
-    rng = np.random.default_rng(0)
-    customers = np.array([0, 1, 2, 5, 40, 5000])
-    base = np.full(6, 0.1)
-    tables, rooms = lm.gibbs(np.array([0, 0, 1, 1, 2, 2]), customers, base, 0.8, 1)
-    assert (tables <= lm.DRAWS * customers).all() and (tables >= lm.DRAWS * np.minimum(customers, 1)).all()
-    assert rooms.tolist() == [tables[:2].sum(), tables[2:4].sum(), tables[4:].sum()]
-    # two customers: a second table with chance new / (new + 1 - d)
+def _rising(a, step, n):
+    return math.prod(a + step * i for i in range(n))
+
+
+def _stirling(c, t, d):
+    """Weight of all seatings of c customers at t tables, by putting the last customer down."""
+    if c == 0:
+        return 1.0 if t == 0 else 0.0
+    if t == 0 or t > c:
+        return 0.0
+    return _stirling(c - 1, t - 1, d) + (c - 1 - d * t) * _stirling(c - 1, t, d)
+
+
+def _exact(context, word, customers, base, n_contexts):
+    """Predictive probabilities by going through every seating of contexts and parent."""
+    d, th, d1, th1 = lm.DISCOUNT, lm.STRENGTH, lm.PARENT_DISCOUNT, lm.PARENT_STRENGTH
+    total, out = 0.0, np.zeros(len(customers))
+    for t in itertools.product(*(range(1, c + 1) if c else (0,) for c in customers)):
+        m = [sum(x for x, w in zip(t, word, strict=True) if w == k) for k in range(len(base))]
+        tables = [sum(x for x, u in zip(t, context, strict=True) if u == k) for k in range(n_contexts)]
+        below = [sum(c for c, u in zip(customers, context, strict=True) if u == k) for k in range(n_contexts)]
+        seats = math.prod(_stirling(c, x, d) for c, x in zip(customers, t, strict=True)) * math.prod(_rising(th, d, x) for x in tables)
+        for s in itertools.product(*(range(1, n + 1) if n else (0,) for n in m)):
+            weight = seats * math.prod(_stirling(n, x, d1) * b**x for n, x, b in zip(m, s, base, strict=True)) * _rising(th1, d1, sum(s)) / _rising(th1, 1, sum(m))
+            parent = [(n - d1 * x + (th1 + d1 * sum(s)) * b) / (th1 + sum(m)) for n, x, b in zip(m, s, base, strict=True)]
+            total += weight
+            out += weight * np.array([(c - d * x + (th + d * tables[u]) * parent[w]) / (th + below[u]) for c, x, u, w in zip(customers, t, context, word, strict=True)])
+    return out / total
+
+
+def test_sampled_seatings_against_all_seatings():
+    context, word = np.array([0, 0, 1, 1, 2, 0, 2]), np.array([0, 1, 0, 2, 1, 2, 3])
+    customers, base = np.array([4, 1, 3, 2, 3, 0, 0]), np.array([0.3, 0.1, 0.05, 0.2])
+    want = _exact(context, word, customers, base, 3)
+    got = lm.averaged(context, word, customers, base, 3, 1, sweeps=4000, draws=3900)
+    assert np.abs(got / want - 1).max() < 0.03
+
+
+def test_tables_of_one_dish_follow_their_conditional():
+    # two customers: a second table weighs the restaurant's open weight, with the first table in it, against 1 - d
     n = 200_000
-    t = lm.seat(np.full(n, 2), np.full(n, 0.5), np.full(n, 1.0), 0.5, rng)
-    assert abs((t == 2).mean() - 0.75 / (0.75 + 0.5)) < 0.01
+    t = lm.draw_tables(np.full(n, 2), np.full(n, 1.5), 0.5, lambda at, i: np.full((len(at), 1), 0.5) + 0 * i, np.random.default_rng(0))
+    assert abs((t == 2).mean() - 1.0 / (1.0 + 0.5)) < 0.01
+
+
+def test_saddle_point_continues_the_recursion():
+    t = np.array([2.0, 5, 20, 100, 400, 900])
+    exact = lm.log_seatings(0.8)[1024, t.astype(int)]
+    assert np.abs(lm.log_seatings_far(1024.0, t, 0.8) - exact).max() < 0.06
+    assert np.allclose(lm.log_gamma(np.array([0.2, 1.0, 50.5])), [math.lgamma(x) for x in (0.2, 1.0, 50.5)])
+    # a dish just beyond the recursion is seated as one just within it
+    rng = np.random.default_rng(1)
+    p = lambda at, i: np.full((len(at), 1), 0.01) + 0 * i
+    near, far = (np.mean([lm.draw_tables(np.array([c]), np.array([60.0]), 0.8, p, rng)[0] for _ in range(300)]) for c in (lm.EXACT, lm.EXACT + 1))
+    assert abs(near / far - 1) < 0.05
+
+
+def test_seating_invariants():
+    rng = np.random.default_rng(2)
+    context, word = np.repeat(np.arange(30), 20), np.tile(np.arange(20), 30)
+    customers = rng.geometric(0.2, 600) - 1
+    customers[5] = 10**10
+    seated = customers > 0
+    room = lm.Seating(context[seated], word[seated], customers[seated], np.full(20, 0.05), 30, 3)
+    for _ in range(3):
+        room.sweep()
+        assert ((room.t >= 1) & (room.t <= room.c)).all()
+        assert (room.m == np.bincount(room.word, room.t, 20)).all() and (room.s <= room.m).all() and (room.s >= np.minimum(room.m, 1)).all()
+    p = room.predictive(context, word, np.where(seated, np.cumsum(seated) - 1, -1))
+    assert np.allclose(np.bincount(context, p), 1.0)  # all words of a context, with a base that sums to one
+
+
+def test_a_refined_context_splits_a_hot_word(spark, monkeypatch):
+    monkeypatch.setattr(lm, "REFINE", 50)
+    docs = spark.createDataFrame([(i, f"a{i % 7} the b{i % 7} the c{i % 3}") for i in range(200)] + [(999, "the " * 4000)], "doc_id long, text string")
+    got = lm.score(docs).collect()
+    assert len(got) == 201 and all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
 def test_empty_and_untrained(spark):
