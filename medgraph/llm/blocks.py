@@ -34,10 +34,11 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 24 << 20
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD_SMALL = pa.Codec("zstd", compression_level=3)
 
 
-def squeeze(data: bytes) -> bytes:
-    return struct.pack("<q", len(data)) + _ZSTD.compress(data, asbytes=True)
+def squeeze(data: bytes, small: bool = False) -> bytes:
+    return struct.pack("<q", len(data)) + (_ZSTD_SMALL if small else _ZSTD).compress(data, asbytes=True)
 
 
 def unsqueeze(data: bytes) -> bytes:

@@ -41,6 +41,8 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 CLASS_TOKENS, REFINE = 1 << 21, 1 << 20
 #: Customers up to which seatings are counted by their recursion; beyond it by closed forms.
 EXACT = 1024
+#: Text bytes of a block; its tokens take several arrays of numbers.
+BLOCK_BYTES = 12 << 20
 #: Text bytes for each bucket of words that are numbered together.
 BUCKET_BYTES = 16 << 20
 START, UNKNOWN, FIRST = 0, 1, 2
@@ -420,7 +422,9 @@ def score(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     rows count as often as they stand. With nothing to learn from, words are uniform over the one unknown word. After
     a word that training lacks, the score is the base's. An empty table gives no rows; other columns are not read.
     """
-    buckets = max(8, -(-W.text_bytes(docs) // BUCKET_BYTES))
+    size = W.text_bytes(docs)
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    block_bytes = block_bytes or min(BLOCK_BYTES, W.block_size(docs, size))
     blocks = W.word_blocks(docs, split, block_bytes)
     rows = W.word_rows(blocks, _training, END).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
     dealt = rows.select("bucket", "word", "block", "number", "n").repartition("bucket").sortWithinPartitions("bucket", "word")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 #: Words of a block's texts that are turned into ids at a time.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -72,9 +72,10 @@ def _encode(vocabulary: str):
             flat, starts = np.concatenate([h[3] for h in held]), np.cumsum(lengths) - lengths
 
             def data(places: np.ndarray) -> bytes:
+                places = places[np.argsort(number[places])]
                 n = lengths[places]
                 take = np.repeat(starts[places] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                return np.int64(len(places)).tobytes() + W.planes(number[places]) + W.planes(n) + W.planes(flat[take])
+                return np.int64(len(places)).tobytes() + W.planes(np.diff(number[places], prepend=0)) + W.planes(n) + W.planes(flat[take])
 
             return W.by_block(block, data)
 
@@ -114,7 +115,7 @@ class WordIds:
         for _, _, raw in answers:
             r = W.Reader(raw)
             (n,) = r.head("<q")
-            number, lengths = r.numbers(n), r.numbers(n)
+            number, lengths = np.cumsum(r.numbers(n)), r.numbers(n)
             parts.append((number, lengths, r.numbers(int(lengths.sum()))))
         self.lengths = np.zeros(n_words + 1, dtype=np.int64)
         starts = np.zeros(n_words + 1, dtype=np.int64)
@@ -178,13 +179,14 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     up, in Arrow batches, and no row per id is shuffled and sorted back into its text. It is as long as the vocabulary.
     """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(pieces(vocabulary))
-        for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, _at_ids(batch.column(1), table)], names=["doc_id", "ids", "text"])
-
     filled = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return filled.mapInArrow(rows, "doc_id long, ids array<int>, text string")
+    return filled.mapInArrow(lambda batches: _decoded(batches, vocabulary), "doc_id long, ids array<int>, text string")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    table = pa.array(pieces(vocabulary))
+    for batch in _slices(batches):
+        yield pa.RecordBatch.from_arrays([*batch.columns, _at_ids(batch.column(1), table)], names=["doc_id", "ids", "text"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -202,9 +204,9 @@ def token_digests(docs: DataFrame, vocabulary: str, block_bytes: int | None = No
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal = pa.array([str(i) for i in range(len(pieces(vocabulary)))])
-        for batch in _slices(batches):
-            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column.cast(pa.binary()).to_pylist()]) for column in (_at_ids(batch.column(1), decimal), batch.column(2))]
+        for batch in _decoded(batches, vocabulary):
+            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column.cast(pa.binary()).to_pylist()], type=pa.string()) for column in (_at_ids(batch.column(1), decimal), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(batch.column(1)).cast(pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    decoded = decode(encode(docs, vocabulary, block_bytes), vocabulary)
-    return decoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # decoded and digested in one pass over the encoded rows
+    return encode(docs, vocabulary, block_bytes).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,7 +1,7 @@
 """Texts as numbers of words, and tables of the words that they hold.
 
 The scan splits texts once. It packs whole documents into blocks of up to BLOCK_BYTES of text and numbers each block's
-distinct words as they appear, so a block is its documents' word numbers and one list of words. Everything else is
+distinct words, the most frequent first, so a block is its documents' word numbers and one list of words. Everything else is
 rows: ``word_rows`` gives one (word, block, number) row for each distinct word of a block, which an ordinary shuffle by
 word brings together over the corpus, and what is found there goes back by (block, number). So rows follow the input,
 and a word that stands in every line costs one row for each block.
@@ -108,12 +108,18 @@ def _pack(split: Split, block_bytes: int):
             values = np.array([0 if i is None else i for i in ids], dtype=np.int64)
             gone = np.array([i is None for i in ids], dtype=np.uint8)
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
-            made = [values.tobytes() + gone.tobytes(), sizes.tobytes(), planes(np.concatenate(texts)), b" ".join(number)]
+            # numbered anew by falling count, equal counts in order: both lists compress better so
+            flat, names = np.concatenate(texts), sorted(number)
+            was = np.fromiter(map(number.__getitem__, names), dtype=np.int64, count=len(names))
+            by_count = np.argsort(-np.bincount(flat, minlength=len(names))[was], kind="stable")
+            now = np.empty(len(names), dtype=np.uint32)
+            now[was[by_count]] = np.arange(len(names), dtype=np.uint32)
+            made = [values.tobytes() + gone.tobytes(), sizes.tobytes(), planes(now[flat]), b" ".join([names[i] for i in by_count.tolist()])]
             key = xxhash.xxh3_64(struct.pack("<qq", part, n_blocks))
             for x in made:
                 key.update(x)
             ids, texts, number, size, n_blocks = [], [], defaultdict(itertools.count().__next__), 0, n_blocks + 1
-            return pa.RecordBatch.from_arrays([pa.array([key.intdigest() - (1 << 63)]), *(pa.array([squeeze(x)], type=pa.binary()) for x in made)], schema=_BLOCK)
+            return pa.RecordBatch.from_arrays([pa.array([key.intdigest() - (1 << 63)]), *(pa.array([squeeze(x, small=True)], type=pa.binary()) for x in made)], schema=_BLOCK)
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -133,12 +139,15 @@ def _pack(split: Split, block_bytes: int):
 def word_blocks(docs: DataFrame, split: Split, block_bytes: int | None = None) -> DataFrame:
     """Blocks of whole documents, dealt by a key that is a hash of what they hold and where they were cut, so that a
     task that runs again makes the same ones. ``split`` gives a text's words, none of which holds ASCII white space."""
-    if block_bytes is None:
-        cores = docs.sparkSession.sparkContext.defaultParallelism
-        block_bytes = min(BLOCK_BYTES, max(LEAST_BYTES, text_bytes(docs) // (2 * cores)))
+    block_bytes = block_bytes or block_size(docs, text_bytes(docs))
     return clean_docs(docs).mapInArrow(_pack(split, block_bytes), BLOCK).repartition("block")
 
 
+def block_size(docs: DataFrame, size: int) -> int:
+    """Bytes of a block for so many bytes of text: every core gets two blocks, within the limits."""
+    return min(BLOCK_BYTES, max(LEAST_BYTES, size // (2 * docs.sparkSession.sparkContext.defaultParallelism)))
+
+
 def word_rows(blocks: DataFrame, train: Callable[[Block], np.ndarray] | None = None, end: bytes | None = None) -> DataFrame:
     """(word, block, number) of each distinct word of a block; with ``train`` (true for the documents that count) also
     ``n``, how often the word stands in those. ``end``: one more word, numbered last, that stands once in each."""
