@@ -13,10 +13,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own on
+    one machine; on a cluster, whose machines would each write to their own disk, an error."""
     set_in_session = spark.conf.get("spark.checkpoint.dir", None)
     if set_in_session:
         return set_in_session.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="medgraph-shared-"))
     return "file://" + _OWN[0]
@@ -33,6 +36,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names after ``names`` that ``df`` does not have, whatever the case of its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def clean_docs(docs: DataFrame, *columns: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (string, as it is), and no other column, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)

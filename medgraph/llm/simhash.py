@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import clean_docs, saved
+from .shared import clean_docs, fresh, saved
 
 RADIUS = 2
 SHINGLE = 3
@@ -281,8 +281,10 @@ def drop_near_copies(docs: DataFrame, radius: int = WORD_SET_RADIUS) -> DataFram
     doc_id. Links are verified pairs; groups are what they connect.
 
     Rows whose id is null stay, and so do texts without words, which are no copies of each other's content. A text
-    whose only words are punctuation counts them as words.
+    whose only words are punctuation counts them as words. Rows of one id stay or go together. Texts are compared whole,
+    however long. Other columns, whatever their names, come through unchanged; an empty table stays empty.
     """
     found = components(near_copy_links(docs.filter(F.col("text").rlike("[^ \\t-\\r]")), radius))
-    drop = found.filter("node > root").select(F.col("node").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    (gone,) = fresh(docs, "gone_id")
+    drop = found.filter("node > root").select(F.col("node").alias(gone)).distinct()
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .shared import clean_docs, text_bytes
+from .shared import clean_docs, fresh, text_bytes
 
 LENGTH = 50
 #: Bytes of an anchor; a window of LENGTH bytes holds GRAMS of them.
@@ -308,17 +308,19 @@ def repeat_digests(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFra
 
 def remove_repeats(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """``docs`` with repeated bytes cut out of ``text`` (and ``n_chars``, if there, counted anew). Characters of which
-    a byte went are dropped whole. Texts without a repeat stay as they are, null included.
+    a byte went are dropped whole. Texts without a repeat stay as they are, null included. Rows that repeat both id and
+    text are cut alike. Other columns, whatever their names, come through unchanged; an empty table stays empty.
     """
 
     def cut(doc_id, text, gone, kept):
         return doc_id, hashlib.sha256(text).hexdigest(), kept.decode(errors="ignore"), len(kept) != len(text)
 
     # texts come from the blocks; the table's other columns join them by id and hash, and no text is shuffled twice
-    texts = _repeats(docs, cut, "doc_id long, _sha string, _kept string, _cut boolean", block_bytes).withColumnRenamed("doc_id", "_id").dropDuplicates(["_id", "_sha"])
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    rest = docs.withColumn("_row_sha", sha).withColumn("_null", F.col("text").isNull()).drop("text")
-    joined = rest.join(texts, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_row_sha") == F.col("_sha")))
-    text = F.when(~F.col("_null"), F.col("_kept"))
-    count = lambda c: F.when(F.col("_cut"), F.length("_kept").cast("long")).otherwise(F.col(c)).alias(c)
+    i, sha, kept, was_cut, row_sha, null = fresh(docs, "id_of_row", "sha_of_text", "kept_text", "was_cut", "sha_of_row", "no_text")
+    texts = _repeats(docs, cut, "doc_id long, sha string, kept string, was_cut boolean", block_bytes).toDF(i, sha, kept, was_cut).dropDuplicates([i, sha])
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rest = docs.withColumn(row_sha, digest).withColumn(null, F.col("text").isNull()).drop("text")
+    joined = rest.join(texts, (F.col("doc_id").cast("long").eqNullSafe(F.col(i))) & (F.col(row_sha) == F.col(sha)))
+    text = F.when(~F.col(null), F.col(kept))
+    count = lambda c: F.when(F.col(was_cut), F.length(kept).cast("long")).otherwise(F.col(c)).alias(c)
     return joined.select(*[text.alias(c) if c == "text" else count(c) if c == "n_chars" else F.col(c) for c in docs.columns])
