@@ -4,10 +4,11 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 import xxhash
 
-from medgraph.llm import exact, sharding, simhash
+from medgraph.llm import exact, sharding, simhash, suffix
 from medgraph.llm.components import components
 
 CLASH = "doc_id long, text string, fp long, hash long, bucket int, shard int, root string"
@@ -54,6 +55,54 @@ def test_directory_doubles_and_covers_every_place():
     assert exact.Directory({}).depth == exact.FIRST_DEPTH
 
 
+def test_owners_chain_texts_that_share_a_hash_and_compare_their_bytes():
+    rows = [(0, 3, 5, "b", 1, 1), (0, 3, 5, "a", 7, 2), (0, 3, 5, "b", None, 3), (0, 3, 5, "b", 4, 1), (0, 3, 6, "b", None, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*part, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=list("abcdef")) for part in (rows[:2], rows[2:])]
+    got = [tuple(r.values()) for b in exact._own(iter(batches)) for r in b.to_pylist()]
+    a, b = (hashlib.sha256(x).hexdigest() for x in (b"a", b"b"))
+    assert got == [(0, 3, 5, 1, a, 2, 7), (0, 3, 5, 2, b, 5, 4), (0, 3, 6, 1, b, 2, None)]
+
+
+def test_the_directory_decides_the_owner(docs):
+    index = exact.build_index(docs, 5).collect()
+    assert len({r.bucket for r in index}) > 8
+    made = {(r.cell, r.bucket) for r in exact.directory(exact._hashed(docs), 5).collect()}
+    assert all((r.hash % (1 << 64) >> (64 - exact.MAX_DEPTH), r.bucket) in made for r in index)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = "id_of_row, sha_of_row, sha_of_text, kept_id, kept_sha, gone_id, kept_text, was_cut, no_text, _id, _sha, _drop, Kept_ID_, n_chars".split(", ")
+    passage = "a passage that is longer than fifty bytes and stands in two of the documents here"
+    rows = [(1, f"first {passage} one"), (2, f"second {passage} two"), (2, f"second {passage} two"), (3, "short"), (4, "short"), (None, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for stage, n in ((exact.drop_copies, 4), (simhash.drop_near_copies, 6), (suffix.remove_repeats, 7)):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert len(found) == n and all(r._drop == 11 and r.gone_id == 5 for r in found)
+
+
+def test_groups_of_equal_texts_are_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards = {}
+    for r in sharding.shard_documents(docs).collect():
+        shards.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+    assert max(map(len, shards.values())) == 1
+
+
+def test_map_versions_are_stored_read_back_and_edited(spark):
+    name = f"test-{random.random()}"
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)], "doc_id long, text string")
+    sharding.shard_documents(docs, shards=4, slots=64, name=name).count()
+    first, second = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, name, v).collect()} for v in (1, 2))
+    assert list(first.values()) != list(second.values()) and len(second) == 64
+    sizes = [r.bytes for r in sharding.load_map(spark, name, 2).orderBy("virtual_slot").collect()]
+    third = {r.virtual_slot: r.shard for r in sharding.rebalance(spark, name, 2, sizes, 5).collect()}
+    assert {third[k] for k in third if third[k] != second[k]} == {4}
+    with pytest.raises(Exception, match="exists"):
+        sharding.store_map(spark, name, 2, [0] * 64)
+
+
 def test_drop_copies_keeps_one_row_of_each_text(docs):
     got = exact.drop_copies(docs)
     assert got.columns == docs.columns
@@ -144,7 +193,7 @@ def test_bytes_are_near_equal_with_a_heavy_group(spark):
 def test_growing_moves_slots_only_into_the_new_shard():
     rng = random.Random(2)
     sizes = [rng.randint(1, 1000) for _ in range(4096)]
-    old = sharding.first_map(sizes, 8)
+    old = sharding.edit_map(sharding.first_map(4096, 8), sizes, 8)
     new = sharding.edit_map(old, sizes, 9)
     assert all(b == 8 for a, b in zip(old, new, strict=True) if a != b)
     load = [sum(s for s, x in zip(sizes, new, strict=True) if x == k) for k in range(9)]
