@@ -38,11 +38,11 @@ SWEEPS, DRAWS = 4, 3
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Training tokens for each class of contexts, and customers of a context before it is refined.
-CLASS_TOKENS, REFINE = 1 << 21, 1 << 20
+CLASS_TOKENS, REFINE = 1 << 20, 1 << 19
 #: Customers up to which seatings are counted by their recursion; beyond it by closed forms.
 EXACT = 1024
 #: Text bytes of a block; its tokens take several arrays of numbers.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 7 << 20
 #: Text bytes for each bucket of words that are numbered together.
 BUCKET_BYTES = 16 << 20
 START, UNKNOWN, FIRST = 0, 1, 2

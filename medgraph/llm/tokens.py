@@ -143,24 +143,30 @@ def with_word_ids(docs: DataFrame, vocabulary: str, fn: Callable[[W.Block, W.Ans
     return W.meet(base, table, fn, schema, arrow)
 
 
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
+def _id_rows(block: W.Block, answers: W.Answers) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of a block's documents, whole documents of about CHUNK words at a time."""
+    numbers, at, first = block.numbers, 0, 0
+    table = WordIds(int(numbers.max(initial=-1)) + 1, answers)
+    ids, ends = block.id_list(), np.cumsum(block.sizes)
+    while first < len(ids):
+        last = max(first + 1, int(np.searchsorted(ends, at + CHUNK, side="right")))
+        mine = numbers[at : ends[last - 1]]
+        tokens = np.append(0, np.cumsum(table.lengths[mine]))[np.append(0, ends[first:last] - at)]
+        lists = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(table.ids(mine).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first:last], type=pa.int64()), lists], names=["doc_id", "ids"])
+        first, at = last, int(ends[last - 1])
+
+
 def encode(docs: DataFrame, vocabulary: str, block_bytes: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every text. Null and empty texts have no ids; repeated rows give repeated rows; an
     empty table gives none."""
 
     def rows(block: W.Block, answers: W.Answers) -> Iterator[pa.Table]:
-        numbers, at, first = block.numbers, 0, 0
-        table = WordIds(int(numbers.max(initial=-1)) + 1, answers)
-        ids, ends = block.id_list(), np.cumsum(block.sizes)
-        while first < len(ids):  # whole documents of about CHUNK words at a time
-            last = max(first + 1, int(np.searchsorted(ends, at + CHUNK, side="right")))
-            mine = numbers[at : ends[last - 1]]
-            tokens = np.append(0, np.cumsum(table.lengths[mine]))[np.append(0, ends[first:last] - at)]
-            lists = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(table.ids(mine).astype(np.int32)))
-            yield pa.table([pa.array(ids[first:last], type=pa.int64()), lists], names=["doc_id", "ids"])
-            first, at = last, int(ends[last - 1])
+        yield pa.Table.from_batches(list(_id_rows(block, answers)))
 
     return with_word_ids(docs, vocabulary, rows, "doc_id long, ids array<int>", _IDS, block_bytes)
 
@@ -202,11 +208,10 @@ def token_digests(docs: DataFrame, vocabulary: str, block_bytes: int | None = No
     repeated rows give repeated results; an empty table gives none.
     """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(block: W.Block, answers: W.Answers) -> Iterator[pa.Table]:
         decimal = pa.array([str(i) for i in range(len(pieces(vocabulary)))])
-        for batch in _decoded(batches, vocabulary):
+        for batch in _decoded(_id_rows(block, answers), vocabulary):  # a part of the block is decoded when it is encoded
             digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column.cast(pa.binary()).to_pylist()], type=pa.string()) for column in (_at_ids(batch.column(1), decimal), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(batch.column(1)).cast(pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.table([batch.column(0), pc.list_value_length(batch.column(1)).cast(pa.int64()), *digests], names=_DIGESTS.names)
 
-    # decoded and digested in one pass over the encoded rows
-    return encode(docs, vocabulary, block_bytes).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_word_ids(docs, vocabulary, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _DIGESTS, block_bytes)
