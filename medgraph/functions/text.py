@@ -1,9 +1,14 @@
-"""Column functions on text. All are built-in expressions, so they stay inside whole-stage code generation."""
+"""Column functions on text. All are built-in expressions, which stay inside whole-stage code generation, but for
+character references of HTML and UTF-16, which Spark has no expression for: those go through Arrow batches."""
 
 from __future__ import annotations
 
+import html as _html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that neither begin nor end a term of a question.
 STOPWORDS = (
@@ -53,7 +58,7 @@ def decode(content: Text) -> Column:
     """Bytes to text: UTF-16 after its byte-order mark, else UTF-8 without one; bad bytes become U+FFFD."""
     content = _c(content)
     utf16 = F.substring(content, 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff"))
-    return F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", ""))
+    return F.when(utf16, _utf16(F.when(utf16, content))).otherwise(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", ""))
 
 
 def paragraphs(x: Text) -> Column:
@@ -62,12 +67,22 @@ def paragraphs(x: Text) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+@F.pandas_udf(StringType())
+def _utf16(content: pd.Series) -> pd.Series:
+    """UTF-16 with its byte-order mark; what is no character, and an odd last byte, become U+FFFD."""
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-16", errors="replace").encode("utf-8", errors="replace").decode())
+
+
+@F.pandas_udf(StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else _html.unescape(t).encode("utf-8", errors="replace").decode())
+
+
 def unescape(x: Text) -> Column:
-    """The named and numbered entities that pages use for mark-up, blanks and punctuation; ``&amp;`` last."""
-    out = _c(x)
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("nbsp", "\u00a0"), ("copy", "©"), ("reg", "®"), ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("deg", "°"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    """Character references of HTML, named and numbered, each once. Only texts that hold one leave the JVM."""
+    x = _c(x)
+    some = F.contains(x, F.lit("&"))
+    return F.when(some, _unescape(F.when(some, x))).otherwise(x)
 
 
 def html_to_text(html: Text) -> Column:

@@ -21,7 +21,8 @@ def text_key(text: Column | str = "text") -> Column:
 def extract_batch(chunks: DataFrame, fn: Callable[[str], str | None], concurrency: int, across_documents: bool = False) -> DataFrame:
     """Call the extractor once for each distinct text (of a document, or of all) and give every chunk its reply.
 
-    ``concurrency`` tasks call at a time. A reply of null is a failure and is never reused for another chunk's text.
+    ``concurrency`` tasks call at a time. A reply of null is a failure and is never reused: chunks that repeat a failed
+    text are tried on their own, in the tasks where they stand, and are not marked reused.
     """
     scope = [] if across_documents else ["doc_id"]
     keyed = chunks.withColumn("text_key", text_key())
@@ -33,7 +34,16 @@ def extract_batch(chunks: DataFrame, fn: Callable[[str], str | None], concurrenc
 
     schema = first.drop("text").schema.add("reply", "string")
     replies = first.repartition(concurrency).mapInPandas(call, schema)
-    return keyed.join(replies, [*scope, "text_key"]).select("chunk_id", "doc_id", "order", "reply", (F.col("chunk_id") != F.col("asked_id")).alias("reused"))
+    repeat = F.col("chunk_id") != F.col("asked_id")
+    joined = keyed.join(replies, [*scope, "text_key"]).select("chunk_id", "doc_id", "order", "reply", (repeat & F.col("reply").isNotNull()).alias("reused"), F.when(repeat & F.col("reply").isNull(), F.col("text")).alias("again"))
+
+    def retry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch["again"].notna()
+            batch.loc[own, "reply"] = [fn(t) for t in batch.loc[own, "again"]]
+            yield batch.drop(columns="again")
+
+    return joined.mapInPandas(retry, joined.drop("again").schema)
 
 
 def reuse_plan(chunks: DataFrame) -> DataFrame:
@@ -85,18 +95,16 @@ def failed_chunks(replies: DataFrame) -> DataFrame:
 def dictionary_entities(chunks: DataFrame, dictionary: DataFrame, longest: int = 4) -> DataFrame:
     """Terms of the dictionary in each chunk: (doc_id, chunk_id, order, pos, n, name, normalized_name, entity_type).
 
-    Runs of up to ``longest`` tokens meet the terms in one equi-join; Spark broadcasts the dictionary where it is small.
+    Every token meets the first tokens of the terms in one equi-join (Spark broadcasts the dictionary where it is
+    small); the rest of a term is compared only there. Terms of more than ``longest`` tokens are never found.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    def runs_of(n: int) -> Column:
-        run = lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("tokens", i + 1, n), " ").alias("term"))
-        return F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - n, F.lit(0))), run))
-
-    runs = [runs_of(n) for n in range(1, longest + 1)]
-    every = F.flatten(F.array(*[F.coalesce(r, F.array().cast("array<struct<pos:int,n:int,term:string>>")) for r in runs]))
-    exploded = chunks.select("doc_id", "chunk_id", "order", tokens.alias("tokens")).select("doc_id", "chunk_id", "order", F.explode(every).alias("run")).select("doc_id", "chunk_id", "order", "run.pos", "run.n", F.col("run.term").alias("normalized_name"))
+    parts = F.split("normalized_name", " ")
     terms = dictionary.groupBy(F.col("normalized_term").alias("normalized_name")).agg(F.min("semantic_type").alias("semantic_type"))
-    found = exploded.join(terms, "normalized_name")
+    heads = terms.select(F.element_at(parts, 1).alias("head"), F.size(parts).alias("n"), "normalized_name", "semantic_type").filter(F.col("n") <= longest)
+    every = chunks.select("doc_id", "chunk_id", "order", tokens.alias("tokens")).select("doc_id", "chunk_id", "order", "tokens", F.posexplode("tokens").alias("pos", "head"))
+    ahead = every.select("doc_id", "chunk_id", "order", "pos", "head", F.slice("tokens", F.col("pos") + 1, F.lit(longest)).alias("ahead"))
+    found = ahead.join(heads, "head").filter(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("normalized_name"))
     kind = F.when(F.col("semantic_type").isin(*ENTITY_TYPES), F.col("semantic_type")).otherwise("other")
     return found.select(F.sha2(F.concat_ws("\u0001", "chunk_id", "pos", "n"), 256).alias("entity_id"), "doc_id", "chunk_id", "order", "pos", "n", F.col("normalized_name").alias("name"), "normalized_name", kind.alias("entity_type"))
 
@@ -111,8 +119,10 @@ def rule_relations(entities: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def link_definitions(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Entities with their definition on the normalised name; those without stay, with nulls."""
-    return entities.join(dictionary.select(F.col("normalized_term").alias("normalized_name"), "term", "definition_text", "source", "source_id"), "normalized_name", "left")
+    """Entities with their definition on the normalised name; those without stay, with nulls. A term that several
+    sources define gives the definition of the first source by name, so no mention is doubled."""
+    one = dictionary.groupBy(F.col("normalized_term").alias("normalized_name")).agg(F.min_by(F.struct("term", "definition_text", "source", "source_id"), F.struct("source", "source_id")).alias("d"))
+    return entities.join(one.select("normalized_name", "d.*"), "normalized_name", "left")
 
 
 def undefined_entities(entities: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -101,9 +101,11 @@ def search(terms: DataFrame, chunks: DataFrame, entities: DataFrame, relations:
 
 
 def pseudonym_listing(scope: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """For questions that name a patient and nothing else: that patient's first readable chunks, score 0."""
+    """For questions that name patients and nothing else: the first readable chunks of those patients, score 0. The
+    earliest places of all of them are taken, and numbered by document."""
     rows = scope.filter("doc_id IS NOT NULL").join(chunks.filter(readable()).select("doc_id", "chunk_id", "order"), "doc_id")
-    return top_k(rows.withColumn("score", F.lit(0.0)), k)
+    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("question_id").orderBy("order", "doc_id"))).filter(F.col("at") <= k).drop("at")
+    return top_k(first.withColumn("score", F.lit(0.0)), k)
 
 
 def user_turns(conversations: DataFrame) -> DataFrame:
@@ -120,24 +122,28 @@ def user_turns(conversations: DataFrame) -> DataFrame:
 
 
 def retrieve_conversations(turns: DataFrame, docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, definitions: DataFrame, k: int = TOP_K, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Own terms first; unanswered turns again with earlier terms; then a named patient's records.
+    """Own terms first, or a named patient's records where a turn has no terms; unanswered turns again with earlier
+    terms; then a named patient's records.
 
     ``cut`` is put on what several passes read (a writer of tables there spares each pass the plans before it).
     """
     turns = cut(turns)
-    scope, mentioned, edges = pseudonym_scope(turns, docs), cut(mentions(chunks, entities)), cut(name_edges(entities, relations))
+    scope, mentioned, edges = cut(pseudonym_scope(turns, docs)), cut(mentions(chunks, entities)), cut(name_edges(entities, relations))
 
     def run(terms: DataFrame, route: str) -> DataFrame:
         direct = direct_names(terms, entities, definitions)
         return cut(top_k(chunk_scores(direct, related_names(direct, edges), mentioned, scope), k).withColumn("route", F.lit(route)))
 
+    def listing(asked: DataFrame) -> DataFrame:
+        return pseudonym_listing(scope.join(asked.select("question_id"), "question_id", "left_semi"), chunks, k).withColumn("route", F.lit("patient"))
+
     first = run(turns.select("question_id", F.explode("terms").alias("term")).distinct(), "own")
-    rest = turns.join(first.select("question_id").distinct(), "question_id", "left_anti")
+    bare = cut(listing(turns.filter(F.size("terms") == 0)))
+    rest = turns.join(first.select("question_id").unionByName(bare.select("question_id")).distinct(), "question_id", "left_anti")
     more = rest.filter(F.size("earlier_terms") > 0).select("question_id", F.explode(F.array_union("terms", "earlier_terms")).alias("term")).distinct()
     second = run(more, "earlier")
     left = rest.select("question_id").join(second.select("question_id").distinct(), "question_id", "left_anti")
-    third = pseudonym_listing(scope.join(left, "question_id", "left_semi"), chunks, k).withColumn("route", F.lit("patient"))
-    return first.unionByName(second).unionByName(third)
+    return first.unionByName(bare).unionByName(second).unionByName(listing(left))
 
 
 def hydrate(ranked: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,12 @@ from ..sources.scratch import stored
 HEAD, TAIL = "Subjective:\n", "\nPlan:\nRest and fluids."
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few row groups dealt to all cores, since its texts become many chunks; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Tables:
     """The tables of one folder, and what is derived from them, each built once and lazily."""
 
@@ -31,7 +37,7 @@ class Tables:
     def documents(self) -> DataFrame:
         """src_documents: a fourth are patient records, with headers around the text."""
         patient = F.col("doc_id") % 4 == 0
-        return self.raw("documents").select(
+        return spread(self.raw("documents")).select(
             "doc_id",
             F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
             F.when(patient, "patient_record").otherwise("textbook").alias("doc_type"),

@@ -320,11 +320,13 @@ def pseudonym_scope(t: Tables) -> DataFrame:
     return retrieve.pseudonym_scope(retrieve.user_turns(t.conversations()), t.documents())
 
 
-@query(with_ctes("open_chunks") + """, q AS (SELECT conv_id || '/' || turn AS question_id, conv_id * 4 AS doc_id FROM conversations WHERE role = 'user' AND conv_id % 5 = 0)
-SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY c.doc_id, "order")::INT AS number, chunk_id, c.doc_id, "order", 0.0::DOUBLE AS score FROM q JOIN open_chunks c ON c.doc_id = q.doc_id QUALIFY number <= 6""")
+@query(with_ctes("open_chunks") + """, q AS (SELECT conv_id || '/' || turn AS question_id, unnest([conv_id * 4, conv_id * 4 + 20]) AS doc_id FROM conversations WHERE role = 'user' AND conv_id % 5 = 0),
+early AS (SELECT question_id, chunk_id, c.doc_id, "order" FROM q JOIN open_chunks c ON c.doc_id = q.doc_id QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY "order", c.doc_id) <= 6)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY doc_id, "order")::INT AS number, chunk_id, doc_id, "order", 0.0::DOUBLE AS score FROM early""")
 def pseudonym_listing(t: Tables) -> DataFrame:
-    scope = retrieve.pseudonym_scope(retrieve.user_turns(t.conversations()), t.documents())
-    return retrieve.pseudonym_listing(scope, t.chunks())
+    turns = retrieve.user_turns(t.conversations()).filter("conv_id % 5 = 0")
+    two = turns.withColumn("pseudonyms", F.concat("pseudonyms", F.array(F.format_string("P-%04d", F.col("conv_id") * 4 + 20))))
+    return retrieve.pseudonym_listing(retrieve.pseudonym_scope(two, t.documents()), t.chunks())
 
 
 def _pass(name: str, terms: str) -> str:
@@ -340,13 +342,15 @@ _CONV = (
 asked AS (SELECT conv_id || '/' || turn AS question_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE WHEN conv_id % 5 = 0 THEN conv_id * 4 END AS patient FROM conversations WHERE role = 'user'),
 own_terms AS (SELECT question_id, term FROM turn_terms JOIN asked USING (conv_id, turn)),
 """ + _pass("own", "own_terms") + """,
-rest AS (SELECT * FROM asked WHERE question_id NOT IN (SELECT question_id FROM own)),
+bare AS (SELECT r.question_id, row_number() OVER (PARTITION BY r.question_id ORDER BY c."order")::INT AS number, c.chunk_id, c.doc_id, c."order", 0.0::DOUBLE AS score FROM asked r JOIN open_chunks c ON c.doc_id = r.patient AND c.doc_id % 4 = 0
+WHERE r.question_id NOT IN (SELECT question_id FROM own_terms) QUALIFY number <= 6),
+rest AS (SELECT * FROM asked WHERE question_id NOT IN (SELECT question_id FROM own) AND question_id NOT IN (SELECT question_id FROM bare)),
 back_terms AS (SELECT DISTINCT r.question_id, x.term FROM rest r JOIN asked v ON v.conv_id = r.conv_id AND v.k BETWEEN r.k - 2 AND r.k - 1 JOIN turn_terms x ON x.conv_id = v.conv_id AND x.turn = v.turn),
 more_terms AS (SELECT * FROM back_terms UNION SELECT o.question_id, o.term FROM own_terms o WHERE o.question_id IN (SELECT question_id FROM back_terms)),
 """ + _pass("more", "more_terms") + """,
 patient AS (SELECT r.question_id, row_number() OVER (PARTITION BY r.question_id ORDER BY c."order")::INT AS number, c.chunk_id, c.doc_id, c."order", 0.0::DOUBLE AS score FROM rest r JOIN open_chunks c ON c.doc_id = r.patient AND c.doc_id % 4 = 0
 WHERE r.question_id NOT IN (SELECT question_id FROM more) QUALIFY number <= 6),
-answers AS (SELECT *, 'own' AS route FROM own UNION ALL SELECT *, 'earlier' FROM more UNION ALL SELECT *, 'patient' FROM patient)"""
+answers AS (SELECT *, 'own' AS route FROM own UNION ALL SELECT *, 'earlier' FROM more UNION ALL SELECT *, 'patient' FROM bare UNION ALL SELECT *, 'patient' FROM patient)"""
 )
 
 
