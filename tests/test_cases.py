@@ -139,7 +139,7 @@ def test_deidentify_outside_spans_and_own_ids(spark):
 
 
 def test_merge():
-    assert deid.merge([(0, 5, "A"), (3, 10, "B"), (10, 12, "C"), (4, 6, "D")]) == [(0, 10, "B"), (10, 12, "C")]
+    assert deid.islands([(0, 5, "A"), (3, 10, "B"), (10, 12, "C"), (4, 6, "D")]) == [(0, 10, "B"), (10, 12, "C")]
 
 
 def test_pseudonyms(spark):
@@ -248,3 +248,42 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
         uploads = ingest.read_uploads(spark, str(tmp_path / "in"), schema)
         ingest.stream_ingest(uploads, str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "store/chunks")).collect()) == [1, 3, 5]
+
+
+def test_patients_named_alone(spark):
+    chunks = spark.createDataFrame([(f"c{d}{o}", d, o, "text", "textbook", True) for d in (1, 2) for o in range(5)], "chunk_id string, doc_id long, order int, text string, source_type string, deidentified boolean")
+    scope = spark.createDataFrame([("q", 1), ("q", 2)], "question_id string, doc_id long")
+    got = retrieve.pseudonym_listing(scope, chunks, 6).orderBy("number").collect()
+    assert [(r.doc_id, r.order) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+
+
+def test_a_failed_repeat_is_tried_alone(spark):
+    chunks = spark.createDataFrame([("a", 1, 0, "bad"), ("b", 1, 1, "bad"), ("c", 1, 2, "good"), ("d", 1, 3, "good")], "chunk_id string, doc_id long, order int, text string")
+    got = {r.chunk_id: (r.reply, r.reused) for r in extract.extract_batch(chunks, lambda t: None if t == "bad" else t, 1).collect()}
+    assert got == {"a": (None, False), "b": (None, False), "c": ("good", False), "d": ("good", True)}
+
+
+def test_decoding_and_character_references(spark):
+    from medgraph.functions import text as T
+
+    raw = [b"\xff\xfea\x00\xe9", b"\xff\xfea\x00\x00\xd8", "﻿bé".encode(), None]
+    rows = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raw)], "k int, raw binary")
+    assert [r.t for r in rows.orderBy("k").select(T.decode("raw").alias("t")).collect()] == ["a�", "a�", "bé", None]
+    page = spark.createDataFrame([("<p>caf&eacute; &#8217;x&#x2014; &amp;lt; plain</p>",)], "html string")
+    assert page.select(T.html_to_text("html").alias("t")).first().t == "café ’x— &lt; plain"
+
+
+def test_one_definition_for_each_mention(spark):
+    entities = spark.createDataFrame([("e1", "fever")], "entity_id string, normalized_name string")
+    dictionary = spark.createDataFrame([("fever", "Fever", "two", "b", 2), ("fever", "Fever", "one", "a", 1)], "normalized_term string, term string, definition_text string, source string, source_id int")
+    assert [r.definition_text for r in extract.link_definitions(entities, dictionary).collect()] == ["one"]
+
+
+def test_records_of_any_depth():
+    from medgraph.sources import records
+
+    deep = "[" * 300 + '"x"' + "]" * 300
+    assert list(records.json_paragraphs(deep)) == ["x"]
+    assert list(records.json_paragraphs('{"a": 1, "b": {"c": "d", "e": [{"f": null, "g": true}]}, "h": ""}')) == ["a: 1", "b\nc: d", "b > e\ng: yes"]
+    assert list(records.xml_paragraphs("<r><a>1</a><s><t>x</t><p>prose</p></s><b>2</b></r>")) == ["a: 1\nb: 2", "t: x", "prose"]
+    assert list(records.delimited_paragraphs("a,,c\n\n1,2,3,4\n,,\n5,,6\n", ",")) == ["a: 1\ncolumn 2: 2\nc: 3\ncolumn 4: 4", "a: 5\nc: 6"]
