@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer turns the words of a clause into insults, threats, targets, negations and speech verbs; three
-context transducers mark what stands under negation, in reported speech, or by a target. They are composed into one
-machine, which runs over the clauses that hold an insult or threat. The patterns that it emits, not the words alone,
-are what a logistic layer weighs.
+A clause is read as word classes: what a lexicon of insults, verbs of harm and learned words holds (found by one
+automaton over the text), and cues of intent, target, negation and reported speech. An insult transducer and a threat
+transducer (a verb of harm weighs more after a word of intent) make matches of those, negation and reported-speech
+transducers mark the matches in their scope, and a target transducer marks those near somebody. All are composed into
+one machine; the target transducer also runs from the clause's end, since a target may follow. A logistic layer weighs
+the matched clauses: how many match each pattern, and how heavy they are; single words count for nothing by themselves.
 
 The lexicon starts from a short fixed list and grows by words and word beginnings that tell toxic training documents
 from others (a likelihood-ratio test); the pattern weights are fitted on the same documents. Both use a bounded sample
@@ -13,6 +15,7 @@ of labelled rows whose crc32 of the id is not 0 modulo 5. Labels, language, sour
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,13 +42,15 @@ SEEDS = {
     "threat": "kill hurt destroy punch beat hang shoot burn attack tuer frapper töten schlagen umbringen matar golpear".split(),
 }
 CUES = {
+    "intent": "will i'll we'll gonna going shall should must want vais va vont werde wirst wird soll voy vas va quiero".split(),
     "target": "you your yours yourself u he she they him her them his their these those people tu vous toi il elle ils du dich dir ihr sie euch er tú usted ustedes él ella ellos".split(),
     "negation": "not no never none nobody isn't aren't wasn't don't didn't won't cannot can't without nor ne pas jamais sans nicht kein keine keinen nie niemals ohne sin nunca jamás ni".split(),
     "speech": "said says say told claimed claims called calls wrote writes quoted reported according dit disait déclaré selon sagte sagt laut behauptet dijo dice según afirmó".split(),
 }
 QUOTES = '"«»“”„'
 
-CLASSES = ("other", "insult", "learned", "threat", "target", "negation", "speech", "quote")
+#: What a word is read as, and what the insult and threat transducers make of it.
+CLASSES = ("other", "insult", "learned", "harm", "intent", "target", "negation", "speech", "quote")
 HITS = ("insult", "learned", "threat")
 NEGATED, REPORTED, AIMED = 1, 2, 4
 
@@ -83,27 +88,57 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(arcs)
 
 
-def _scope(cues: tuple[str, ...], length: int, flag: int, weight: float):
-    """Marks hits within ``length`` words after a cue."""
+def _scope(cues: tuple[str, ...], length: int, flag: int, weight: float, hits: tuple[str, ...]):
+    """Marks what is in ``hits`` and stands within ``length`` words after a cue, once."""
 
     def step(state, symbol):
         kind, flags = symbol
         after = length if kind in cues else max(0, state - 1)
-        if kind in HITS and state:
+        if kind in hits and state and not flags & flag:
             return after, (kind, flags | flag), weight
         return after, symbol, 1.0
 
     return step
 
 
+def _insult(state, symbol):
+    """Words of insult are matches as they stand."""
+    kind, flags = symbol
+    return 0, ("insult!" if kind == "insult" else "learned!" if kind == "learned" else kind, flags), 1.0
+
+
+def _threat(state, symbol):
+    """Verbs of harm are matches: heavy ones within four words after a word of intent."""
+    kind, flags = symbol
+    after = 4 if kind == "intent" else max(0, state - 1)
+    return (after, ("threat!", flags), 1.5 if state else 0.75) if kind == "harm" else (after, symbol, 1.0)
+
+
+_MATCHES = tuple(f"{k}!" for k in HITS)
+
+
 @lru_cache(maxsize=1)
-def grammar() -> Transducer:
-    """Lexicon symbols through the negation, speech and target transducers."""
-    symbols = [(kind, flags) for kind in CLASSES for flags in range(8)]
-    negation = machine(symbols, 5, _scope(("negation",), 4, NEGATED, 0.5))
-    speech = machine(symbols, 41, _scope(("speech", "quote"), 40, REPORTED, 0.7))
-    target = machine(symbols, 7, _scope(("target",), 6, AIMED, 1.25))
-    return compose(compose(negation, speech), target)
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine that reads a clause from its end (targets after a match), and the one that reads the result from its
+    beginning: insults, threats, negation, reported speech and targets before a match."""
+    words = [(kind, flags) for kind in CLASSES for flags in (0, AIMED)]
+    marked = [(kind, flags) for kind in (*CLASSES, *_MATCHES) for flags in range(8)]
+    backward = machine(words, 7, _scope(("target",), 6, AIMED, 1.25, ("insult", "learned", "harm")))
+    found = compose(machine(words, 1, _insult), machine(marked, 5, _threat))
+    negation = machine(marked, 5, _scope(("negation",), 4, NEGATED, 0.5, _MATCHES))
+    speech = machine(marked, 41, _scope(("speech", "quote"), 40, REPORTED, 0.7, _MATCHES))
+    target = machine(marked, 7, _scope(("target",), 6, AIMED, 1.25, _MATCHES))
+    return backward, compose(compose(compose(found, negation), speech), target)
+
+
+def matches(classes: list[str]) -> list[tuple[str, int, float] | None]:
+    """For each word of a clause the match (kind, flags, factor) that the grammar makes of it."""
+    backward, forward = grammar()
+    back = list(backward.run((c, 0) for c in reversed(classes)))[::-1]
+    out = []
+    for ((kind, flags), factor), (_, before) in zip(forward.run(symbol for symbol, _ in back), back, strict=True):
+        out.append((kind[:-1], flags, factor * before) if kind.endswith("!") else None)
+    return out
 
 
 #: (text, whole word, class, weight) of each entry of the lexicon.
@@ -115,7 +150,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 
 def seed_lexicon() -> Lexicon:
-    return tuple((w, True, kind, 4.0) for kind, words in SEEDS.items() for w in words)
+    return tuple((w, True, "harm" if kind == "threat" else kind, 4.0) for kind, words in SEEDS.items() for w in words)
 
 
 @lru_cache(maxsize=4)
@@ -155,44 +190,32 @@ def hits(text: str, lexicon: Lexicon) -> dict[int, tuple[str, float]]:
     return found
 
 
-#: Figures of a document: matched clauses by class and context, their weights, and how long the text is.
+#: Figures of a document: clauses by what they match, how heavy they are, and how long the text is.
 N_FIGURES = len(HITS) * 8 + 9
+#: Weights that the heaviest clause is held against.
+HEAVY = (3.0, 8.0, 14.0, 24.0)
 
 
 def figures(text: str, lexicon: Lexicon) -> np.ndarray:
+    """Figures of the matched clauses of a whole text. A clause ends at a stop, colon or line end, however far."""
     low = text.lower()
-    out = np.zeros(N_FIGURES)
+    out, base = np.zeros(N_FIGURES), len(HITS) * 8
     n_words = low.count(" ") + low.count("\n") + 1
-    found, base = hits(low, lexicon), len(HITS) * 8
-    total, clauses, kinds = 0.0, 0, {k: 0 for k in HITS}
-    ends = 0
-    for start in sorted(found):
-        if start < ends:
-            continue
-        begin = next((m.end() for m in _CLAUSE_END.finditer(low[max(0, start - 400) : start][::-1])), None)
-        left = max(0, start - 400) if begin is None else start - begin + 1
-        right = _CLAUSE_END.search(low, start)
-        ends = right.start() if right else len(low)
-        if ends - start > 4000:
-            ends = next((s for s in sorted(found) if s >= start + 4000), ends)
-        symbols, weights = [], []
-        for m in _WORD.finditer(low, left, ends):
-            hit = found.get(m.start())
-            symbols.append(((hit[0] if hit else _cues().get(m.group(), "other")), 0))
-            weights.append(hit[1] if hit else 0.0)
-        best: dict[tuple, float] = {}
-        for (symbol, factor), weight in zip(grammar().run(symbols), weights, strict=True):
-            if symbol[0] in HITS:
-                kinds[symbol[0]] += 1
-                best[symbol] = best.get(symbol, 0.0) + factor * weight
-        for (kind, flags), weight in best.items():
-            out[HITS.index(kind) * 8 + flags] += 1
-            total += weight
-        clauses += bool(best)
-    n = sum(kinds.values())
-    strong = kinds["insult"] + kinds["learned"]
-    out[: base] = np.log1p(out[: base])
-    out[base:] = (np.log1p(total), np.log1p(clauses), np.log1p(strong), strong >= 1, strong >= 2, strong >= 3, strong >= 5, np.log1p(100.0 * n / n_words), np.log1p(n_words))
+    found = hits(low, lexicon)
+    weights = []
+    if found:
+        ends = [m.start() for m in _CLAUSE_END.finditer(low)] + [len(low)]
+        for k in sorted({bisect_left(ends, start) for start in found}):
+            words = list(_WORD.finditer(low, ends[k - 1] + 1 if k else 0, ends[k]))
+            classes = [found[m.start()][0] if m.start() in found else _cues().get(m.group(), "other") for m in words]
+            made = [(match, found[m.start()][1]) for m, match in zip(words, matches(classes), strict=True) if match]
+            for kind, flags in {(match[0], match[1]) for match, _ in made}:
+                out[HITS.index(kind) * 8 + flags] += 1
+            if made:
+                weights.append(sum(match[2] * weight for match, weight in made))
+    total, heaviest = sum(weights), max(weights, default=0.0)
+    out[:base] = np.log1p(out[:base])
+    out[base:] = (np.log1p(total), np.log1p(len(weights)), np.log1p(heaviest), *(heaviest >= h for h in HEAVY), np.log1p(100.0 * total / n_words), np.log1p(n_words))
     return out
 
 
@@ -278,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     rows = sample.mapInPandas(measure, "x array<double>, toxic int").collect()
     sample.unpersist()
-    if len({r["toxic"] for r in rows}) < 2:  # nothing to learn from: two insults make a text toxic
+    if len({r["toxic"] for r in rows}) < 2:  # nothing to learn from: a clause as heavy as two insults makes a text toxic
         weights = np.zeros(N_FIGURES + 1)
         weights[len(HITS) * 8 + 4], weights[-1] = 6.0, -3.0
         return Model(lexicon, np.zeros(N_FIGURES), np.ones(N_FIGURES), weights)

@@ -12,20 +12,23 @@ SEEDS = tox.seed_lexicon()
 
 def _patterns(text):
     low, found = text.lower(), tox.hits(text.lower(), SEEDS)
-    symbols = [((found[m.start()][0] if m.start() in found else tox._cues().get(m.group(), "other")), 0) for m in tox._WORD.finditer(low)]
-    return [(kind, flags) for (kind, flags), _ in tox.grammar().run(symbols) if kind in tox.HITS]
+    classes = [found[m.start()][0] if m.start() in found else tox._cues().get(m.group(), "other") for m in tox._WORD.finditer(low)]
+    return [(kind, flags, round(factor, 3)) for kind, flags, factor in filter(None, tox.matches(classes))]
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("what an idiot", [("insult", 0)]),
-        ("you are an idiot", [("insult", tox.AIMED)]),
-        ("that is not stupid", [("insult", tox.NEGATED)]),
-        ("the paper said he was a loser", [("insult", tox.REPORTED | tox.AIMED)]),
-        ("I will kill you", [("threat", 0)]),
-        ("you I will hurt", [("threat", tox.AIMED)]),
-        ("not one two three four five stupid", [("insult", 0)]),
+        ("what an idiot", [("insult", 0, 1.0)]),
+        ("you are an idiot", [("insult", tox.AIMED, 1.25)]),
+        ("an idiot you are", [("insult", tox.AIMED, 1.25)]),
+        ("that is not stupid", [("insult", tox.NEGATED, 0.5)]),
+        ("the paper said he was a loser", [("insult", tox.REPORTED | tox.AIMED, 0.875)]),
+        ("I will kill you", [("threat", tox.AIMED, 1.875)]),
+        ("you kill him", [("threat", tox.AIMED, 0.938)]),
+        ("a kill", [("threat", 0, 0.75)]),
+        ("he never said I will hurt you", [("threat", tox.NEGATED | tox.REPORTED | tox.AIMED, 0.656)]),
+        ("not one two three four five stupid", [("insult", 0, 1.0)]),
         ("skilled idiotic trashy", []),
     ],
 )
@@ -33,6 +36,13 @@ def test_grammar(text, want):
     assert _patterns(text) == want
 
 
+def test_scopes_reach_through_a_whole_clause_of_any_length():
+    long = "you " + "supercalifragilistic" * 300 + " idiot"
+    assert tox.figures(long, SEEDS)[tox.AIMED] > 0  # an aimed insult, over 6,000 characters away
+    one, two = tox.figures("idiot " * 5000, SEEDS), tox.figures("idiot. " * 5000, SEEDS)
+    assert one[0] == pytest.approx(0.6931, abs=1e-3) and two[0] == pytest.approx(8.517, abs=1e-2)  # clauses, not words
+
+
 def test_composition_is_a_product():
     letters = ("a", "b")
     flip = tox.machine(letters, 1, lambda q, s: (0, "b" if s == "a" else "a", 0.5))
