@@ -25,14 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
-    A lost executor costs nothing of it, and readers prune its columns.
+    A lost executor costs nothing of it, and readers prune its columns. ``codec`` is for tables that mostly
+    hold text.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
