@@ -117,7 +117,7 @@ def user_turns(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("before", F.collect_list(F.struct("turn", "terms", "own")).over(w))
     told = F.filter(F.transform("before", lambda b: b["own"]), lambda p: F.size(p) > 0)
     earlier = F.array_distinct(F.flatten(F.transform("before", lambda b: b["terms"])))
-    pseudonyms = F.when(F.size("own") > 0, F.col("own")).when(F.size(told) > 0, F.element_at(told, -1)).otherwise(F.col("own"))
+    pseudonyms = F.when(F.size("own") > 0, F.col("own")).when(F.size(told) > 0, F.try_element_at(told, F.lit(-1))).otherwise(F.col("own"))
     return rows.select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), "conv_id", "turn", "question", "terms", earlier.alias("earlier_terms"), pseudonyms.alias("pseudonyms"))
 
 

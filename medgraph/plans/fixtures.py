@@ -69,7 +69,8 @@ class Tables:
     def rules(self) -> DataFrame:
         """The first two long tokens of an item, related by a type."""
         tokens = self.raw("benchmark").select("item_id", F.filter(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), 1, 8), lambda t: F.length(t) >= 5).alias("t"))
-        pairs = tokens.filter("size(t) >= 2 AND t[0] <> t[1]").select(F.element_at("t", 1).alias("source_term"), F.element_at("t", 2).alias("target_term"), F.when(F.col("item_id") % 2 == 0, "treats").otherwise("causes").alias("relation_type"))
+        # the optimizer may read a place before the filter on the size, so a place that is not there reads as null
+        pairs = tokens.filter("size(t) >= 2 AND get(t, 0) <> get(t, 1)").select(F.get("t", 0).alias("source_term"), F.get("t", 1).alias("target_term"), F.when(F.col("item_id") % 2 == 0, "treats").otherwise("causes").alias("relation_type"))
         return pairs.distinct()
 
     def entities(self) -> DataFrame:

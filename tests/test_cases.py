@@ -1,6 +1,8 @@
 """Small cases with exact expected rows, one group per module."""
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +140,30 @@ def test_deidentify_outside_spans_and_own_ids(spark):
     assert docs.select(deid.deidentify(F.col("text"), F.col("ner"), [r"X-\d+"]).alias("y")).first().y == "[PERSON-1] met [ID]."
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Mrs. Anne-Marie Low\nMs. Marie-Claire Fox\nSeen with Anne-Marie-Claire.", "Mrs. [PERSON-1]\nMs. [PERSON-2]\nSeen with [PERSON-3]."),
+        ("นายสมชาย\nนางชายดี\nพบสมชายดี", "นาย[PERSON-1]\nนาง[PERSON-2]\nพบ[PERSON-3]"),
+    ],
+)
+def test_names_that_overlap_are_all_removed(text, want):
+    assert deid.clean_texts([text], deid.rules()) == [want]
+
+
+def test_no_word_of_a_known_name_is_left():
+    """Names made of parts of one another, in any order and glued together."""
+    rng = random.Random(3)
+    parts = ["Anna", "Marie", "Clara", "Joan"]
+    thai = ["สมชาย", "ชายดี", "ดีมาก", "มากศรี"]
+    for _ in range(200):
+        names = ["-".join(rng.sample(parts, 2)) for _ in range(3)]
+        words = rng.sample(thai, 2)
+        text = "".join(f"Mr. {n}.\n" for n in names) + "".join(f"นาย{w}\n" for w in words) + "Seen with " + "-".join(rng.choices(parts, k=4)) + " and " + "สมชายดีมากศรี"
+        (clean,) = deid.clean_texts([text], deid.rules())
+        assert not any(re.search(rf"\b{re.escape(n)}\b", clean) for n in names) and not any(w in clean for w in words)
+
+
 def test_merge():
     assert deid.islands([(0, 5, "A"), (3, 10, "B"), (10, 12, "C"), (4, 6, "D")]) == [(0, 10, "B"), (10, 12, "C")]
 
