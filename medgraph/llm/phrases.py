@@ -2,17 +2,18 @@
 
 The scan cuts texts into pieces and pieces into words, and packs them into shards. A shard's index holds two
 Burrows-Wheeler transforms over its frequent words, one of its text and one of the text read backwards, both sorted by
-as many words as a phrase may have. A phrase is a pair of intervals, one in each order. The backward order gives its
-extensions to the right; the forward interval follows by counting smaller words, and one step in the forward order
-finds the interval of what remains without the first word, which is the extension's other parent. A level of phrases
-is extended only where both parents are frequent in the whole corpus; its counts are summed over shards before the
-next level starts. So nothing that reaches the least count is lost, and every phrase knows the counts of all its first
-and last parts.
+as many words as a phrase may have. A phrase is a pair of intervals, one in each order: a word is put behind it by a
+step in the backward order, and before it by a step in the forward order. A longer phrase therefore comes from two
+parents, the one without its last word and the one without its first, and a level of phrases is extended only where
+both are frequent in the whole corpus. Shards send what they count by ranges of phrases, packed; the owner of a range
+sums over shards, and tells each shard which of its phrases are frequent. So nothing that reaches the least count is
+lost, and every phrase knows the counts of all its first and last parts.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import squeeze, unsqueeze
-from .shared import saved
+from .shared import saved, shared_dir
 from .words import Reader, planes
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Text bytes of a shard. A longer text goes over several, cut between pieces; only a longer piece makes a longer shard.
 SHARD_BYTES = 24 << 20
+#: Bits of a shard's key that count the shards of one scan task, and bits of a word's number in its shard.
+_SHARD_BITS, _NUMBER_BITS = 12, 31
 #: Bytes of a symbol in a stored transform.
 _WIDTH = 3
 #: Stands between pieces. No UTF-8 text holds this byte.
@@ -38,9 +41,14 @@ _SHARD = pa.schema([("shard", pa.int64()), ("sequence", pa.binary()), ("langs",
 SHARD = "shard long, sequence binary, langs array<string>, lang_words array<long>, books binary, words binary, counts binary"
 INDEX = "shard long, ids binary, forward binary, backward binary"
 _INDEX = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("forward", pa.binary()), ("backward", pa.binary())])
-#: An extension found in a shard: its parents' ids (without the last word, without the first), occurrences, intervals.
-FOUND = "prefix long, suffix long, shard long, n long, places long"
-_FOUND = pa.schema([(c.split()[0], pa.int64()) for c in FOUND.split(", ")])
+#: Words of the corpus for each range of phrases that one task sums up.
+RANGE_WORDS = 4 << 20
+#: What a shard counts in one range of phrases.
+COUNTED = "part int, shard long, data binary"
+_COUNTED = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("data", pa.binary())])
+#: A frequent phrase (its parents' ids, its count, its id; no shard), or which phrases of a shard are frequent.
+SETTLED = "prefix long, suffix long, a long, id long, shard long, level int, data binary"
+_SETTLED = pa.schema([*((c, pa.int64()) for c in ("prefix", "suffix", "a", "id", "shard")), ("level", pa.int32()), ("data", pa.binary())])
 
 
 def _runs(text: bytes) -> Iterator[bytes]:
@@ -59,7 +67,8 @@ def _runs(text: bytes) -> Iterator[bytes]:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    shard = TaskContext.get().partitionId() << 32
+    first = TaskContext.get().partitionId() << _SHARD_BITS
+    shard = first
     counter = itertools.count(1)
     books: dict[str, dict[bytes, int]] = {}
     parts: list[np.ndarray] = []
@@ -67,6 +76,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         nonlocal counter, books, parts, size, shard
+        if shard - first >> _SHARD_BITS:
+            raise OverflowError("a scan task holds more shards than their keys can tell apart")
         sequence, langs = np.concatenate(parts), list(books)
         total = sum(len(b) - 1 for b in books.values())
         words, owner = [b""] * total, np.zeros(total, dtype=np.uint16)
@@ -109,11 +120,16 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield table.slice(at, 1 << 16)
 
 
-def _stable(keys: np.ndarray) -> np.ndarray:
-    """Places in the order of their keys, equal keys in the order of their places."""
+def _sorted_places(keys: np.ndarray) -> np.ndarray:
+    """Each key (high half) with its place (low half), sorted."""
     both = (keys.astype(np.int64) << 32) | np.arange(len(keys), dtype=np.int64)
     both.sort()
-    return both & 0xFFFFFFFF
+    return both
+
+
+def _stable(keys: np.ndarray) -> np.ndarray:
+    """Places in the order of their keys, equal keys in the order of their places."""
+    return _sorted_places(keys) & 0xFFFFFFFF
 
 
 def transform(x: np.ndarray, depth: int = MAX_WORDS) -> np.ndarray:
@@ -148,42 +164,56 @@ def _build(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([row["shard"]]), *(pa.array([squeeze(m)], type=pa.binary()) for m in made)], schema=_INDEX)
 
 
+Level = tuple[np.ndarray, ...]
+
+
 class Index:
-    """A shard's two transforms. Symbol 0 separates; symbol s is the word with id ``ids[s - 1]``."""
+    """A shard's two transforms. Symbol 0 separates; symbol s is the word with id ``ids[s - 1]``.
+
+    A level of phrases is (ids, first symbol, last symbol, forward start, backward start, size), by forward start.
+    """
 
     def __init__(self, ids: np.ndarray, forward: np.ndarray, backward: np.ndarray):
         self.ids, self.n = ids, len(forward)
         self.counts = np.bincount(backward, minlength=len(ids) + 1)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        #: Where a suffix lies once its first word is dropped, in the forward order.
-        self.drop_first = _stable(forward)
-        #: Where a suffix lies once the word before it is put in front, in the backward order (ranks of equal words).
-        self.put_front = np.empty(self.n, dtype=np.int64)
-        self.put_front[_stable(backward)] = np.arange(self.n)
-
-    def single(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(id, forward start, backward start, size) of each word."""
-        return self.ids, self.first[1:-1], self.first[1:-1], self.counts[1:]
-
-    def extend(self, ids: np.ndarray, forward: np.ndarray, backward: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """All extensions by one word to the right of phrases of one length, if what remains without the first word is
-        among those phrases as well: (id of the phrase, id of what remains, size, forward start, backward start)."""
-        order = np.argsort(forward)
-        ids, forward, backward, size = ids[order], forward[order], backward[order], size[order]
+        # a symbol's places in a transform, in order: how many lie before an interval is a search
+        self.forward, self.backward = _sorted_places(forward), _sorted_places(backward)
+        self.put_behind = np.empty(self.n, dtype=np.int64)
+        self.put_behind[self.backward & 0xFFFFFFFF] = np.arange(self.n)
+
+    def words(self) -> Level:
+        """The level of single words."""
+        start, symbol = np.cumsum(self.counts)[:-1], np.arange(1, len(self.counts))
+        return self.ids, symbol, symbol, start, start, self.counts[1:]
+
+    def extensions(self, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What one more word makes of a level's phrases, if what remains without the first word is in the level as well:
+        (id of the phrase, id of what remains, occurrences)."""
+        ids, _, _, forward, backward, size = level
         starts, total = np.cumsum(size) - size, int(size.sum())
         which = np.repeat(np.arange(len(ids)), size)
-        places = np.repeat(backward - starts, size) + np.arange(total)
-        key = which * self.n + self.put_front[places]
+        key = which * self.n + self.put_behind[np.repeat(backward - starts, size) + np.arange(total)]
         key.sort()
-        target = key - which * self.n
-        symbol = np.repeat(np.arange(len(self.counts)), self.counts)[target]
+        symbol = np.repeat(np.arange(len(self.counts)), self.counts)[key - which * self.n]
         begin = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])])) if total else np.zeros(0, dtype=np.int64)
-        count, owner = np.diff(np.append(begin, total)), which[begin]
-        lo_backward, lo_forward = target[begin], forward[owner] + begin - starts[owner]
-        rest = self.drop_first[lo_forward]
+        owner = which[begin]
+        # the extension's forward interval, and where it lies without its first word
+        rest = self.forward[forward[owner] + begin - starts[owner]] & 0xFFFFFFFF
         at = np.maximum(np.searchsorted(forward, rest, side="right") - 1, 0)
         ok = (symbol[begin] != 0) & (rest >= forward[at]) & (rest < forward[at] + size[at])
-        return ids[owner][ok], ids[at][ok], count[ok], lo_forward[ok], lo_backward[ok]
+        return ids[owner][ok], ids[at][ok], np.diff(np.append(begin, total))[ok]
+
+    def next_level(self, level: Level, prefix: np.ndarray, suffix: np.ndarray, ids: np.ndarray) -> Level:
+        """The phrases with these parents in the level: a step behind the one, a step before the other."""
+        by_id = np.argsort(level[0])
+        known = level[0][by_id]
+        p, s = by_id[np.searchsorted(known, prefix)], by_id[np.searchsorted(known, suffix)]
+        first, last = level[1][p], level[2][s]
+        low = np.searchsorted(self.backward, (last << 32) | level[4][p])
+        high = np.searchsorted(self.backward, (last << 32) | (level[4][p] + level[5][p]))
+        forward = np.searchsorted(self.forward, (first << 32) | level[3][s])
+        order = np.argsort(forward)
+        return tuple(c[order] for c in (ids, first, last, forward, low, high - low))
 
 
 def _read(row: dict) -> Index:
@@ -194,25 +224,96 @@ def _read(row: dict) -> Index:
     return Index(np.frombuffer(unsqueeze(row["ids"]), dtype=np.int64), numbers("forward"), numbers("backward"))
 
 
-def _found(shard: int, found: tuple[np.ndarray, ...]) -> pa.Table:
-    prefix, suffix, n, forward, backward = found
-    return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in (prefix, suffix, np.full(len(n), shard), n, (forward << 32) | backward)], schema=_FOUND)
+def _columns(*columns: np.ndarray) -> bytes:
+    """Numbers of equal count side by side, the first one ascending."""
+    first = np.diff(columns[0], prepend=0)
+    return squeeze(b"".join(planes(c, 8) for c in (first, *columns[1:])))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of two words of each shard."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            index = _read(row)
-            yield from _found(row["shard"], index.extend(*index.single())).to_batches(max_chunksize=1 << 16)
+def _uncolumns(data: bytes, n_columns: int) -> list[np.ndarray]:
+    raw = unsqueeze(data)
+    reader, n = Reader(raw), len(raw) // (8 * n_columns)
+    columns = [reader.numbers(n, 8) for _ in range(n_columns)]
+    return [np.cumsum(columns[0]), *columns[1:]]
 
 
-def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A shard's phrases that are one word longer than those (id, n, places) which are frequent in the corpus."""
-    if not right.num_rows or not left.num_rows:
-        return _FOUND.empty_table()
-    row, places = left.to_pylist()[0], right.column("places").to_numpy()
-    return _found(row["shard"], _read(row).extend(right.column("id").to_numpy(), places >> 32, places & 0xFFFFFFFF, right.column("n").to_numpy()))
+def _by_part(shard: int, counted: tuple[np.ndarray, np.ndarray, np.ndarray], parts: int) -> pa.Table:
+    """What a shard counts, packed by the range that a phrase's parents hash to."""
+    prefix, suffix, n = (c.astype(np.int64) for c in counted)
+    mixed = (prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (suffix.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    part = (((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.lexsort((suffix, prefix, part))
+    edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)] if len(order) else [0]
+    groups = [order[a:b] for a, b in itertools.pairwise(edges)]
+    rows = [pa.array([int(part[g[0]]) for g in groups], type=pa.int32()), pa.array([shard] * len(groups), type=pa.int64()), pa.array([_columns(prefix[g], suffix[g], n[g]) for g in groups], type=pa.binary())]
+    return pa.Table.from_arrays(rows, schema=_COUNTED)
+
+
+def _pairs(parts: int):
+    """Phrases of two words of each shard."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                index = _read(row)
+                yield from _by_part(row["shard"], index.extensions(index.words()), parts).to_batches()
+
+    return rows
+
+
+def _longer(parts: int):
+    """A shard's phrases one word longer than its last level of frequent ones, all of whose levels are told."""
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or not left.num_rows:
+            return _COUNTED.empty_table()
+        row, told = left.to_pylist()[0], defaultdict(list)
+        for r in right.select(["level", "data"]).to_pylist():
+            told[r["level"]].append(_uncolumns(r["data"], 3))
+        index = _read(row)
+        level = index.words()
+        for length in sorted(told):
+            level = index.next_level(level, *(np.concatenate(c) for c in zip(*told[length], strict=True)))
+        return _by_part(row["shard"], index.extensions(level), parts)
+
+    return rows
+
+
+def _settle(level: int, min_count: int):
+    """The owner of a range: sums over shards, the frequent phrases as rows, and to each shard those of its own."""
+
+    def rows(group: pa.Table) -> pa.Table:
+        part, shards = group.column("part")[0].as_py(), group.column("shard").to_pylist()
+        held = [_uncolumns(d.as_py(), 3) for d in group.column("data")]
+        prefix, suffix, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((suffix, prefix))
+        p, s = prefix[order], suffix[order]
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])])
+        begin = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], begin)
+        kept = total >= min_count
+        ids = np.where(kept, (part << _NUMBER_BITS) + np.cumsum(kept) - 1, -1)
+        own = np.empty(len(order), dtype=np.int64)
+        own[order] = ids[np.cumsum(new) - 1]
+        frequent = pa.table({"prefix": p[begin][kept], "suffix": s[begin][kept], "a": total[kept], "id": ids[kept]})
+        none = pa.nulls(frequent.num_rows, pa.int64())
+        tables = [pa.Table.from_arrays([*frequent.columns, none, pa.nulls(frequent.num_rows, pa.int32()), pa.nulls(frequent.num_rows, pa.binary())], schema=_SETTLED)]
+        at, answers = 0, []
+        for shard, (p, s, _) in zip(shards, held, strict=True):
+            mine = own[at : at + len(p)]
+            at += len(p)
+            if (mine >= 0).any():
+                answers.append({"prefix": None, "suffix": None, "a": None, "id": None, "shard": shard, "level": level, "data": _columns(p[mine >= 0], s[mine >= 0], mine[mine >= 0])})
+        return pa.concat_tables([*tables, pa.Table.from_pylist(answers, schema=_SETTLED)])
+
+    return rows
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder that is dealt by shard, so that no later step shuffles it again."""
+    spark, name = df.sparkSession, f"phrase_index_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, "shard").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, list[DataFrame]]:
@@ -223,29 +324,34 @@ def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     shards = saved(texts.mapInArrow(_pack, SHARD), "phrase-shards")
     totals = saved(shards.select(F.explode(F.arrays_zip("langs", "lang_words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.lang_words").alias("n")), "phrase-totals")
-    words = saved(shards.select("shard", "langs", "books", "words", "counts").mapInArrow(_word_rows, "lang string, word binary, shard long, number int, n long"), "phrase-words")
-    none = F.array().cast("array<long>")
-    text = F.col("word").cast("string")
-    levels = [saved(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", "word", text.alias("phrase"), text.alias("last"), "a", F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"), none.alias("lefts"), none.alias("rights")), "phrases-1")]
-    known = words.join(levels[0].select("lang", "word", "id"), ["lang", "word"]).select("shard", "number", "id")
-    index = saved(shards.select("shard", "sequence").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_build, INDEX), "phrase-index")
-    alive = None
+    words = shards.select("shard", "langs", "books", "words", "counts").mapInArrow(_word_rows, "lang string, word binary, shard long, number int, n long")
+    # one shuffle counts a word over its shards and leaves its shards' rows, each with the word's id
+    same = Window.partitionBy("lang", "word")
+    own = F.shiftleft("shard", _NUMBER_BITS).bitwiseOR(F.col("number"))
+    known = saved(words.withColumn("a", F.sum("n").over(same)).withColumn("id", F.min(own).over(same)).filter(F.col("a") >= min_count), "phrase-words")
+    none, text = F.array().cast("array<long>"), F.col("word").cast("string")
+    first = known.filter(own == F.col("id")).select("id", "lang", text.alias("phrase"), text.alias("last"), "a", F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"), none.alias("lefts"), none.alias("rights"))
+    levels = [saved(first, "phrases-1")]
+    row = shards.agg(F.count("*").alias("shards"), F.sum(F.aggregate("lang_words", F.lit(0).cast("long"), lambda x, y: x + y)).alias("words")).first()
+    parts, buckets = 1 + (row["words"] or 0) // RANGE_WORDS, max(1, min(2 * row["shards"], 512), row["shards"] // 8)
+    index = _bucketed(shards.select("shard", "sequence").groupBy("shard").cogroup(known.select("shard", "number", "id").groupBy("shard")).applyInArrow(_build, INDEX), buckets)
+    told = None
     for length in range(2, max_words + 1):
-        if alive is None:
-            found = index.repartition("shard").mapInArrow(_pairs, FOUND)
+        if told is None:
+            counted = index.mapInArrow(_pairs(parts), COUNTED)
         else:
-            found = index.groupBy("shard").cogroup(alive.groupBy("shard")).applyInArrow(_longer, FOUND)
-        # one shuffle sums over shards and leaves each frequent phrase with its intervals; a phrase has a row per shard
-        found = saved(found.withColumn("a", F.sum("n").over(Window.partitionBy("prefix", "suffix"))).filter(F.col("a") >= min_count), f"phrase-found-{length}")
+            counted = index.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer(parts), COUNTED)
+        settled = saved(counted.groupBy("part").applyInArrow(_settle(length, min_count), SETTLED), f"phrase-settled-{length}")
         before = levels[-1]
         left = before.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head"), F.col("a").alias("left"), "lefts")
         right = before.select(F.col("id").alias("suffix"), "last", F.col("a").alias("right"), "rights")
-        level = found.select("prefix", "suffix", "a").distinct().join(left, "prefix").join(right, "suffix").select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "prefix", "suffix",
+        level = settled.filter("shard IS NULL").select("prefix", "suffix", "a", "id").join(left, "prefix").join(right, "suffix").select(
+            "id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "prefix", "suffix",
             F.concat("lefts", F.array("left")).alias("lefts"), F.concat("rights", F.array("right")).alias("rights"),
         )
         levels.append(saved(level, f"phrases-{length}"))
-        alive = found.join(levels[-1].select("id", "prefix", "suffix"), ["prefix", "suffix"]).select("shard", "id", "n", "places")
+        answers = settled.filter("shard IS NOT NULL").select("shard", "level", "data")
+        told = answers if told is None else told.unionByName(answers)
     return totals, levels
 
 

@@ -65,15 +65,16 @@ def test_index_gives_every_phrase_with_its_count():
     x = phrases.shard_symbols(rng.integers(0, 5, 4_000), np.array([1, 2, 3]))
     assert x[0] == 0 and x[-1] == 0 and not ((x[1:] == 0) & (x[:-1] == 0)).any()
     index = phrases.Index(np.array([10, 20, 30]), phrases.transform(x), phrases.transform(x[::-1]))
-    text, level, names = x.tolist(), index.single(), {10: (1,), 20: (2,), 30: (3,)}
+    text, level, names = x.tolist(), index.words(), {10: (1,), 20: (2,), 30: (3,)}
     for length in range(2, 6):
-        prefix, suffix, size, forward, backward = index.extend(*level)
+        prefix, suffix, size = index.extensions(level)
         grams = [(*names[int(p)], names[int(s)][-1]) for p, s in zip(prefix, suffix, strict=True)]
         assert all(names[int(p)][1:] == names[int(s)][:-1] for p, s in zip(prefix, suffix, strict=True))
         want = Counter(tuple(text[i : i + length]) for i in range(len(text) - length + 1) if 0 not in text[i : i + length])
         assert dict(zip(grams, size.tolist(), strict=True)) == want
         ids = np.arange(len(grams)) + 1000 * length
-        names, level = dict(zip(ids.tolist(), grams, strict=True)), (ids, forward, backward, size)
+        names, level = dict(zip(ids.tolist(), grams, strict=True)), index.next_level(level, prefix, suffix, ids)
+        assert dict(zip(level[0].tolist(), level[5].tolist(), strict=True)) == dict(zip(ids.tolist(), size.tolist(), strict=True))
 
 
 def test_empty_table(spark):
