@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, normalize_term
+from ..sources.scratch import stored
+from ..sources.snapshots import Snapshots
 
 #: Fixed values.
 ENTITY_TYPES = ("symptom", "diagnosis", "treatment", "other")
@@ -18,24 +21,58 @@ def text_key(text: Column | str = "text") -> Column:
     return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
 
 
-def extract_batch(chunks: DataFrame, fn: Callable[[str], str | None], concurrency: int, across_documents: bool = False) -> DataFrame:
+REPLIES = "text_key string, reply string"
+
+
+def ask(texts: DataFrame, fn: Callable[[str], str | None], concurrency: int) -> DataFrame:
+    """texts(text_key, text) -> (text_key, reply): ``concurrency`` tasks call the extractor, once for each row."""
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"text_key": batch["text_key"], "reply": [fn(t) for t in batch["text"]]})
+
+    return texts.select("text_key", "text").repartition(concurrency).mapInPandas(call, REPLIES)
+
+
+def fill_replies(texts: DataFrame, fn: Callable[[str], str | None], concurrency: int, log: Snapshots, extractor: str, waves: int) -> DataFrame:
+    """texts(text_key, text), distinct -> all their replies, from a store that outlives the run.
+
+    What the store has is not asked again. The rest is asked in ``waves`` by hash, and each wave is kept as soon as it is
+    there, so a run that is lost loses one wave at most. Failures (null) are not kept: the next run tries them again.
+    """
+    asked = []
+    for wave in range(waves):
+        mine = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(waves)) == wave)
+        known = log.read(extractor, REPLIES).select("text_key")
+        fresh = stored(ask(mine.join(known, "text_key", "left_anti"), fn, concurrency))
+        if not fresh.isEmpty():
+            log.commit({extractor: fresh.filter("reply IS NOT NULL")})
+        asked.append(fresh.filter("reply IS NULL"))
+    return functools.reduce(DataFrame.unionByName, asked, texts.join(log.read(extractor, REPLIES), "text_key").select("text_key", "reply"))
+
+
+def extract_batch(chunks: DataFrame, fn: Callable[[str], str | None], concurrency: int, across_documents: bool = False, store: str | None = None, extractor: str = "replies", waves: int = 8) -> DataFrame:
     """Call the extractor once for each distinct text (of a document, or of all) and give every chunk its reply.
 
-    ``concurrency`` tasks call at a time. A reply of null is a failure and is never reused: chunks that repeat a failed
-    text are tried on their own, in the tasks where they stand, and are not marked reused.
+    A reply of null is a failure and is never reused: chunks that repeat a failed text are tried on their own, and are
+    not marked reused. The result is a written table, so that reading it again calls nothing. With ``store``, a folder of
+    snapshots, a text is asked once for all documents and its reply is kept under the name of the ``extractor``, for
+    later runs too (``fill_replies``).
     """
     scope = [] if across_documents else ["doc_id"]
     keyed = chunks.withColumn("text_key", text_key())
     first = keyed.groupBy(*scope, "text_key").agg(F.min(F.struct("order", "chunk_id", "text")).alias("first")).select(*scope, "text_key", F.col("first.chunk_id").alias("asked_id"), F.col("first.text").alias("text"))
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(reply=[fn(t) for t in batch["text"]]).drop(columns="text")
-
-    schema = first.drop("text").schema.add("reply", "string")
-    replies = first.repartition(concurrency).mapInPandas(call, schema)
+    if store is None:
+        # a text of one document is asked apart from the same text of another
+        by_scope = F.concat_ws("\u0001", *scope, "text_key")
+        replies = stored(ask(first.withColumn("text_key", by_scope), fn, concurrency))
+        asked = first.drop("text").withColumn("asked_key", by_scope)
+    else:
+        replies = stored(fill_replies(first.groupBy("text_key").agg(F.min("text").alias("text")), fn, concurrency, Snapshots(chunks.sparkSession, store), extractor, waves))
+        asked = first.drop("text").withColumn("asked_key", F.col("text_key"))
     repeat = F.col("chunk_id") != F.col("asked_id")
-    joined = keyed.join(replies, [*scope, "text_key"]).select("chunk_id", "doc_id", "order", "reply", (repeat & F.col("reply").isNotNull()).alias("reused"), F.when(repeat & F.col("reply").isNull(), F.col("text")).alias("again"))
+    joined = keyed.join(asked, [*scope, "text_key"]).drop("text_key").join(replies.withColumnRenamed("text_key", "asked_key"), "asked_key")
+    joined = joined.select("chunk_id", "doc_id", "order", "reply", (repeat & F.col("reply").isNotNull()).alias("reused"), F.when(repeat & F.col("reply").isNull(), F.col("text")).alias("again"))
 
     def retry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -43,7 +80,7 @@ def extract_batch(chunks: DataFrame, fn: Callable[[str], str | None], concurrenc
             batch.loc[own, "reply"] = [fn(t) for t in batch.loc[own, "again"]]
             yield batch.drop(columns="again")
 
-    return joined.mapInPandas(retry, joined.drop("again").schema)
+    return stored(joined.mapInPandas(retry, joined.drop("again").schema))
 
 
 def reuse_plan(chunks: DataFrame) -> DataFrame:
@@ -92,21 +129,38 @@ def failed_chunks(replies: DataFrame) -> DataFrame:
     return replies.filter(reply_object().isNull())
 
 
-def dictionary_entities(chunks: DataFrame, dictionary: DataFrame, longest: int = 4) -> DataFrame:
+def term_trie(dictionary: DataFrame) -> DataFrame:
+    """The first 1, 2 ... tokens of every term: (depth, prefix, deepest, whole, semantic_type). ``deepest`` is the length
+    of the longest term below, and ``whole`` is true where the prefix is a term itself."""
+    parts = F.split("normalized_name", " ")
+    terms = dictionary.groupBy(F.col("normalized_term").alias("normalized_name")).agg(F.min("semantic_type").alias("semantic_type")).withColumn("n", F.size(parts))
+    nodes = terms.select("n", "semantic_type", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), " ").alias("prefix")))).alias("x")).select("n", "semantic_type", "x.*")
+    here = F.col("n") == F.col("depth")
+    return nodes.groupBy("depth", "prefix").agg(F.max("n").alias("deepest"), F.max(here).alias("whole"), F.max(F.when(here, F.col("semantic_type"))).alias("semantic_type"))
+
+
+def dictionary_entities(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Terms of the dictionary in each chunk: (doc_id, chunk_id, order, pos, n, name, normalized_name, entity_type).
 
-    Every token meets the first tokens of the terms in one equi-join (Spark broadcasts the dictionary where it is
-    small); the rest of a term is compared only there. Terms of more than ``longest`` tokens are never found.
+    Places walk down a trie of the terms' tokens, one join a level (Spark broadcasts a level where it is small): all
+    tokens meet the first level, and only what is still on a path goes on. The dictionary's own longest term ends the
+    walk, so terms of any length are found.
     """
+    trie = stored(term_trie(dictionary))
+    depth = trie.agg(F.max("depth")).first()[0] or 1
+    level = lambda d: trie.filter(F.col("depth") == d).select(F.col("prefix").alias(f"prefix_{d}"), F.col("deepest").alias(f"deepest_{d}"), F.col("whole").alias(f"whole_{d}"), F.col("semantic_type").alias(f"type_{d}"))
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    parts = F.split("normalized_name", " ")
-    terms = dictionary.groupBy(F.col("normalized_term").alias("normalized_name")).agg(F.min("semantic_type").alias("semantic_type"))
-    heads = terms.select(F.element_at(parts, 1).alias("head"), F.size(parts).alias("n"), "normalized_name", "semantic_type").filter(F.col("n") <= longest)
-    every = chunks.select("doc_id", "chunk_id", "order", tokens.alias("tokens")).select("doc_id", "chunk_id", "order", "tokens", F.posexplode("tokens").alias("pos", "head"))
-    ahead = every.select("doc_id", "chunk_id", "order", "pos", "head", F.slice("tokens", F.col("pos") + 1, F.lit(longest)).alias("ahead"))
-    found = ahead.join(heads, "head").filter(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("normalized_name"))
+    every = chunks.select("doc_id", "chunk_id", "order", tokens.alias("tokens")).select("doc_id", "chunk_id", "order", "tokens", F.posexplode("tokens").alias("pos", "prefix_1"))
+    walk = every.select("doc_id", "chunk_id", "order", "pos", "prefix_1", F.slice("tokens", F.col("pos") + 1, F.lit(depth)).alias("ahead")).join(level(1), "prefix_1")
+    for d in range(2, depth + 1):
+        on_path = (F.size("ahead") >= d) & (F.col(f"deepest_{d - 1}") >= d)
+        # who has left the trie meets nothing, and not all in one place
+        nowhere = F.concat(F.lit("\u0001"), "chunk_id")
+        walk = walk.withColumn(f"prefix_{d}", F.when(on_path, F.array_join(F.slice("ahead", 1, d), " ")).otherwise(nowhere)).join(level(d), f"prefix_{d}", "left")
+    hits = F.filter(F.array(*(F.when(F.col(f"whole_{d}"), F.struct(F.lit(d).alias("n"), F.col(f"prefix_{d}").alias("name"), F.col(f"type_{d}").alias("semantic_type"))) for d in range(1, depth + 1))), lambda h: h.isNotNull())
+    found = walk.select("doc_id", "chunk_id", "order", "pos", F.explode(hits).alias("h")).select("doc_id", "chunk_id", "order", "pos", "h.*")
     kind = F.when(F.col("semantic_type").isin(*ENTITY_TYPES), F.col("semantic_type")).otherwise("other")
-    return found.select(F.sha2(F.concat_ws("\u0001", "chunk_id", "pos", "n"), 256).alias("entity_id"), "doc_id", "chunk_id", "order", "pos", "n", F.col("normalized_name").alias("name"), "normalized_name", kind.alias("entity_type"))
+    return found.select(F.sha2(F.concat_ws("\u0001", "chunk_id", "pos", "n"), 256).alias("entity_id"), "doc_id", "chunk_id", "order", "pos", "n", "name", F.col("name").alias("normalized_name"), kind.alias("entity_type"))
 
 
 def rule_relations(entities: DataFrame, rules: DataFrame) -> DataFrame:

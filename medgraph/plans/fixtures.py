@@ -36,8 +36,12 @@ class Tables:
 
     def documents(self) -> DataFrame:
         """src_documents: a fourth are patient records, with headers around the text."""
+        return self.as_documents(spread(self.raw("documents")))
+
+    @staticmethod
+    def as_documents(raw: DataFrame) -> DataFrame:
         patient = F.col("doc_id") % 4 == 0
-        return spread(self.raw("documents")).select(
+        return raw.select(
             "doc_id",
             F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
             F.when(patient, "patient_record").otherwise("textbook").alias("doc_type"),
@@ -74,7 +78,7 @@ class Tables:
         return pairs.distinct()
 
     def entities(self) -> DataFrame:
-        return extract.dictionary_entities(self._stored.get("chunks", self.chunks()), self.dictionary(), 2)
+        return extract.dictionary_entities(self._stored.get("chunks", self.chunks()), self.dictionary())
 
     def relations(self) -> DataFrame:
         return extract.rule_relations(self._stored.get("entities", self.entities()), self.rules())

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import TOKEN
 from ..operators import extract, graph, retrieve
 from ..sources.scratch import shared_dir, stored
+from ..sources.snapshots import Snapshots
 from ..streaming import ingest as stream
 from .fixtures import Tables, with_ctes
 from .text_queries import TERM_CTE
@@ -35,6 +39,19 @@ def dictionary_entities(t: Tables) -> DataFrame:
     return t.entities()
 
 
+@query(with_ctes("chunk_tokens", "item_tokens").rstrip() + """,
+long_terms AS (SELECT array_to_string(tokens[1:m], ' ') AS term, (['symptom', 'diagnosis', 'treatment'])[min(item_id) % 3 + 1] AS kind, m FROM item_tokens, (SELECT unnest([3, 6, 9]) AS m) WHERE len(tokens) >= m GROUP BY ALL),
+places AS (SELECT doc_id, chunk_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM chunk_tokens)
+SELECT doc_id, chunk_id, (i - 1)::INT AS pos, m AS n, term AS name, min(kind) AS entity_type FROM places JOIN long_terms ON tokens[i] = string_split(term, ' ')[1] AND array_to_string(tokens[i : i + m - 1], ' ') = term AND i + m - 1 <= len(tokens) GROUP BY ALL""")
+def dictionary_long_terms(t: Tables) -> DataFrame:
+    """Terms of 3, 6 and 9 tokens, each the start of the next."""
+    tokens = t.raw("benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    kinds = F.array(F.lit("symptom"), F.lit("diagnosis"), F.lit("treatment"))
+    starts = tokens.select("item_id", "tokens", F.explode(F.array(F.lit(3), F.lit(6), F.lit(9))).alias("m")).filter("size(tokens) >= m")
+    terms = starts.groupBy(F.array_join(F.slice("tokens", F.lit(1), F.col("m")), " ").alias("normalized_term")).agg(F.element_at(kinds, (F.min("item_id") % 3 + 1).cast("int")).alias("semantic_type"))
+    return extract.dictionary_entities(t.chunks(), terms).select("doc_id", "chunk_id", "pos", "n", "name", "entity_type")
+
+
 @query(with_ctes("relations") + "SELECT * FROM relations")
 def rule_relations(t: Tables) -> DataFrame:
     return t.relations()
@@ -114,6 +131,15 @@ def extract_batch(t: Tables) -> DataFrame:
     return got.select("doc_id", "order", "reused", F.get_json_object("reply", "$.entities[0].name").alias("name"))
 
 
+@query(with_ctes("chunks") + """SELECT DISTINCT sha256(text) AS text_key, string_split_regex(text, '\\s+')[1] AS name FROM chunks""")
+def stored_replies(t: Tables) -> DataFrame:
+    """Two runs over one store of replies: half of the documents, then all."""
+    store, chunks = f"{shared_dir(t.spark)}/replies-{uuid.uuid4().hex}", t.stored("chunks")
+    for part in (chunks.filter("doc_id % 2 = 0"), chunks):
+        extract.extract_batch(part, _first_word, concurrency=8, across_documents=True, store=store, extractor="first_word", waves=2)
+    return Snapshots(t.spark, store).read("first_word").select("text_key", F.get_json_object("reply", "$.entities[0].name").alias("name"))
+
+
 # --- graph tables
 
 
@@ -374,8 +400,6 @@ def history_messages(t: Tables) -> DataFrame:
 
 def _stream(t: Tables, name: str) -> tuple[DataFrame, str]:
     """The table as a stream, and a fresh folder that driver and executors share."""
-    import uuid
-
     path = f"{t.sf_dir}/{name}.parquet*"  # a pattern, since a stream takes a folder but no single file
     schema = t.raw(name).schema
     return t.spark.readStream.schema(schema).parquet(path), f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
@@ -397,12 +421,27 @@ def stream_dedup(t: Tables) -> DataFrame:
     return _run(stream.drop_duplicates(_uploads(docs), "3650 days"), folder).select("source_hash", "doc_type")
 
 
-@query("SELECT count(*) AS documents, count(DISTINCT (sha256(text), doc_id % 4 = 0)) AS stored FROM documents WHERE text <> ''")
+@query(with_ctes("chunks", "entities", "relations", "src") + """, firsts AS (SELECT arg_min(doc_id, ingested_at) AS doc_id FROM src GROUP BY source_hash, doc_type)
+SELECT 'document' AS kind, doc_id::VARCHAR AS id FROM firsts UNION ALL SELECT 'chunk', chunk_id FROM chunks SEMI JOIN firsts USING (doc_id) UNION ALL SELECT 'entity', entity_id FROM entities SEMI JOIN firsts USING (doc_id)
+UNION ALL SELECT DISTINCT 'edge', source_id || ' ' || relation_type || ' ' || target_id FROM relations SEMI JOIN firsts USING (doc_id)""")
 def stream_ingest(t: Tables) -> DataFrame:
     docs, folder = _stream(t, "documents")
-    stream.stream_ingest(_uploads(docs), f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
-    stored = t.spark.read.parquet(f"{folder}/store/chunks").agg(F.countDistinct("doc_id").alias("stored"))
-    return t.raw("documents").agg(F.count("*").alias("documents")).crossJoin(F.broadcast(stored))
+    stream.stream_ingest(t.as_documents(docs).select("doc_id", "doc_type", "source_hash", "ingested_at", "text"), f"{folder}/store", f"{folder}/checkpoint", t.dictionary(), t.rules()).awaitTermination()
+    log = Snapshots(t.spark, f"{folder}/store")
+    rows = [("documents", "document", F.col("doc_id").cast("string")), ("chunks", "chunk", F.col("chunk_id")), ("entities", "entity", F.col("entity_id")), ("edges", "edge", F.concat_ws(" ", "source_id", "relation_type", "target_id"))]
+    return functools.reduce(DataFrame.unionByName, (log.read(table).select(F.lit(kind).alias("kind"), key.alias("id")) for table, kind, key in rows))
+
+
+ORACLES["stream_ingest"] = ORACLES["stream_ingest"].replace(")\n, firsts AS", "),\nfirsts AS", 1)
+
+
+@query(with_ctes("chunks", "entities") + "SELECT 'chunk' AS kind, chunk_id AS id FROM chunks UNION ALL SELECT 'entity', entity_id FROM entities")
+def snapshot_commits(t: Tables) -> DataFrame:
+    """Chunks and entities of even and of odd documents as two changes, the first one tried twice."""
+    log = Snapshots(t.spark, f"{shared_dir(t.spark)}/snapshots-{uuid.uuid4().hex}")
+    for number in (0, 0, 1):
+        log.commit({name: t.stored(name).filter(F.col("doc_id") % 2 == number) for name in ("chunks", "entities")}, "load", number)
+    return log.read("chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")).unionByName(log.read("entities").select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id")))
 
 
 @query("""WITH e AS (SELECT date_trunc('hour', ts) AS window_start, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status FROM events)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, corpus, deid, extract, graph
 from ..sources import files, records
+from ..sources.scratch import shared_dir
 from .fixtures import Tables, with_ctes
 
 #: White space that SQL trims; texts of the tables hold no other.
@@ -164,6 +167,24 @@ def xml_paragraphs(t: Tables) -> DataFrame:
     return records.paragraph_rows(t.raw("part").select(F.col("p_partkey").alias("doc_id"), raw.alias("raw")), "raw", records.xml_paragraphs).select("doc_id", "pos", "paragraph")
 
 
+@query("""SELECT 'key: ' || p_partkey || chr(10) || 'name: ' || p_name || chr(10) || 'brand: ' || p_brand || chr(10) || 'size: ' || p_size AS paragraph FROM part
+UNION ALL SELECT 'a ' || p_type || ' of ' || p_brand FROM part""")
+def xml_records(t: Tables) -> DataFrame:
+    """One XML file of all parts, read by as many tasks as Spark cuts it into."""
+    cell = lambda name, c: F.concat(F.lit(f"<{name}>"), F.col(c).cast("string"), F.lit(f"</{name}>"))
+    record = F.concat(F.lit("<part>"), cell("key", "p_partkey"), cell("name", "p_name"), cell("brand", "p_brand"), F.lit("<p>a <b>"), "p_type", F.lit("</b> of "), "p_brand", F.lit("</p>\n"), cell("size", "p_size"), F.lit("</part>"))
+    folder = f"{shared_dir(t.spark)}/xml-{uuid.uuid4().hex}"
+    t.raw("part").select(record).coalesce(1).write.text(folder)
+    return records.xml_records(t.spark, folder, "part").select("paragraph")
+
+
+@query("SELECT event_id, 'id: ' || event_id || chr(10) || 'type: ' || event_type AS paragraph FROM events")
+def jsonl_records(t: Tables) -> DataFrame:
+    folder = f"{shared_dir(t.spark)}/jsonl-{uuid.uuid4().hex}"
+    t.raw("events").select(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))).write.text(folder)
+    return records.jsonl_records(t.spark, folder).select(F.regexp_extract("paragraph", r"^id: (\d+)", 1).cast("long").alias("event_id"), "paragraph")
+
+
 @query("""SELECT p_partkey, 'p_name: ' || p_name || chr(10) || 'p_brand: ' || p_brand || chr(10) || 'p_type: ' || p_type || chr(10) || 'p_size: ' || p_size AS paragraph FROM part""")
 def csv_paragraphs(t: Tables) -> DataFrame:
     return t.raw("part").select("p_partkey", records.row_paragraph(["p_name", "p_brand", "p_type", "p_size"]).alias("paragraph"))

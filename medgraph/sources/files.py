@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode, html_to_text, markdown_to_text
@@ -22,14 +22,22 @@ READERS = {
 }
 
 
-def intake(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files(path, content) -> (accepted with filename, suffix, reader, source_hash; rejects with unknown suffix)."""
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    reader = F.lit(None).cast("string")
+def _suffix(name: Column) -> Column:
+    return F.lower(F.regexp_extract(F.regexp_extract(name, r"([^/]*)$", 1), r"(\.[^.]*)$", 1))
+
+
+def reader_of(name: Column | str) -> Column:
+    """The reader that takes a file, by its suffix; null where none does."""
+    suffix, reader = _suffix(F.col(name) if isinstance(name, str) else name), F.lit(None).cast("string")
     for kind, suffixes in READERS.items():
         reader = F.when(suffix.isin(*suffixes), kind).otherwise(reader)
-    rows = files.select("path", name.alias("filename"), suffix.alias("suffix"), reader.alias("reader"), F.sha2("content", 256).alias("source_hash"), "content")
+    return reader
+
+
+def intake(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(path, content) -> (accepted with filename, suffix, reader, source_hash; rejects with unknown suffix)."""
+    path = F.col("path")
+    rows = files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), _suffix(path).alias("suffix"), reader_of(path).alias("reader"), F.sha2("content", 256).alias("source_hash"), "content")
     return rows.filter("reader IS NOT NULL"), rows.filter("reader IS NULL").drop("content", "reader")
 
 
@@ -40,19 +48,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(accepted: DataFrame) -> DataFrame:
     """Texts of accepted files (doc_id, reader, content) as (doc_id, text, error): built-in readers for text, HTML and
-    Markdown, helpers for the record formats."""
+    Markdown, and one pass of helpers, chosen by the reader, for the record formats. A record file without a paragraph
+    gives no row. Files too large for one row are for ``records.xml_records`` and ``records.jsonl_records``."""
     plain = accepted.filter("reader IN ('text', 'html', 'markdown')").withColumn("raw", decode("content"))
     text = F.when(F.col("reader") == "html", html_to_text("raw")).when(F.col("reader") == "markdown", markdown_to_text("raw")).otherwise(F.col("raw"))
-    out = plain.select("doc_id", text.alias("text"), F.lit(None).cast("string").alias("error"))
-    parsers = {"xml": records.xml_paragraphs, "json": records.json_paragraphs, "jsonl": records.jsonl_paragraphs, "csv": records.delimited_paragraphs, "tsv": lambda raw: records.delimited_paragraphs(raw, "\t")}
-    for reader, parse in parsers.items():
-        mine = accepted.filter(F.col("reader") == reader)
-        # the XML parser reads bytes, since a file may declare its own encoding
-        content = F.col("content") if reader == "xml" else decode("content")
-        rows = records.paragraph_rows(mine.select("doc_id", content.alias("raw")), "raw", parse)
-        joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "paragraph"))), lambda p: p["paragraph"]), "\n\n").alias("text"), F.max("error").alias("error"))
-        out = out.unionByName(joined)
-    return out
+    is_xml = F.col("reader") == "xml"  # its parser reads bytes, since a file may declare its own encoding
+    formats = accepted.filter("reader NOT IN ('text', 'html', 'markdown')").select("doc_id", "reader", F.when(is_xml, F.col("content")).alias("raw"), F.when(~is_xml, decode("content")).alias("body"))
+    return plain.select("doc_id", text.alias("text"), F.lit(None).cast("string").alias("error")).unionByName(records.record_texts(formats))
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from medgraph.functions import text as T
 from medgraph.operators import chunk, corpus, deid, extract, graph, retrieve
 from medgraph.sources import files, records
+from medgraph.sources.snapshots import Snapshots
 from medgraph.streaming import ingest
 
 
@@ -272,8 +273,8 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     for batch in (first, second):
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         uploads = ingest.read_uploads(spark, str(tmp_path / "in"), schema)
-        ingest.stream_ingest(uploads, str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "store/chunks")).collect()) == [1, 3, 5]
+        ingest.stream_ingest(uploads, f"file://{tmp_path}/store", str(tmp_path / "check")).awaitTermination()
+    assert sorted(r.doc_id for r in Snapshots(spark, f"file://{tmp_path}/store").read("chunks").collect()) == [1, 3, 5]
 
 
 def test_patients_named_alone(spark):
