@@ -122,9 +122,13 @@ class Tables:
         )
 
     def ledger(self) -> DataFrame:
+        return self.as_ledger(self.raw("events"))
+
+    @staticmethod
+    def as_ledger(events: DataFrame) -> DataFrame:
         kind = F.col("event_type")
         status = F.when(kind == "signup", "queued").when(kind.isin("view", "click"), "running").when(kind == "purchase", "succeeded").otherwise("failed")
-        return self.raw("events").select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), status.alias("status"))
+        return events.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), status.alias("status"))
 
 
 # The same views for DuckDB. Each entry may use the ones before it.

@@ -14,6 +14,7 @@ from ..operators import extract, graph, retrieve
 from ..sources.scratch import shared_dir, stored
 from ..sources.snapshots import Snapshots
 from ..streaming import ingest as stream
+from ..streaming import ledger
 from .fixtures import Tables, with_ctes
 from .text_queries import TERM_CTE
 
@@ -454,3 +455,10 @@ def stream_progress(t: Tables) -> DataFrame:
     return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(ORACLES["run_ledger"])
+def stream_run_ledger(t: Tables) -> DataFrame:
+    """The ledger as keyed state over a stream: the same jobs as ``run_ledger`` finds in the table."""
+    events, folder = _stream(t, "events")
+    ledger.stream_ledger(t.as_ledger(events), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    now = ledger.ledger(t.spark.read.option("basePath", f"{folder}/changes").parquet(f"{folder}/changes"))
+    return now.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -294,10 +295,26 @@ def assign_pseudonyms(t: Tables) -> DataFrame:
     return deid.assign_pseudonyms(docs, docs.filter("doc_id % 12 = 0").select("doc_id", "pseudonym"))
 
 
-@query()
+@query(with_ctes("chunks", "entities", "relations", "src").rstrip() + f""",
+pending AS (SELECT * FROM chunks WHERE source_type = 'patient_record' AND NOT deidentified),
+gone AS (SELECT entity_id FROM entities WHERE pos % 2 = 0 AND doc_id IN (SELECT doc_id FROM pending)),
+top AS (SELECT max(doc_id) AS n FROM src WHERE doc_id % 8 = 0),
+numbered AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN doc_id ELSE (SELECT n FROM top) + row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) END AS n FROM src WHERE doc_id % 4 = 0)
+SELECT 'chunk' AS kind, chunk_id AS id, sha256(CASE WHEN "order" = 0 THEN 'Mr. [PERSON-1]. ' ELSE '' END || {_PLACED}) AS detail FROM pending
+UNION ALL SELECT 'chunk', chunk_id, sha256(CASE WHEN "order" = 0 THEN 'Mr. John Smith. ' ELSE '' END || text) FROM chunks ANTI JOIN pending USING (chunk_id)
+UNION ALL SELECT 'entity', entity_id, NULL FROM entities WHERE entity_id NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'edge', source_id, target_id FROM relations WHERE source_id NOT IN (SELECT * FROM gone) AND target_id NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'pseudonym', doc_id::VARCHAR, 'P-' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END FROM numbered
+UNION ALL SELECT 'updated', doc_id::VARCHAR, count(*)::VARCHAR FROM pending GROUP BY doc_id
+UNION ALL SELECT 'removed', p.doc_id::VARCHAR, (SELECT count(*) FROM entities e JOIN gone g USING (entity_id) WHERE e.doc_id = p.doc_id)::VARCHAR FROM (SELECT DISTINCT doc_id FROM pending) p""")
 def deid_backfill(t: Tables) -> DataFrame:
-    named = F.when(F.col("order") == 0, F.concat(F.lit("Mr. John Smith. "), "text")).otherwise(F.col("text"))
-    return deid.backfill(t.chunks().withColumn("text", named), t.entities().select("entity_id", "doc_id", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Smith "), "name")).otherwise(F.col("name")).alias("name")))[2]
+    """Every table after the backfill: half of the patients' chunks name a man, whose name their entities hold as well."""
+    docs, text = t.documents(), F.when(F.col("order") == 0, F.concat(F.lit("Mr. John Smith. "), "text")).otherwise(F.col("text"))
+    entities = t.stored("entities").select("entity_id", "doc_id", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Smith "), "name")).otherwise(F.col("name")).alias("name"))
+    after = deid.backfill_graph(docs, t.stored("chunks").withColumn("text", text), entities, t.stored("relations"), docs.filter("doc_id % 8 = 0").select("doc_id", "pseudonym"))
+    rows = lambda table, kind, key, detail: after[table].select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), detail.cast("string").alias("detail"))
+    parts = [rows("chunks", "chunk", "chunk_id", F.sha2("text", 256)), rows("entities", "entity", "entity_id", F.lit(None)), rows("relations", "edge", "source_id", F.col("target_id")), rows("pseudonyms", "pseudonym", "doc_id", F.col("pseudonym")), rows("counts", "updated", "doc_id", F.col("chunks_updated")), rows("counts", "removed", "doc_id", F.col("entities_removed"))]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # --- corpus audit

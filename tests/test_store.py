@@ -187,3 +187,27 @@ def test_chunks_of_a_store_are_those_of_a_batch(spark, tmp_path):
     docs.coalesce(1).write.parquet(str(tmp_path / "in"))
     ingest.stream_ingest(ingest.read_uploads(spark, str(tmp_path / "in"), docs.schema), f"file://{tmp_path}/store", str(tmp_path / "check")).awaitTermination()
     assert _rows(Snapshots(spark, f"file://{tmp_path}/store").read("chunks").select("chunk_id", "text")) == _rows(chunk.chunk_documents(docs).select("chunk_id", "text"))
+
+
+def test_the_ledger_of_a_stream_is_that_of_the_table(spark, tmp_path):
+    from medgraph.operators import graph
+    from medgraph.streaming import ledger
+
+    hour = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    schema = "job long, ts timestamp, seq long, status string"
+    batches = [
+        [(1, hour(0), 1, "queued"), (1, hour(1), 2, "succeeded"), (2, hour(1), 3, "running"), (3, hour(2), 4, "queued"), (3, hour(2), 5, "failed")],
+        [(4, hour(20), 6, "running"), (3, hour(20), 7, "running"), (1, hour(1.5), 8, "failed")],
+        # hour 0 is long past; job 1 ended over a day before hour 40; job 2 still runs
+        [(5, hour(40), 9, "succeeded"), (2, hour(0), 10, "failed"), (3, hour(21), 11, "succeeded")],
+        [(6, hour(64), 12, "queued")],
+    ]
+    seen, late = [], {8, 10}  # older than the watermark when they came
+    for at, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ledger.stream_ledger(events, f"file://{tmp_path}/changes", str(tmp_path / "check")).awaitTermination()
+        seen += [r for r in rows if r[2] not in late]
+        got = _rows(ledger.ledger(spark.read.option("basePath", f"file://{tmp_path}/changes").parquet(f"file://{tmp_path}/changes")))
+        assert got == _rows(graph.run_ledger(spark.createDataFrame(seen, schema))), at
+    assert [r[0] for r in got] == [2, 4, 5, 6]
