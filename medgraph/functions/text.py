@@ -156,18 +156,22 @@ def question_tokens(x: Text) -> Column:
 def term_runs(tokens: Column, least: int = 3, glue: str = " ", stopwords: tuple | list = STOPWORDS) -> Column:
     """Runs of 1 to 4 tokens that no stopword begins or ends; single tokens need ``least`` characters."""
     stops = F.array(*[F.lit(w) for w in stopwords])
-    def runs_of(n: int) -> Column:
-        last = F.size(tokens) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-        def good(i: Column) -> Column:
-            ok = ~F.array_contains(stops, F.element_at(tokens, i)) & ~F.array_contains(stops, F.element_at(tokens, i + (n - 1)))
-            return ok & (F.length(F.element_at(tokens, i)) >= least) if n == 1 else ok
+    def runs(bound: Column) -> Column:
+        def runs_of(n: int) -> Column:
+            last = F.size(bound) - n + 1
+            starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-        return F.transform(F.filter(starts, good), lambda i: F.array_join(F.slice(tokens, i, n), glue))
+            def good(i: Column) -> Column:
+                ok = ~F.array_contains(stops, F.element_at(bound, i)) & ~F.array_contains(stops, F.element_at(bound, i + (n - 1)))
+                return ok & (F.length(F.element_at(bound, i)) >= least) if n == 1 else ok
 
-    parts = [runs_of(n) for n in range(1, MAX_NGRAM + 1)]
-    return F.array_distinct(F.concat(*parts))
+            return F.transform(F.filter(starts, good), lambda i: F.array_join(F.slice(bound, i, n), glue))
+
+        return F.concat(*(runs_of(n) for n in range(1, MAX_NGRAM + 1)))
+
+    # the tokens as a lambda's variable: as an expression they would be found anew for every place of every run
+    return F.array_distinct(F.flatten(F.transform(F.array(tokens), runs)))
 
 
 def question_terms(x: Text) -> Column:
