@@ -82,7 +82,7 @@ def unescape(x: Text) -> Column:
     """Character references of HTML, named and numbered, each once. Only texts that hold one leave the JVM."""
     x = _c(x)
     some = F.contains(x, F.lit("&"))
-    return F.when(some, _unescape(F.when(some, x))).otherwise(x)
+    return F.coalesce(_unescape(F.when(some, x)), x)  # the text is only made again where nothing was sent
 
 
 def html_to_text(html: Text) -> Column:
@@ -97,7 +97,9 @@ def html_to_text(html: Text) -> Column:
     body = F.regexp_replace(body, rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n\n")
     body = tidy(unescape(F.regexp_replace(body, r"(?s)</?[a-zA-Z][^>]*>", "")))
     body = F.regexp_replace(body, r"(?m)\s*\|\s*$", "")
-    return strip(F.when((title != "") & ~F.startswith(body, title), F.concat(title, F.lit("\n\n"), body)).otherwise(body))
+    # bound once: the expression for the body is long, and what follows reads it three times
+    whole = F.transform(F.array(F.struct(title.alias("title"), body.alias("body"))), lambda p: F.when((p["title"] != "") & ~F.startswith(p["body"], p["title"]), F.concat(p["title"], F.lit("\n\n"), p["body"])).otherwise(p["body"]))
+    return strip(F.get(whole, F.lit(0)))
 
 
 #: Markdown syntax and what stays of it, in the order of application.
