@@ -179,6 +179,17 @@ def link_definitions(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
     return entities.join(one.select("normalized_name", "d.*"), "normalized_name", "left")
 
 
+def defined_as(entities: DataFrame, links: DataFrame) -> DataFrame:
+    """DEFINED_AS edges: (entity_id, doc_id, chunk_id, normalized_name, normalized_term, source), one from each mention to
+    each definition that its name is linked to.
+
+    links(normalized_name, normalized_term, source) is what a linker says: a definition may stand under another name
+    than the mention's (a preferred term). Nulls link nothing; repeated links make one edge.
+    """
+    once = links.select("normalized_name", "normalized_term", "source").filter("normalized_term IS NOT NULL").distinct()
+    return entities.select("entity_id", "doc_id", "chunk_id", "normalized_name").join(once, "normalized_name").select("entity_id", "doc_id", "chunk_id", "normalized_name", "normalized_term", "source")
+
+
 def undefined_entities(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
     """How often each name without a definition is mentioned."""
     counts = entities.groupBy("normalized_name").agg(F.count("*").alias("mentions"))

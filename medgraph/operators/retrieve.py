@@ -26,14 +26,17 @@ def add_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(F.concat(question_terms("question"), F.coalesce("translated", F.array().cast("array<string>"))))).alias("term"))
 
 
-def direct_names(terms: DataFrame, entities: DataFrame, definitions: DataFrame) -> DataFrame:
+def defined_names(defined_as: DataFrame) -> DataFrame:
+    """Distinct (name, term) of DEFINED_AS edges that lead to another name: as many rows as names, however many mentions."""
+    return defined_as.filter("normalized_name <> normalized_term").select(F.col("normalized_name").alias("name"), F.col("normalized_term").alias("term")).distinct()
+
+
+def direct_names(terms: DataFrame, defined: DataFrame) -> DataFrame:
     """(question_id, name): the terms, and names of entities whose definition's term is one of them.
 
-    Entities are reduced to their distinct names first: the join is on the dictionary, not on mentions.
+    ``defined`` is what ``defined_names`` gives. A name that is defined under itself is among the terms already.
     """
-    known = entities.select(F.col("normalized_name").alias("name")).distinct()
-    defined = known.join(definitions.select(F.col("normalized_term").alias("name")).distinct(), "name", "left_semi")
-    linked = terms.join(defined.select(F.col("name").alias("term"), "name"), "term").select("question_id", "name")
+    linked = terms.join(defined, "term").select("question_id", "name")
     return terms.select("question_id", F.col("term").alias("name")).unionByName(linked).distinct()
 
 
@@ -67,25 +70,34 @@ def mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.select("chunk_id", F.col("normalized_name").alias("name")).distinct().join(open_, "chunk_id")
 
 
+def in_scope(hits: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """Rows (question_id, doc_id, ...) of questions without a scope, and those within it. Sizes decide the join."""
+    if scope is None:
+        return hits
+    limited = scope.select("question_id").distinct().withColumn("limited", F.lit(True))
+    allowed = scope.filter("doc_id IS NOT NULL").withColumn("allowed", F.lit(True))
+    return hits.join(limited, "question_id", "left").join(allowed, ["question_id", "doc_id"], "left").filter("limited IS NULL OR allowed").drop("limited", "allowed")
+
+
 def mention_counts(names: DataFrame, mentioned: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, doc_id, order, hits): distinct matched names of a question in a chunk."""
-    hits = names.join(mentioned, "name")
-    if scope is not None:
-        limited = scope.select("question_id").distinct().withColumn("limited", F.lit(True))
-        allowed = scope.filter("doc_id IS NOT NULL").withColumn("allowed", F.lit(True))
-        hits = hits.join(limited, "question_id", "left").join(allowed, ["question_id", "doc_id"], "left").filter("limited IS NULL OR allowed").drop("limited", "allowed")
+    hits = in_scope(names.join(mentioned, "name"), scope)
     return hits.groupBy("question_id", "chunk_id", "doc_id", "order").agg(F.count("*").alias("hits"))
 
 
+def weighted_names(direct: DataFrame, related: DataFrame) -> DataFrame:
+    """(question_id, name, weight): direct names count whole, related ones half."""
+    return direct.withColumn("weight", F.lit(1.0)).unionByName(related.withColumn("weight", F.lit(RELATED_WEIGHT)))
+
+
+def score(weighted: DataFrame, mentioned: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """(question_id, chunk_id, doc_id, order, score): the weights of a question's names in a chunk."""
+    return in_scope(weighted.join(mentioned, "name"), scope).groupBy("question_id", "chunk_id", "doc_id", "order").agg(F.sum("weight").alias("score"))
+
+
 def chunk_scores(direct: DataFrame, related: DataFrame, mentioned: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Direct names count whole, related ones half. Both go through one join with the mentions."""
-    weighted = direct.withColumn("weight", F.lit(1.0)).unionByName(related.withColumn("weight", F.lit(RELATED_WEIGHT)))
-    hits = weighted.join(mentioned, "name")
-    if scope is not None:
-        limited = scope.select("question_id").distinct().withColumn("limited", F.lit(True))
-        allowed = scope.filter("doc_id IS NOT NULL").withColumn("allowed", F.lit(True))
-        hits = hits.join(limited, "question_id", "left").join(allowed, ["question_id", "doc_id"], "left").filter("limited IS NULL OR allowed")
-    return hits.groupBy("question_id", "chunk_id", "doc_id", "order").agg(F.sum("weight").alias("score"))
+    """Direct and related names go through one join with the mentions."""
+    return score(weighted_names(direct, related), mentioned, scope)
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -94,12 +106,55 @@ def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
     return scores.withColumn("number", F.row_number().over(w)).filter(F.col("number") <= k).select("question_id", "number", "chunk_id", "doc_id", "order", "score")
 
 
-def search(terms: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, definitions: DataFrame, scope: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
-    direct = direct_names(terms, entities, definitions)
+def search(terms: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, defined_as: DataFrame, scope: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
+    direct = direct_names(terms, defined_names(defined_as))
     related = related_names(direct, name_edges(entities, relations))
     return top_k(chunk_scores(direct, related, mentions(chunks, entities), scope), k)
 
 
+def bounded_names(weighted: DataFrame, mentioned: DataFrame, seed_postings: int) -> DataFrame:
+    """(question_id, name, weight, postings, reach, seed): what a name can add to a question, rarest names first.
+
+    ``postings`` is the number of chunks with the name, ``reach`` the summed weight of this name and all more frequent
+    ones of the question: no chunk without a rarer name scores higher. Seeds are the rarest names that have
+    ``seed_postings`` chunks together, and the rarest in any case.
+    """
+    sizes = mentioned.groupBy("name").agg(F.count("*").alias("postings"))
+    rarest = Window.partitionBy("question_id").orderBy("postings", "name")
+    rows = weighted.join(sizes, "name")
+    before = F.coalesce(F.sum("postings").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("reach", F.sum("weight").over(rarest.rowsBetween(0, Window.unboundedFollowing))).withColumn("seed", (before == 0) | (before + F.col("postings") <= seed_postings))
+
+
+def search_postings(weighted: DataFrame, mentioned: DataFrame, scope: DataFrame | None = None, k: int = TOP_K, seed_postings: int = 4096, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The rows of ``top_k(score(...))`` without reading the postings of frequent names whole.
+
+    1. Seeds, the rarest names of a question, are scored; the k-th best sum is a floor that the k-th result reaches.
+    2. A name whose reach is below the floor is optional: a chunk with optional names only can't enter. The other names
+       are required, and those that were no seeds are scored too.
+    3. Chunks that required names and all optional ones together can't lift to the floor go. Those left look up their
+       optional names by (name, chunk).
+
+    Reach equal to the floor counts as required, since ties go by document and place. Nothing is cut off: the result is
+    exact for any ``seed_postings``, which only moves work between the steps. ``cut`` is put on what several steps read.
+    """
+    place = ["question_id", "chunk_id", "doc_id", "order"]
+    names = cut(bounded_names(weighted, mentioned, seed_postings))
+    seeds = cut(score(names.filter("seed").select("question_id", "name", "weight"), mentioned, scope))
+    floors = top_k(seeds, k).groupBy("question_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(0.0)).alias("floor"))
+    ranked = names.join(floors, "question_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("optional", F.col("reach") < F.col("floor"))
+    ranked = cut(ranked.select("question_id", "name", "weight", "seed", "floor", "optional"))
+    # a seed is scored already, be it optional or not
+    more = score(ranked.filter("NOT optional AND NOT seed").select("question_id", "name", "weight"), mentioned, scope)
+    found = seeds.unionByName(more).groupBy(*place).agg(F.sum("score").alias("score"))
+    optional = ranked.filter("optional AND NOT seed")
+    most = ranked.groupBy("question_id").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("optional") & ~F.col("seed"), F.col("weight"))), F.lit(0.0)).alias("liftable"))
+    able = cut(found.join(most, "question_id").filter("score + liftable >= floor").select(*place, "score"))
+    asked = able.select(*place).join(optional.select("question_id", "name", "weight"), "question_id")
+    lifted = asked.join(mentioned.select("name", "chunk_id"), ["name", "chunk_id"]).groupBy(*place).agg(F.sum("weight").alias("score"))
+    return top_k(able.unionByName(lifted).groupBy(*place).agg(F.sum("score").alias("score")), k)
+
+
 def pseudonym_listing(scope: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """For questions that name patients and nothing else: the first readable chunks of those patients, score 0. The
     earliest places of all of them are taken, and numbered by document."""
@@ -121,29 +176,39 @@ def user_turns(conversations: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), "conv_id", "turn", "question", "terms", earlier.alias("earlier_terms"), pseudonyms.alias("pseudonyms"))
 
 
-def retrieve_conversations(turns: DataFrame, docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, definitions: DataFrame, k: int = TOP_K, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def answered(names: DataFrame, mentioned: DataFrame, scope: DataFrame) -> DataFrame:
+    """Which questions of ``names(question_id, ..., name)`` find anything in their scope, by names and documents only:
+    no question meets a chunk here."""
+    known = mentioned.select("name").distinct()
+    limited = scope.select("question_id").distinct()
+    free = names.join(limited, "question_id", "left_anti").join(known, "name", "left_semi")
+    bound = names.join(scope.filter("doc_id IS NOT NULL"), "question_id").join(mentioned.select("name", "doc_id").distinct(), ["name", "doc_id"], "left_semi").drop("doc_id")
+    return free.unionByName(bound)
+
+
+def retrieve_conversations(turns: DataFrame, docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, defined_as: DataFrame, k: int = TOP_K, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Own terms first, or a named patient's records where a turn has no terms; unanswered turns again with earlier
     terms; then a named patient's records.
 
-    ``cut`` is put on what several passes read (a writer of tables there spares each pass the plans before it).
+    Which route answers is settled by names alone; each turn's chunks are then scored once, by that route's names.
+    ``cut`` is put on what several steps read (a writer of tables there spares each step the plans before it).
     """
     turns = cut(turns)
-    scope, mentioned, edges = cut(pseudonym_scope(turns, docs)), cut(mentions(chunks, entities)), cut(name_edges(entities, relations))
-
-    def run(terms: DataFrame, route: str) -> DataFrame:
-        direct = direct_names(terms, entities, definitions)
-        return cut(top_k(chunk_scores(direct, related_names(direct, edges), mentioned, scope), k).withColumn("route", F.lit(route)))
-
-    def listing(asked: DataFrame) -> DataFrame:
-        return pseudonym_listing(scope.join(asked.select("question_id"), "question_id", "left_semi"), chunks, k).withColumn("route", F.lit("patient"))
-
-    first = run(turns.select("question_id", F.explode("terms").alias("term")).distinct(), "own")
-    bare = cut(listing(turns.filter(F.size("terms") == 0)))
-    rest = turns.join(first.select("question_id").unionByName(bare.select("question_id")).distinct(), "question_id", "left_anti")
-    more = rest.filter(F.size("earlier_terms") > 0).select("question_id", F.explode(F.array_union("terms", "earlier_terms")).alias("term")).distinct()
-    second = run(more, "earlier")
-    left = rest.select("question_id").join(second.select("question_id").distinct(), "question_id", "left_anti")
-    return first.unionByName(bare).unionByName(second).unionByName(listing(left))
+    scope, mentioned = cut(pseudonym_scope(turns, docs)), cut(mentions(chunks, entities))
+    both = turns.select("question_id", F.explode(F.array(F.struct(F.lit("own").alias("route"), F.col("terms").alias("t")), F.struct(F.lit("earlier").alias("route"), F.when(F.size("earlier_terms") > 0, F.array_union("terms", "earlier_terms")).alias("t")))).alias("r"))
+    asked = both.select(F.struct("question_id", "r.route").alias("question_id"), F.explode("r.t").alias("term")).distinct()
+    direct = cut(direct_names(asked, defined_names(defined_as)))
+    names = weighted_names(direct, related_names(direct, name_edges(entities, relations)))
+    names = cut(names.select("question_id.question_id", "question_id.route", "name", "weight"))
+    # "own" sorts after "earlier", and a turn without own terms that names a patient asks no further
+    bare = turns.filter(F.size("terms") == 0).join(scope.filter("doc_id IS NOT NULL").select("question_id").distinct(), "question_id", "left_semi").select("question_id")
+    listed = cut(pseudonym_listing(scope.join(bare, "question_id", "left_semi"), chunks, k))
+    by_names = answered(names, mentioned, scope).groupBy("question_id").agg(F.max("route").alias("route"))
+    routes = cut(by_names.join(listed.select("question_id"), "question_id", "left_anti"))
+    found = search_postings(names.join(routes, ["question_id", "route"]).select("question_id", "name", "weight"), mentioned, scope, k, cut=cut)
+    left = turns.select("question_id").join(routes.select("question_id").unionByName(listed.select("question_id")), "question_id", "left_anti")
+    rest = pseudonym_listing(scope.join(left, "question_id", "left_semi"), chunks, k)
+    return found.join(routes, "question_id").unionByName(listed.unionByName(rest).withColumn("route", F.lit("patient")))
 
 
 def hydrate(ranked: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:

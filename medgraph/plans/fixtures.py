@@ -83,6 +83,15 @@ class Tables:
     def relations(self) -> DataFrame:
         return extract.rule_relations(self._stored.get("entities", self.entities()), self.rules())
 
+    def links(self) -> DataFrame:
+        """A linker that knows preferred terms: names with a definition go to the first term of their item."""
+        d = self.definitions()
+        preferred = d.groupBy("source_id").agg(F.min("normalized_term").alias("preferred"))
+        return d.join(preferred, "source_id").select(F.col("normalized_term").alias("normalized_name"), F.col("preferred").alias("normalized_term"), "source")
+
+    def defined_as(self) -> DataFrame:
+        return extract.defined_as(self._stored.get("entities", self.entities()), self.links())
+
     def questions(self) -> DataFrame:
         return self.raw("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
@@ -188,6 +197,8 @@ FROM runs r JOIN dictionary d ON r.term = d.normalized_term""",
     "relations": """
 SELECT s.doc_id, s.chunk_id, s.id AS source_id, t.id AS target_id, source_term, target_term, relation_type
 FROM rules JOIN last_mention s ON s.normalized_name = source_term JOIN last_mention t ON t.normalized_name = target_term AND t.chunk_id = s.chunk_id WHERE s.id <> t.id""",
+    "links": "SELECT normalized_term AS normalized_name, min(normalized_term) OVER (PARTITION BY source_id) AS normalized_term, source FROM definitions",
+    "defined_as": "SELECT e.entity_id, e.doc_id, e.chunk_id, e.normalized_name, l.normalized_term, l.source FROM entities e JOIN links l ON l.normalized_name = e.normalized_name",
     "open_chunks": "SELECT * FROM chunks WHERE source_type <> 'patient_record' OR deidentified",
     "mentions": "SELECT DISTINCT e.chunk_id, e.doc_id, e.\"order\", e.normalized_name AS name FROM entities e SEMI JOIN open_chunks c USING (chunk_id)",
     "edges": """

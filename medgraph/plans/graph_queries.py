@@ -261,40 +261,50 @@ _Q = f"""question_tokens AS (SELECT item_id AS question_id, regexp_extract_all(r
 {TERM_CTE.split(",", 1)[1][TERM_CTE.split(",", 1)[1].index("stops AS"):].split("grams AS")[0]}
 question_grams AS (SELECT question_id, n, unnest(list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: t[i:i + n - 1])) AS g FROM question_tokens, (SELECT unnest([1, 2, 3, 4]) AS n)),
 terms AS (SELECT DISTINCT question_id, array_to_string(g, ' ') AS term FROM question_grams WHERE g[1] NOT IN (SELECT w FROM stops) AND g[len(g)] NOT IN (SELECT w FROM stops) AND (n > 1 OR length(g[1]) >= 3)),
-direct AS (SELECT question_id, term AS name FROM terms),
+direct AS (SELECT question_id, term AS name FROM terms UNION SELECT question_id, d.normalized_name FROM terms JOIN defined_as d ON d.normalized_term = term),
 related AS (SELECT DISTINCT question_id, b AS name FROM direct JOIN both_edges ON a = name EXCEPT SELECT * FROM direct),
 weighted AS (SELECT *, 1.0 AS weight FROM direct UNION ALL SELECT *, 0.5 FROM related),
 scores AS (SELECT question_id, chunk_id, doc_id, "order", sum(weight)::DOUBLE AS score FROM weighted JOIN mentions USING (name) GROUP BY ALL),
 ranked AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, "order")::INT AS number, chunk_id, doc_id, "order", score FROM scores QUALIFY number <= 6)"""
-_SEARCH = with_ctes("mentions", "both_edges", "definitions").rstrip() + ",\n" + _Q
+_SEARCH = with_ctes("mentions", "both_edges", "defined_as").rstrip() + ",\n" + _Q
+
+
+def _direct(t: Tables) -> DataFrame:
+    t.stored("entities")
+    return retrieve.direct_names(retrieve.terms_of(t.questions()), retrieve.defined_names(t.defined_as()))
+
+
+@query(with_ctes("defined_as") + "SELECT * FROM defined_as")
+def defined_as_edges(t: Tables) -> DataFrame:
+    return t.defined_as()
 
 
 @query(_SEARCH + " SELECT question_id, name FROM direct")
 def direct_names(t: Tables) -> DataFrame:
-    return retrieve.direct_names(retrieve.terms_of(t.questions()), t.entities(), t.definitions())
+    return _direct(t)
 
 
 @query(_SEARCH + " SELECT question_id, name FROM related")
 def related_names(t: Tables) -> DataFrame:
-    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.stored("entities"), t.definitions())
+    direct = _direct(t)
     return retrieve.related_names(direct, retrieve.name_edges(t.stored("entities"), t.stored("relations")))
 
 
 @query(_SEARCH + """ SELECT question_id, chunk_id, doc_id, "order", count(*) AS hits FROM direct JOIN mentions USING (name) GROUP BY ALL""")
 def mention_counts(t: Tables) -> DataFrame:
-    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.stored("entities"), t.definitions())
+    direct = _direct(t)
     return retrieve.mention_counts(direct, retrieve.mentions(t.stored("chunks"), t.stored("entities")))
 
 
 @query(_SEARCH + " SELECT * FROM scores")
 def chunk_scores(t: Tables) -> DataFrame:
-    direct = retrieve.direct_names(retrieve.terms_of(t.questions()), t.stored("entities"), t.definitions())
+    direct = _direct(t)
     related = retrieve.related_names(direct, retrieve.name_edges(t.stored("entities"), t.stored("relations")))
     return retrieve.chunk_scores(direct, related, retrieve.mentions(t.stored("chunks"), t.stored("entities")))
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return retrieve.search(retrieve.terms_of(t.questions()), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.definitions())
+    return retrieve.search(retrieve.terms_of(t.questions()), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.defined_as())
 
 
 @query(_SEARCH + " SELECT * FROM ranked")
@@ -302,6 +312,14 @@ def search_topk(t: Tables) -> DataFrame:
     return _ranked(t)
 
 
+@query(_SEARCH + " SELECT * FROM ranked")
+def search_postings(t: Tables) -> DataFrame:
+    """The same rows with upper bounds, so that frequent names are looked up for chunks that can still enter only."""
+    direct = stored(_direct(t))
+    names = retrieve.weighted_names(direct, retrieve.related_names(direct, retrieve.name_edges(t.stored("entities"), t.stored("relations"))))
+    return retrieve.search_postings(names, stored(retrieve.mentions(t.stored("chunks"), t.stored("entities"))), cut=stored)
+
+
 @query(_SEARCH + """ SELECT question_id, number, r.chunk_id, r.doc_id, r."order", score, c.text, s.doc_type, CASE WHEN s.doc_type = 'patient_record' THEN 'Patient ' || s.pseudonym ELSE s.filename END AS source_label FROM ranked r JOIN chunks c USING (chunk_id) JOIN src s ON s.doc_id = r.doc_id""")
 def hydrate_chunks(t: Tables) -> DataFrame:
     return retrieve.hydrate(_ranked(t), t.documents(), t.stored("chunks"))
@@ -358,14 +376,15 @@ def pseudonym_listing(t: Tables) -> DataFrame:
 
 def _pass(name: str, terms: str) -> str:
     """Ranked chunks of one pass: its terms, one hop further, in scope."""
-    return f"""{name}_related AS (SELECT DISTINCT question_id, b AS name FROM {terms} JOIN both_edges ON a = term EXCEPT SELECT question_id, term FROM {terms}),
-{name}_scores AS (SELECT w.question_id, m.chunk_id, m.doc_id, m."order", sum(weight)::DOUBLE AS score FROM (SELECT question_id, term AS name, 1.0 AS weight FROM {terms} UNION ALL SELECT question_id, name, 0.5 FROM {name}_related) w
+    return f"""{name}_direct AS (SELECT question_id, term FROM {terms} UNION SELECT question_id, d.normalized_name FROM {terms} JOIN defined_as d ON d.normalized_term = term),
+{name}_related AS (SELECT DISTINCT question_id, b AS name FROM {name}_direct JOIN both_edges ON a = term EXCEPT SELECT question_id, term FROM {name}_direct),
+{name}_scores AS (SELECT w.question_id, m.chunk_id, m.doc_id, m."order", sum(weight)::DOUBLE AS score FROM (SELECT question_id, term AS name, 1.0 AS weight FROM {name}_direct UNION ALL SELECT question_id, name, 0.5 FROM {name}_related) w
 JOIN mentions m USING (name) JOIN asked q USING (question_id) WHERE q.patient IS NULL OR (q.patient = m.doc_id AND m.doc_id % 4 = 0) GROUP BY ALL),
 {name} AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, "order")::INT AS number, chunk_id, doc_id, "order", score FROM {name}_scores QUALIFY number <= 6)"""
 
 
 _CONV = (
-    with_ctes("mentions", "both_edges").rstrip() + ",\n" + TERM_CTE + """,
+    with_ctes("mentions", "both_edges", "defined_as").rstrip() + ",\n" + TERM_CTE + """,
 asked AS (SELECT conv_id || '/' || turn AS question_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE WHEN conv_id % 5 = 0 THEN conv_id * 4 END AS patient FROM conversations WHERE role = 'user'),
 own_terms AS (SELECT question_id, term FROM turn_terms JOIN asked USING (conv_id, turn)),
 """ + _pass("own", "own_terms") + """,
@@ -387,7 +406,7 @@ for _name in ("pseudonym_listing", "build_prompts"):
 
 @query(_CONV + """ SELECT question_id, number, chunk_id, doc_id, "order", score, route FROM answers""")
 def retrieve_conversations(t: Tables) -> DataFrame:
-    return retrieve.retrieve_conversations(retrieve.user_turns(t.conversations()), t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.definitions(), cut=stored)
+    return retrieve.retrieve_conversations(retrieve.user_turns(t.conversations()), t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.defined_as(), cut=stored)
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)

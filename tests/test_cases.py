@@ -250,8 +250,45 @@ def test_unreadable_chunks_never_show(spark):
     entities = spark.createDataFrame([(f"e{i}", f"c{i}", i, "fever") for i in (1, 2, 3)], "entity_id string, chunk_id string, doc_id long, normalized_name string")
     none = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
     terms = spark.createDataFrame([(1, "fever")], "question_id long, term string")
-    definitions = spark.createDataFrame([("fever",)], "normalized_term string")
-    assert {r.chunk_id for r in retrieve.search(terms, chunks, entities, none, definitions).collect()} == {"c2", "c3"}
+    defined = spark.createDataFrame([], "normalized_name string, normalized_term string")
+    assert {r.chunk_id for r in retrieve.search(terms, chunks, entities, none, defined).collect()} == {"c2", "c3"}
+
+
+def test_mentions_are_found_under_the_name_of_their_definition(spark):
+    entities = spark.createDataFrame([("e1", 1, "c1", "mi"), ("e2", 1, "c1", "mi"), ("e3", 2, "c2", "heart attack"), ("e4", 3, "c3", "fever")], "entity_id string, doc_id long, chunk_id string, normalized_name string")
+    links = spark.createDataFrame([("mi", "heart attack", "s"), ("mi", "heart attack", "s"), ("heart attack", "heart attack", "s"), ("fever", None, "s")], "normalized_name string, normalized_term string, source string")
+    edges = extract.defined_as(entities, links)
+    assert sorted((r.entity_id, r.normalized_term) for r in edges.collect()) == [("e1", "heart attack"), ("e2", "heart attack"), ("e3", "heart attack")]
+    chunks = spark.createDataFrame([(f"c{i}", i, 0, "t", "textbook", None) for i in (1, 2, 3)], "chunk_id string, doc_id long, order int, text string, source_type string, deidentified boolean")
+    none = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
+    terms = spark.createDataFrame([(1, "heart attack"), (2, "mi")], "question_id long, term string")
+    got = {(r.question_id, r.chunk_id) for r in retrieve.search(terms, chunks, entities, none, edges).collect()}
+    assert got == {(1, "c1"), (1, "c2"), (2, "c1")}
+
+
+@pytest.mark.parametrize("seed_postings", [1, 30, 10**6])
+def test_upper_bounds_change_nothing(spark, seed_postings):
+    """Names in a third of all chunks, rare ones, ties, questions without any mention, and questions with a scope."""
+    dice = random.Random(5)
+    names = {f"hot{i}": 3 for i in range(3)} | {f"warm{i}": 12 for i in range(4)} | {f"rare{i}": 60 for i in range(20)}
+    held = [(f"c{c}", c // 5, c % 5, n) for c in range(600) for n, share in names.items() if dice.randrange(share) == 0]
+    held += [(f"c{c}", c // 5, c % 5, n) for c in range(8) for n in ("both", "pair")]
+    mentioned = spark.createDataFrame(held, "chunk_id string, doc_id long, order int, name string").persist()
+    asked = [(q, n, dice.choice([1.0, 0.5])) for q in range(25) for n in dice.sample(sorted(names), 6)] + [(97, n, 1.0) for n in ("both", "pair", "hot0")] + [(98, "nowhere", 1.0), (99, "hot0", 1.0), (99, "hot1", 1.0)]
+    weighted = spark.createDataFrame(asked, "question_id int, name string, weight double").persist()
+    scope = spark.createDataFrame([(q, d) for q in (3, 4) for d in range(40)] + [(5, None)], "question_id int, doc_id long")
+    for limited in (None, scope):
+        kept = []
+        got = retrieve.search_postings(weighted, mentioned, limited, 6, seed_postings, cut=lambda df: kept.append(df.persist()) or kept[-1])
+        assert sorted(got.collect()) == sorted(retrieve.top_k(retrieve.score(weighted, mentioned, limited), 6).collect())
+        if seed_postings == 30 and limited is None:
+            _, _, ranked, able = kept
+            read = ranked.filter("seed OR NOT optional").join(mentioned, "name").count()
+            looked_up = able.join(ranked.filter("optional AND NOT seed").select("question_id", "name"), "question_id").join(mentioned.select("name", "chunk_id"), ["name", "chunk_id"]).count()
+            assert read + looked_up < weighted.join(mentioned, "name").count()
+            # rare names that stand together: the frequent one's 200 chunks are not read, but for those of the pair
+            assert [r.name for r in ranked.filter("question_id = 97 AND optional AND NOT seed").collect()] == ["hot0"]
+            assert able.filter("question_id = 97").count() == 8
 
 
 # --- corpus, manifest, streams
