@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def _count(df: DataFrame, key: str, name: str, value: Column | None = None) -> DataFrame:
     return df.groupBy(key).agg((F.count("*") if value is None else value).alias(name))
@@ -51,11 +55,24 @@ def document_graph(docs: DataFrame, chunks: DataFrame, entities: DataFrame, defi
     return docs.select("doc_id", "filename", "doc_type").join(chunks.select("doc_id", "chunk_id", "order", "text"), "doc_id").join(found, "chunk_id", "left")
 
 
-def nested_graph(flat: DataFrame) -> DataFrame:
-    """The dump of chosen documents as one row each: chunks in order, entities inside. For a few documents at a time."""
+def document_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """The dump's stored relations: (doc_id, source_name, relation_type, target_name), each edge of the document once."""
+    name = lambda side: entities.select(F.col("entity_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
+    edges = relations.select("doc_id", "source_id", "target_id", "relation_type").distinct()
+    return edges.join(name("source"), "source_id").join(name("target"), "target_id").select("doc_id", "source_name", "relation_type", "target_name")
+
+
+def nested_graph(flat: DataFrame, relations: DataFrame) -> DataFrame:
+    """The dump of chosen documents as one row each: chunks in order with their entities, and the relations of
+    ``document_relations`` in order of their names (an empty array where there are none). One document is one row, so
+    this is for documents that a caller can hold; the flat dump has no such bound."""
     entity = F.when(F.col("entity_id").isNotNull(), F.struct("name", "entity_type", "definition_text"))
     chunks = flat.groupBy("doc_id", "filename", "doc_type", "order", "chunk_id", "text").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
-    return chunks.groupBy("doc_id", "filename", "doc_type").agg(F.array_sort(F.collect_list(F.struct("order", "chunk_id", "text", "entities"))).alias("chunks"))
+    nested = chunks.groupBy("doc_id", "filename", "doc_type").agg(F.array_sort(F.collect_list(F.struct("order", "chunk_id", "text", "entities"))).alias("chunks"))
+    edge = F.struct("source_name", "relation_type", "target_name")
+    listed = relations.groupBy("doc_id").agg(F.array_sort(F.collect_list(edge)).alias("relations"))
+    rows = nested.join(listed, "doc_id", "left")
+    return rows.withColumn("relations", F.coalesce("relations", F.array().cast(listed.schema["relations"].dataType)))
 
 
 def recent_documents(docs: DataFrame, limit: int = 50) -> DataFrame:
@@ -68,10 +85,26 @@ def document_status() -> Column:
     return F.when(~F.col("ingestion_complete"), "incomplete").otherwise("complete").alias("status")
 
 
+def place_in_group(df: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """The number of each row within its group, from 1, in the given order (which should leave no ties).
+
+    A range sort over keys and order cuts hot groups at partition ends; rows are numbered within (partition, group), and
+    what earlier partitions hold of the group is added. Per group the offsets see one row a partition. The sorted table
+    is written first, since its parts are read twice and must stay the same.
+    """
+    cut = stored(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    held = cut.groupBy("_part", *keys).agg(F.count("*").alias("_held"))
+    offsets = held.withColumn("_before", F.coalesce(F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("_before > 0")
+    inside = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    same = [inside[k].eqNullSafe(offsets[k]) for k in ("_part", *keys)]
+    on = functools.reduce(lambda a, b: a & b, same)
+    return inside.join(offsets, on, "left").select(*[inside[c] for c in df.columns], (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("int").alias(name))
+
+
 def documents_by_hash(docs: DataFrame) -> DataFrame:
     """Place of each document among those of the same content and type, oldest first."""
-    w = Window.partitionBy("source_hash", "doc_type").orderBy("ingested_at", "doc_id")
-    return docs.select("doc_id", "source_hash", "doc_type", F.row_number().over(w).alias("place"))
+    rows = docs.select("doc_id", "source_hash", "doc_type", "ingested_at")
+    return place_in_group(rows, ["source_hash", "doc_type"], ["ingested_at", "doc_id"]).drop("ingested_at")
 
 
 def duplicate_actions(docs: DataFrame) -> DataFrame:

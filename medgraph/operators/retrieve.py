@@ -205,15 +205,15 @@ def retrieve_conversations(turns: DataFrame, docs: DataFrame, chunks: DataFrame,
     listed = cut(pseudonym_listing(scope.join(bare, "question_id", "left_semi"), chunks, k))
     by_names = answered(names, mentioned, scope).groupBy("question_id").agg(F.max("route").alias("route"))
     routes = cut(by_names.join(listed.select("question_id"), "question_id", "left_anti"))
-    found = search_postings(names.join(routes, ["question_id", "route"]).select("question_id", "name", "weight"), mentioned, scope, k, cut=cut)
+    found = top_k(score(names.join(routes, ["question_id", "route"]).select("question_id", "name", "weight"), mentioned, scope), k)
     left = turns.select("question_id").join(routes.select("question_id").unionByName(listed.select("question_id")), "question_id", "left_anti")
     rest = pseudonym_listing(scope.join(left, "question_id", "left_semi"), chunks, k)
     return found.join(routes, "question_id").unionByName(listed.unionByName(rest).withColumn("route", F.lit("patient")))
 
 
 def hydrate(ranked: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked chunks with their text and source label."""
-    texts = chunks.filter(readable()).select("chunk_id", "text")
+    """Ranked chunks with their text and source label, and their page where chunks have one."""
+    texts = chunks.filter(readable()).select("chunk_id", "text", *[c for c in ("page_number",) if c in chunks.columns])
     labels = docs.select("doc_id", "doc_type", source_label("doc_type", "filename", "pseudonym").alias("source_label"))
     return ranked.join(texts, "chunk_id").join(labels, "doc_id")
 
@@ -228,9 +228,11 @@ def with_entities(hydrated: DataFrame, entities: DataFrame, definitions: DataFra
 
 
 def build_prompts(questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(question_id, prompt): the numbered sources, texts cut at 2,000 characters, and the question."""
+    """(question_id, prompt): the numbered sources, with their page where they have one, texts cut at 2,000 characters,
+    and the question."""
     text = F.when(F.length("text") > SOURCE_CHARS, F.concat(F.substring("text", 1, SOURCE_CHARS), F.lit(" …"))).otherwise(F.col("text"))
-    block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("source_label"), F.lit("\n"), text)
+    page = F.coalesce(F.concat(F.lit(", page "), F.col("page_number").cast("string")), F.lit("")) if "page_number" in sources.columns else F.lit("")
+    block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("source_label"), page, F.lit("\n"), text)
     joined = sources.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", block.alias("block")))), lambda b: b["block"]), "\n\n").alias("blocks"))
     return questions.join(joined, "question_id").select("question_id", F.concat(F.lit("Sources:\n\n"), "blocks", F.lit("\n\nQuestion: "), "question").alias("prompt"))
 
@@ -244,6 +246,22 @@ def history_messages(conversations: DataFrame) -> DataFrame:
     return seen.filter("role = 'user'").select("conv_id", "turn", F.explode("before").alias("m")).filter("m.role IN ('user', 'assistant') AND m.content <> ''").select("conv_id", "turn", "m.place", "m.role", "m.content")
 
 
+def chat_messages(conversations: DataFrame, sources: DataFrame, system: str) -> DataFrame:
+    """What a chat model is sent for each user turn that has sources: (question_id, messages), messages an array of
+    (role, content): the rules in ``system``, up to six earlier messages in order, then sources and question.
+
+    sources(question_id, number, source_label, text, page_number if there) with ids as ``user_turns`` gives them. At most
+    eight messages a turn, so a turn's array is bounded. Turns without sources have no row (``no_source_answers``).
+    """
+    asked = conversations.filter("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.coalesce("text", F.lit("")).alias("question"))
+    prompts = build_prompts(asked, sources)
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    earlier = history_messages(conversations).groupBy(F.concat_ws("/", "conv_id", "turn").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct("place", "role", "content"))).alias("h"))
+    told = F.coalesce(F.transform("h", lambda m: message(m["role"], m["content"])), F.array().cast("array<struct<role:string,content:string>>"))
+    whole = F.concat(F.array(message(F.lit("system"), F.lit(system))), told, F.array(message(F.lit("user"), F.col("prompt"))))
+    return prompts.join(earlier, "question_id", "left").select("question_id", whole.alias("messages"))
+
+
 def no_source_answers(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     """Questions without a source, and what they are told in their language."""
     return questions.join(ranked.select("question_id").distinct(), "question_id", "left_anti").select("question_id", F.when(has_thai("question"), NO_SOURCES_TH).otherwise(NO_SOURCES).alias("answer"))

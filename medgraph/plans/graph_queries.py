@@ -175,6 +175,25 @@ def document_graph(t: Tables) -> DataFrame:
     return graph.document_graph(t.documents(), t.stored("chunks"), t.stored("entities"), t.definitions())
 
 
+@query(with_ctes("entities", "relations") + """SELECT r.doc_id, a.name AS source_name, relation_type, b.name AS target_name FROM (SELECT DISTINCT doc_id, source_id, target_id, relation_type FROM relations) r
+JOIN entities a ON a.entity_id = source_id JOIN entities b ON b.entity_id = target_id""")
+def document_relations(t: Tables) -> DataFrame:
+    return graph.document_relations(t.stored("entities"), t.stored("relations"))
+
+
+@query(with_ctes("chunks", "entities", "relations", "src").rstrip() + """,
+e AS (SELECT c.doc_id, string_agg(c."order" || ':' || coalesce(n, 0), ' ' ORDER BY c."order") AS entities FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM entities GROUP BY 1) USING (chunk_id) GROUP BY 1),
+r AS (SELECT x.doc_id, string_agg(a.name || '>' || relation_type || '>' || b.name, ' ' ORDER BY a.name, relation_type, b.name) AS relations FROM (SELECT DISTINCT doc_id, source_id, target_id, relation_type FROM relations) x JOIN entities a ON a.entity_id = source_id JOIN entities b ON b.entity_id = target_id GROUP BY 1)
+SELECT doc_id, filename, doc_type, e.entities, coalesce(r.relations, '') AS relations FROM src JOIN e USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def nested_graph(t: Tables) -> DataFrame:
+    """The nested dump of every document, its arrays written as text."""
+    flat = graph.document_graph(t.documents(), t.stored("chunks"), t.stored("entities"), t.definitions())
+    rows = graph.nested_graph(flat, graph.document_relations(t.stored("entities"), t.stored("relations")))
+    entities = F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["order"], F.size(c["entities"]))), " ")
+    relations = F.array_join(F.transform("relations", lambda r: F.concat_ws(">", r["source_name"], r["relation_type"], r["target_name"])), " ")
+    return rows.select("doc_id", "filename", "doc_type", entities.alias("entities"), relations.alias("relations"))
+
+
 @query(with_ctes("src") + "SELECT doc_id, filename, doc_type, ingested_at, CASE WHEN ingestion_complete = false THEN 'incomplete' ELSE 'complete' END AS status FROM src ORDER BY ingested_at DESC LIMIT 50")
 def recent_documents(t: Tables) -> DataFrame:
     return graph.recent_documents(t.documents()).withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
@@ -332,6 +351,16 @@ def build_prompts(t: Tables) -> DataFrame:
     return retrieve.build_prompts(t.questions(), retrieve.hydrate(_ranked(t), t.documents(), t.stored("chunks")))
 
 
+@query(_SEARCH + """, e AS (SELECT chunk_id, string_agg(name || ':' || entity_type || ':' || coalesce(definition_text, ''), ' | ' ORDER BY name, entity_type, definition_text) AS entities FROM entities LEFT JOIN definitions ON normalized_term = normalized_name GROUP BY 1)
+SELECT question_id, number, chunk_id, c."order" // 3 + 1 AS page_number, e.entities FROM ranked JOIN chunks c USING (chunk_id) LEFT JOIN e USING (chunk_id)""")
+def sources_with_entities(t: Tables) -> DataFrame:
+    """Ranked chunks with their page (three chunks a page here), entities and definitions, the entities as text."""
+    paged = t.stored("chunks").withColumn("page_number", F.floor(F.col("order") / 3) + 1)
+    rows = retrieve.with_entities(retrieve.hydrate(_ranked(t), t.documents(), paged), t.stored("entities"), t.definitions())
+    label = lambda e: F.concat_ws(":", e["name"], e["entity_type"], F.coalesce(e["definition"]["definition_text"], F.lit("")))
+    return rows.select("question_id", "number", "chunk_id", "page_number", F.array_join(F.transform(F.array_sort("entities"), label), " | ").alias("entities"))
+
+
 @query(_SEARCH + " SELECT question_id, number, chunk_id FROM ranked WHERE number IN (1, 3)")
 def resolve_citations(t: Tables) -> DataFrame:
     answers = t.questions().select("question_id", F.concat(F.lit("As said [1][3], and [99]: "), "question").alias("answer"))
@@ -415,6 +444,22 @@ def history_messages(t: Tables) -> DataFrame:
     return retrieve.history_messages(t.raw("conversations"))
 
 
+@query(_CONV + """, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+sources AS (SELECT question_id, string_agg('[' || number || '] ' || CASE WHEN s.doc_type = 'patient_record' THEN 'Patient ' || s.pseudonym ELSE s.filename END || ', page ' || (c."order" // 3 + 1) || chr(10) || CASE WHEN length(c.text) > 2000 THEN substr(c.text, 1, 2000) || ' …' ELSE c.text END, chr(10) || chr(10) ORDER BY number) AS blocks
+FROM answers r JOIN chunks c USING (chunk_id) JOIN src s ON s.doc_id = r.doc_id GROUP BY question_id),
+told AS (SELECT u.conv_id || '/' || u.turn AS question_id, string_agg(m.role || '=' || m.text, chr(10) ORDER BY m.place) AS h FROM n u JOIN n m ON m.conv_id = u.conv_id AND m.place BETWEEN u.place - 6 AND u.place - 1 WHERE u.role = 'user' AND m.role IN ('user', 'assistant') AND m.text <> '' GROUP BY 1)
+SELECT u.conv_id || '/' || u.turn AS question_id, 'system=Use the sources only.' || coalesce(chr(10) || h, '') || chr(10) || 'user=Sources:' || chr(10) || chr(10) || blocks || chr(10) || chr(10) || 'Question: ' || u.text AS messages
+FROM n u JOIN sources s ON s.question_id = u.conv_id || '/' || u.turn LEFT JOIN told t ON t.question_id = s.question_id WHERE u.role = 'user'""")
+def chat_messages(t: Tables) -> DataFrame:
+    """All messages of each turn that has sources, as text; the conversations are those of the table."""
+    raw = t.conversations()
+    ranked = retrieve.retrieve_conversations(retrieve.user_turns(raw), t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.defined_as(), cut=stored)
+    paged = t.stored("chunks").withColumn("page_number", F.floor(F.col("order") / 3) + 1)
+    # earlier messages and questions are shown as they stand in the table, without the patient that the view adds
+    rows = retrieve.chat_messages(t.raw("conversations"), retrieve.hydrate(ranked, t.documents(), paged), "Use the sources only.")
+    return rows.select("question_id", F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "\n").alias("messages"))
+
+
 # --- streams, run to the end of what is there
 
 

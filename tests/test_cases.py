@@ -220,6 +220,30 @@ def test_duplicates(spark):
     assert {r.doc_id: r.action for r in graph.duplicate_actions(docs).collect()} == {1: "delete", 2: "keep", 3: "leave", 4: "delete", 5: "resume", 6: "resume"}
 
 
+def test_places_in_hot_groups(spark):
+    """Half of all rows under one key, a null key, and more partitions than groups."""
+    dice = random.Random(3)
+    rows = [("hot" if dice.random() < 0.5 else dice.choice(["a", "b", None]), i) for i in range(400)]
+    rows_of = {k: sorted(i for key, i in rows if key == k) for k in ("hot", "a", "b", None)}
+    df = spark.createDataFrame(rows, "k string, i int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.place_in_group(df, ["k"], ["i"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.k, r.i): r.place for r in got} == {(k, i): n for k, mine in rows_of.items() for n, i in enumerate(mine, 1)}
+    assert graph.place_in_group(df.filter("false"), ["k"], ["i"]).collect() == []
+
+
+def test_the_nested_dump_has_relations(spark):
+    flat = spark.createDataFrame([(1, "f", "textbook", "c1", 0, "t", "e1", "fever", "symptom", "hot"), (1, "f", "textbook", "c2", 1, "u", None, None, None, None), (2, "g", "textbook", "c3", 0, "v", None, None, None, None)], "doc_id long, filename string, doc_type string, chunk_id string, order int, text string, entity_id string, name string, entity_type string, definition_text string")
+    entities = spark.createDataFrame([("e1", "fever"), ("e2", "rest")], "entity_id string, name string")
+    edges = spark.createDataFrame([(1, "e2", "e1", "treats")] * 2, "doc_id long, source_id string, target_id string, relation_type string")
+    got = {r.doc_id: r for r in graph.nested_graph(flat, graph.document_relations(entities, edges)).collect()}
+    assert [tuple(r) for r in got[1].relations] == [("rest", "treats", "fever")] and got[2].relations == []
+    assert [(c.chunk_id, len(c.entities)) for c in got[1].chunks] == [("c1", 1), ("c2", 0)]
+
+
 def test_resume(spark):
     old = spark.createDataFrame([(1, 0, "a", True), (1, 1, "b", False), (1, 2, "old", True), (1, 9, "z", True), (2, 0, "a", None), (2, 1, "b", None)], "doc_id long, order int, text string, extracted boolean")
     new = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, "a"), (2, 1, "b")], "doc_id long, order int, text string")
@@ -254,6 +278,16 @@ def test_unreadable_chunks_never_show(spark):
     assert {r.chunk_id for r in retrieve.search(terms, chunks, entities, none, defined).collect()} == {"c2", "c3"}
 
 
+def test_chat_messages(spark):
+    said = [(1, n, "user" if n % 2 == 0 else "assistant", f"m{n}") for n in range(9)] + [(1, 9, "tool", "x"), (1, 10, "user", "now?"), (2, 0, "user", None)]
+    conversations = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    sources = spark.createDataFrame([("1/10", 2, "b.txt", "two", None), ("1/10", 1, "a.txt", "x" * 2001, 7), ("2/0", 1, "a.txt", "one", None)], "question_id string, number int, source_label string, text string, page_number int")
+    got = {r.question_id: [tuple(m) for m in r.messages] for r in retrieve.chat_messages(conversations, sources, "rules").collect()}
+    prompt = "Sources:\n\n[1] a.txt, page 7\n" + "x" * 2000 + " …\n\n[2] b.txt\ntwo\n\nQuestion: now?"
+    assert got["1/10"] == [("system", "rules"), *[("user" if n % 2 == 0 else "assistant", f"m{n}") for n in range(4, 9)], ("user", prompt)]
+    assert got["2/0"] == [("system", "rules"), ("user", "Sources:\n\n[1] a.txt\none\n\nQuestion: ")] and len(got) == 2
+
+
 def test_mentions_are_found_under_the_name_of_their_definition(spark):
     entities = spark.createDataFrame([("e1", 1, "c1", "mi"), ("e2", 1, "c1", "mi"), ("e3", 2, "c2", "heart attack"), ("e4", 3, "c3", "fever")], "entity_id string, doc_id long, chunk_id string, normalized_name string")
     links = spark.createDataFrame([("mi", "heart attack", "s"), ("mi", "heart attack", "s"), ("heart attack", "heart attack", "s"), ("fever", None, "s")], "normalized_name string, normalized_term string, source string")
