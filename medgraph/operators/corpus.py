@@ -11,6 +11,16 @@ from ..functions.text import sniff
 CATEGORIES = ("vocabulary", "corpus", "patient-record")
 LICENSES = ("green", "amber", "red")
 REPORTED = ("SKIP-GATED", "SKIP-BLOCKED", "SKIP-DEAD", "FAIL-HTML", "FAIL-SIZE", "FAIL-TYPE", "FAIL")
+HEADINGS = (
+    "## Registration required",
+    "## Confirmed Cloudflare-blocked / unreachable",
+    "## Confirmed dead / 404",
+    "## Failed content verification this run (soft-404 detected)",
+    "## Failed content verification this run (undersized)",
+    "## Failed content verification this run (unexpected type)",
+    "## Other fetch failures",
+)
+NOTHING = "Nothing to report — every registry entry either fetched OK or hasn't run yet."
 MANIFEST = ("status", "bytes", "sha256_12", "path", "url", "category", "license_class", "name", "fetched_at", "http_status", "content_type", "notes")
 
 
@@ -67,9 +77,26 @@ def verified_sources(registry: DataFrame, manifest: DataFrame, files: DataFrame)
 
 
 def skip_report(manifest: DataFrame) -> DataFrame:
-    """(rank, status, name, url, notes) of what was not fetched, by group; rows in any order, ``rank`` orders groups."""
+    """(rank, status, name, category, license_class, url, notes) of what was not fetched, by group; rows in any order,
+    ``rank`` orders groups."""
     rank = F.array_position(F.array(*[F.lit(s) for s in REPORTED]), F.col("status"))
-    return manifest.withColumn("rank", rank).filter("rank > 0").select(F.col("rank").cast("int"), "status", "name", "url", "notes")
+    return manifest.withColumn("rank", rank).filter("rank > 0").select(F.col("rank").cast("int"), "status", "name", "category", "license_class", "url", "notes")
+
+
+def report_lines(manifest: DataFrame) -> DataFrame:
+    """The report as (rank, name, line), to be read in that order: a heading (empty name) for each group that has entries,
+    a line for each entry with its notes below it, "nothing" in place of the groups where there are none, and last the
+    number of sources that are there."""
+    rows = skip_report(manifest)
+    told = F.coalesce(F.concat(F.lit("\n  "), F.when(F.col("notes") != "", F.col("notes"))), F.lit(""))
+    shown = lambda c: F.coalesce(F.col(c), F.lit(""))
+    line = F.concat(F.lit("- **"), shown("name"), F.lit("** (`"), shown("category"), F.lit("`/`"), shown("license_class"), F.lit("`) — "), shown("url"), told)
+    heads = rows.select("rank").distinct().select("rank", F.lit("").alias("name"), F.get(F.array(*[F.lit(h) for h in HEADINGS]), F.col("rank") - 1).alias("line"))
+    # one row each, also for an empty manifest
+    sums = manifest.agg(F.count_if(F.col("status") == "OK").alias("ok"), F.count_if(F.col("status").isin(*REPORTED)).alias("bad"))
+    fetched = sums.select(F.lit(len(HEADINGS) + 1).alias("rank"), F.lit("").alias("name"), F.concat(F.col("ok").cast("string"), F.lit(" source(s) successfully fetched and verified.")).alias("line"))
+    nothing = sums.filter("bad = 0").select(F.lit(0).alias("rank"), F.lit("").alias("name"), F.lit(NOTHING).alias("line"))
+    return rows.select("rank", "name", line.alias("line")).unionByName(heads).unionByName(fetched).unionByName(nothing)
 
 
 def license_gate(rows: DataFrame, registry: DataFrame) -> DataFrame:

@@ -88,13 +88,14 @@ def split_paragraphs(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.posexplode(parts).alias("pos", "p")).select("doc_id", "pos", F.sha2("p", 256).alias("paragraph_sha"))
 
 
-@query(f"""SELECT doc_id, len(g.groups) + (g.n > 0)::INT AS n_groups FROM (SELECT doc_id, list_reduce(
-list_transform(list_filter(list_transform(string_split_regex({_DOUBLED}, '\\n\\s*\\n'), lambda x: trim(x, {WS})), lambda x: x <> ''), lambda x: {{'groups': [x], 'n': length(x)}}),
-lambda a, x: CASE WHEN a.n > 0 AND a.n + x.n > 100000 THEN {{'groups': list_append(a.groups, ''), 'n': x.n}} ELSE {{'groups': a.groups, 'n': a.n + x.n}} END,
-{{'groups': []::VARCHAR[], 'n': 0::BIGINT}}) AS g FROM documents)""")
+@query(f"""SELECT doc_id, unnest(range(len(blocks)))::INT AS pos, sha256(unnest(blocks)) AS group_sha FROM (SELECT doc_id, CASE WHEN g.n > 0 THEN list_append(g.blocks, g.cur) ELSE g.blocks END AS blocks FROM (SELECT doc_id, list_reduce(
+list_transform(list_filter(list_transform(string_split_regex(text, '[ \\n]+'), lambda x: trim(x, {WS})), lambda x: x <> ''), lambda x: {{'blocks': [x], 'cur': x, 'n': length(x)}}),
+lambda a, x: CASE WHEN a.n = 0 THEN {{'blocks': a.blocks, 'cur': x.cur, 'n': x.n}} WHEN a.n + x.n > 1500 THEN {{'blocks': list_append(a.blocks, a.cur), 'cur': x.cur, 'n': x.n}} ELSE {{'blocks': a.blocks, 'cur': a.cur || chr(10) || chr(10) || x.cur, 'n': a.n + x.n}} END,
+{{'blocks': []::VARCHAR[], 'cur': '', 'n': 0::BIGINT}}) AS g FROM documents))""")
 def group_paragraphs(t: Tables) -> DataFrame:
-    groups = chunk.group_paragraphs(F.regexp_replace("text", "\n", "\n \n"), 100_000)
-    return t.raw("documents").select("doc_id", F.size(groups).alias("n_groups"))
+    """Every word a paragraph, grouped up to the limit of textbooks, so that most texts give several groups."""
+    groups = chunk.group_paragraphs(F.regexp_replace("text", "[ \n]+", "\n\n"), chunk.TEXTBOOK_CHARS)
+    return t.raw("documents").select("doc_id", F.posexplode(groups).alias("pos", "g")).select("doc_id", "pos", F.sha2("g", 256).alias("group_sha"))
 
 
 @query(with_ctes("blocks") + "SELECT doc_id, k::INT AS pos, text AS piece FROM blocks WHERE doc_type = 'textbook' AND doc_id IN (SELECT doc_id FROM long_bodies)")
@@ -382,9 +383,25 @@ def verified_sources(t: Tables) -> DataFrame:
     return corpus.verified_sources(t.registry(), _latest(t), stored).distinct()
 
 
-@query(f"WITH {_MANIFEST} SELECT list_position(['SKIP-GATED', 'SKIP-BLOCKED', 'SKIP-DEAD', 'FAIL-HTML', 'FAIL-SIZE', 'FAIL-TYPE', 'FAIL'], status)::INT AS rank, status, name, url, notes FROM last WHERE status <> 'OK'")
+_RANK = "list_position(['SKIP-GATED', 'SKIP-BLOCKED', 'SKIP-DEAD', 'FAIL-HTML', 'FAIL-SIZE', 'FAIL-TYPE', 'FAIL'], status)::INT"
+
+
+def _classed(t: Tables) -> DataFrame:
+    parts = F.split("notes", " ")
+    return _latest(t).withColumns({"category": F.get(parts, 0), "license_class": F.get(parts, 1)})
+
+
+@query(f"WITH {_MANIFEST} SELECT {_RANK} AS rank, status, name, split_part(notes, ' ', 1) AS category, split_part(notes, ' ', 2) AS license_class, url, notes FROM last WHERE status <> 'OK'")
 def skip_report(t: Tables) -> DataFrame:
-    return corpus.skip_report(_latest(t))
+    return corpus.skip_report(_classed(t))
+
+
+@query(f"""WITH {_MANIFEST}, r AS (SELECT {_RANK} AS rank, *, split_part(notes, ' ', 1) AS c, split_part(notes, ' ', 2) AS l FROM last)
+SELECT rank, name, '- **' || name || '** (`' || c || '`/`' || l || '`) — ' || url || chr(10) || '  ' || notes AS line FROM r WHERE status <> 'OK'
+UNION ALL SELECT DISTINCT rank, '', (['## Registration required', '## Confirmed Cloudflare-blocked / unreachable', '## Confirmed dead / 404', '## Failed content verification this run (soft-404 detected)', '## Failed content verification this run (undersized)', '## Failed content verification this run (unexpected type)', '## Other fetch failures'])[rank] FROM r WHERE status <> 'OK'
+UNION ALL SELECT 8, '', count(*) FILTER (status = 'OK') || ' source(s) successfully fetched and verified.' FROM last""")
+def report_lines(t: Tables) -> DataFrame:
+    return corpus.report_lines(_classed(t))
 
 
 @query(f"WITH {_MANIFEST} SELECT name, status FROM last WHERE name IN (SELECT name FROM reg WHERE license_class = 'green')")
@@ -399,3 +416,16 @@ def load_definitions(t: Tables) -> DataFrame:
     rows = t.raw("benchmark").select("item_id", F.posexplode(tokens).alias("pos", "token")).withColumn("seq", F.col("item_id") * 100 + F.col("pos") + 1)
     entries = rows.select("seq", F.concat(F.lit("T "), "token").alias("term"), F.concat(F.lit("D"), F.col("seq").cast("string")).alias("definition_text"), F.lit("bench").alias("source"), F.col("seq").cast("string").alias("source_id"), F.lit(None).cast("string").alias("semantic_type"))
     return extract.load_definitions(entries)
+
+
+@query(ORACLES["load_definitions"].replace("'bench' AS source", "'stub' AS source").replace("max(seq)::VARCHAR AS source_id", "CASE WHEN max(seq) % 2 = 0 THEN max(seq)::VARCHAR END AS source_id").replace("CAST(NULL AS VARCHAR) AS semantic_type", "'symptom' AS semantic_type"))
+def read_dictionary(t: Tables) -> DataFrame:
+    """The terms of ``load_definitions`` through dictionary files, one for each item, entries without a source."""
+    tokens = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0)), 1, 8)
+    rows = t.raw("benchmark").select("item_id", F.posexplode(tokens).alias("pos", "token")).withColumn("seq", F.col("item_id") * 100 + F.col("pos") + 1)
+    entry = F.struct("seq", F.concat(F.lit("T "), "token").alias("term"), F.concat(F.lit("D"), F.col("seq").cast("string")).alias("definition_text"), F.when(F.col("seq") % 2 == 0, F.col("seq").cast("string")).alias("source_id"), F.lit("symptom").alias("semantic_type"))
+    made = rows.groupBy("item_id").agg(F.sort_array(F.collect_list(entry)).alias("terms"))
+    folder = f"{shared_dir(t.spark)}/dictionary-{uuid.uuid4().hex}"
+    # files are read in the order of their paths
+    made.withColumn("at", F.format_string("%012d", "item_id")).select("at", F.to_json(F.struct("terms")).alias("value")).write.partitionBy("at").text(folder)
+    return extract.load_definitions(files.read_dictionary(t.spark, folder))

@@ -62,6 +62,16 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """Entries for ``extract.load_definitions`` from JSON files ``{"terms": [{"term", "definition_text", "source",
+    "source_id", "semantic_type"}, ...]}``, one object a file: ``seq`` orders them by file and place. Entries without a
+    source are ``stub``, entries without a term give no row, and a file without the list gives none."""
+    entry = "term string, definition_text string, source string, source_id string, semantic_type string"
+    read = spark.read.schema(f"terms array<struct<{entry.replace(' string', ': string')}>>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), "terms").select("file", F.posexplode("terms").alias("pos", "e"))
+    return rows.filter("e.term IS NOT NULL").select(F.struct("file", "pos").alias("seq"), "e.term", "e.definition_text", F.coalesce("e.source", F.lit("stub")).alias("source"), "e.source_id", "e.semantic_type")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"{c} {'long' if c == 'bytes' else 'string'}" for c in MANIFEST)
     return spark.read.csv(path, sep="\t", header=True, schema=schema, quote="")

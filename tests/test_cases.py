@@ -334,6 +334,20 @@ def test_report_and_manifest_round_trip(spark, tmp_path):
     files.write_manifest(manifest, str(tmp_path / "m"))
     assert files.read_manifest(spark, str(tmp_path / "m")).collect() == manifest.collect()
     assert [(r["rank"], r["status"]) for r in corpus.skip_report(manifest).collect()] == [(5, "FAIL-SIZE")]
+    lines = [tuple(r) for r in corpus.report_lines(manifest).orderBy("rank", "name").collect()]
+    assert lines == [(5, "", "## Failed content verification this run (undersized)"), (5, "name", "- **name** (`corpus`/`green`) — http://x\n  note"), (8, "", "0 source(s) successfully fetched and verified.")]
+    fine = manifest.withColumn("status", F.lit("OK"))
+    assert [r.line for r in corpus.report_lines(fine).orderBy("rank").collect()] == [corpus.NOTHING, "1 source(s) successfully fetched and verified."]
+    assert [r.line[:1] for r in corpus.report_lines(fine.filter("false")).orderBy("rank").collect()] == ["N", "0"]
+
+
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"terms": [{"term": "Fever ", "definition_text": "hot"}, {"definition_text": "no term"}]}')
+    (tmp_path / "b.json").write_text('{"terms": [\n{"term": "fever", "definition_text": "warm", "source": "s", "source_id": "7"}]}')
+    (tmp_path / "c.json").write_text("{}")
+    entries = files.read_dictionary(spark, str(tmp_path))
+    assert sorted((r.term, r.source) for r in entries.collect()) == [("Fever ", "stub"), ("fever", "s")]
+    assert [(r.normalized_term, r.definition_text, r.source_id) for r in extract.load_definitions(entries).collect()] == [("fever", "warm", "7")]
 
 
 def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
