@@ -1,9 +1,11 @@
 """Column functions on text. All are built-in expressions, which stay inside whole-stage code generation, but for
-character references of HTML and UTF-16, which Spark has no expression for: those go through Arrow batches."""
+character references and nested elements of HTML and for UTF-16, which Spark has no expression for: those go through
+Arrow batches."""
 
 from __future__ import annotations
 
 import html as _html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,12 +87,52 @@ def unescape(x: Text) -> Column:
     return F.coalesce(_unescape(F.when(some, x)), x)  # the text is only made again where nothing was sent
 
 
+#: What the scan for nested elements stops at: comments, raw text (whose content holds no tags), and tags of the other
+#: dropped elements.
+_NESTING = tuple(t for t in DROPPED if t not in ("script", "style"))
+_STOPS = re.compile(rf"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|<(/?)({'|'.join(_NESTING)})\b[^>]*>")
+
+
+def drop_nested(page: str) -> str:
+    """The page without its dropped elements, from the outermost start to its own end: one pass over the tags with a
+    stack. An end closes the last open element of its name and all that were opened since; an end without a start is
+    passed over, and a start without an end cuts nothing."""
+    opened: list[tuple[str, int]] = []
+    cuts: list[tuple[int, int]] = []
+    depth = dict.fromkeys(_NESTING, 0)
+    for m in _STOPS.finditer(page):
+        if m[2] is None or (not m[1] and m[0].endswith("/>")):
+            continue
+        name = m[2].lower()
+        if not m[1]:
+            opened.append((name, m.start()))
+            depth[name] += 1
+        elif depth[name]:
+            closed = None
+            while closed != name:
+                closed, start = opened.pop()
+                depth[closed] -= 1
+            # what was cut inside goes with it
+            while cuts and cuts[-1][0] > start:
+                cuts.pop()
+            cuts.append((start, m.end()))
+    ends = [0, *(end for _, end in cuts)]
+    return "".join(page[a:b] for a, b in zip(ends, [*(s for s, _ in cuts), len(page)], strict=True))
+
+
+@F.pandas_udf(StringType())
+def _drop_nested(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: None if p is None else drop_nested(p))
+
+
 def html_to_text(html: Text) -> Column:
-    """A page as paragraphs: comments and dropped elements gone, title first, rows as cells between bars."""
+    """A page as paragraphs: comments and dropped elements gone, title first, rows as cells between bars. Only pages with
+    two dropped elements of one kind, which may nest, leave the JVM for that."""
     html = _c(html)
     title = strip(F.regexp_replace(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)), r"(?U)\s+", " "))
     gone = "|".join([r"<!--.*?-->", *(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in (*DROPPED, "head"))])
-    body = F.regexp_replace(html, f"(?is){gone}", "")
+    nests = F.rlike(html, F.lit(rf"(?is)<({'|'.join(_NESTING)})\b.*<\1\b"))
+    body = F.regexp_replace(F.coalesce(_drop_nested(F.when(nests, html)), html), f"(?is){gone}", "")
     body = F.regexp_replace(body, r"(?i)<!doctype[^>]*>", "")
     body = F.regexp_replace(body, r"(?i)<br\b[^>]*>", "\n")
     body = F.regexp_replace(body, r"(?i)</(td|th)\s*>", " | ")

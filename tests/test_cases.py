@@ -385,6 +385,25 @@ def test_decoding_and_character_references(spark):
     assert page.select(T.html_to_text("html").alias("t")).first().t == "café ’x— &lt; plain"
 
 
+def test_dropped_elements_that_nest(spark):
+    pages = {
+        "a<nav>b<nav>c</nav>d</nav>e": "ae",
+        "a<NAV x='1'>b<form>c</nav>d</form>e": "ade",
+        "<nav>a</nav>b<nav>c</nav>d": "bd",
+        "a<nav>b<script>'</nav><nav>'</script>c</nav>d<nav>e</nav>f": "adf",
+        "a<nav>b<!-- </nav> <nav> -->c</nav>d": "ad",
+        "a<svg/>b<svg>c</svg>d": "abd",
+        "a</nav>b<nav>c<nav>d</nav>e": "abce",
+        "a<nav>b": "ab",
+        "navy <navy>x<navy>y": "navy xy",
+        "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in pages], "html string")
+    assert {r.html: r.t for r in rows.select("html", T.html_to_text("html").alias("t")).collect()} == pages
+    deep = "a" + "<nav>" * 5000 + "x" + "</nav>" * 5000 + "b"
+    assert T.drop_nested(deep) == "ab" and T.drop_nested("<form>" * 3) == "<form>" * 3
+
+
 def test_one_definition_for_each_mention(spark):
     entities = spark.createDataFrame([("e1", "fever")], "entity_id string, normalized_name string")
     dictionary = spark.createDataFrame([("fever", "Fever", "two", "b", 2), ("fever", "Fever", "one", "a", 1)], "normalized_term string, term string, definition_text string, source string, source_id int")
