@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -197,8 +198,9 @@ def question_tokens(x: Text) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(_c(x)), PSEUDONYM, " "), F.lit(TOKEN), F.lit(0))
 
 
-def term_runs(tokens: Column, least: int = 3, glue: str = " ", stopwords: tuple | list = STOPWORDS) -> Column:
-    """Runs of 1 to 4 tokens that no stopword begins or ends; single tokens need ``least`` characters."""
+def term_runs(tokens: Column, least: int | Callable[[Column], Column] = 3, stopwords: tuple | list = STOPWORDS) -> Column:
+    """Runs of 1 to 4 tokens that no stopword begins or ends; single tokens need ``least`` characters (a number, or what a
+    function says of the token)."""
     stops = F.array(*[F.lit(w) for w in stopwords])
 
     def runs(bound: Column) -> Column:
@@ -208,9 +210,10 @@ def term_runs(tokens: Column, least: int = 3, glue: str = " ", stopwords: tuple
 
             def good(i: Column) -> Column:
                 ok = ~F.array_contains(stops, F.element_at(bound, i)) & ~F.array_contains(stops, F.element_at(bound, i + (n - 1)))
-                return ok & (F.length(F.element_at(bound, i)) >= least) if n == 1 else ok
+                one = F.element_at(bound, i)
+                return ok & (F.length(one) >= (least(one) if callable(least) else least)) if n == 1 else ok
 
-            return F.transform(F.filter(starts, good), lambda i: F.array_join(F.slice(bound, i, n), glue))
+            return F.transform(F.filter(starts, good), lambda i: F.array_join(F.slice(bound, i, n), " "))
 
         return F.concat(*(runs_of(n) for n in range(1, MAX_NGRAM + 1)))
 
@@ -223,10 +226,11 @@ def question_terms(x: Text) -> Column:
     return term_runs(question_tokens(x))
 
 
-def thai_terms(tokens: Text) -> Column:
-    """Candidate names from a segmented Thai question, also without blanks: tokens are the user's segmenter's."""
-    tokens = _c(tokens)
-    return F.array_distinct(F.concat(term_runs(tokens, 2), term_runs(tokens, 2, "")))
+def thai_terms(tokens: Text, stopwords: tuple | list = STOPWORDS) -> Column:
+    """Candidate names from the tokens of a question that holds Thai. Runs with Thai in them count without blanks too;
+    single tokens need two characters if they are Thai, else three. Thai stopwords are the user's."""
+    runs = term_runs(_c(tokens), lambda token: F.when(has_thai(token), 2).otherwise(3), stopwords)
+    return F.array_distinct(F.flatten(F.transform(F.array(runs), lambda r: F.concat(r, F.transform(F.filter(r, has_thai), lambda x: F.replace(x, F.lit(" "), F.lit("")))))))
 
 
 def needs_ocr(text: Text, area: Text, threshold: float = 0.005) -> Column:

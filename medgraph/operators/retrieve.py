@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import find_pseudonyms, has_thai, question_terms, readable, source_label
+from ..functions.text import STOPWORDS, find_pseudonyms, has_thai, question_terms, readable, source_label, thai_terms
+from .segment import segment
 
 TOP_K, RELATED_WEIGHT = 6, 0.5
 LOOK_BACK, HISTORY, SOURCE_CHARS = 2, 6, 2000
@@ -16,9 +17,14 @@ NO_SOURCES = "I couldn't find anything about this in the ingested documents, so
 NO_SOURCES_TH = "ไม่พบข้อมูลเกี่ยวกับคำถามนี้ในเอกสารที่นำเข้า จึงไม่สามารถตอบได้"
 
 
-def terms_of(questions: DataFrame) -> DataFrame:
-    """questions(question_id, question) -> (question_id, term), distinct."""
-    return questions.select("question_id", F.explode(question_terms("question")).alias("term")).distinct()
+def terms_of(questions: DataFrame, words: DataFrame | None = None, stopwords: tuple | list = STOPWORDS) -> DataFrame:
+    """questions(question_id, question) -> (question_id, term), distinct. Questions that hold Thai are cut into words of
+    the dictionary ``words(word)`` first; without one they give their Latin terms alone."""
+    if words is None:
+        return questions.select("question_id", F.explode(question_terms("question")).alias("term")).distinct()
+    cut = segment(questions.select("question_id", "question"), words, "question")
+    terms = F.when(has_thai("question"), thai_terms("tokens", stopwords)).otherwise(question_terms("question"))
+    return cut.select("question_id", F.explode(terms).alias("term")).distinct()
 
 
 def add_terms(questions: DataFrame) -> DataFrame:

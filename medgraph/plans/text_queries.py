@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, corpus, deid, extract, graph
+from ..operators import chunk, corpus, deid, extract, graph, segment
 from ..sources import files, records
 from ..sources.scratch import shared_dir
 from .fixtures import Tables, with_ctes
@@ -219,12 +219,36 @@ def question_terms(t: Tables) -> DataFrame:
     return t.conversations().filter("role = 'user'").select("conv_id", "turn", F.explode(T.question_terms("text")).alias("term"))
 
 
-@query("""SELECT item_id, term FROM (SELECT item_id, unnest(list_distinct(list_concat(
-  list_filter(t, lambda x: length(x) >= 2), [t[1] || ' ' || t[2]], [t[1] || t[2]]))) AS term
-FROM (SELECT item_id, ['ไข้' || item_id % 3, 'สูง'] AS t FROM benchmark))""")
+#: Letters of the passages as Thai characters, vowels as vowels: some are written before their consonant, some after.
+_LATIN, _THAI = "abcdefghijklmnopqrstuvwxyz", "ากคดเฟงหิจฉลมนโปฐรสตุวฝฎยซ"
+_THAI_SQL = f"""WITH RECURSIVE src AS (SELECT item_id, translate(regexp_replace(lower(text), '[^a-z ]', '', 'g'), '{_LATIN}', '{_THAI}') AS t FROM benchmark),
+words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(t, ' ')) AS w FROM src) WHERE length(w) >= 2 AND length(w) % 5 <> 0),
+runs AS (SELECT item_id, replace(t, ' ', '') AS r FROM src WHERE trim(t) <> ''),
+places AS (SELECT item_id, r, unnest(range(0, length(r) + 1)) AS i FROM runs),
+starts AS (SELECT *, lead(i) OVER (PARTITION BY item_id ORDER BY i) AS j FROM places
+  WHERE i = 0 OR i = length(r) OR (NOT contains('{segment.TRAILING}', substr(r, i + 1, 1)) AND NOT contains('{segment.LEADING}', substr(r, i, 1)))),
+arcs AS (SELECT a.item_id, a.i, list(b.i - a.i) AS ls FROM starts a JOIN starts b ON a.item_id = b.item_id AND b.i > a.i AND b.i - a.i <= (SELECT max(length(w)) FROM words)
+  JOIN words ON w = substr(a.r, a.i + 1, b.i - a.i) GROUP BY ALL),
+steps AS (SELECT p.item_id, p.i, s.j - p.i AS c, ls FROM places p LEFT JOIN starts s USING (item_id, i) LEFT JOIN arcs USING (item_id, i)),
+best AS (SELECT item_id, length(r) AS i, 0::BIGINT AS k, 1::BIGINT << 60 AS u, 0::BIGINT AS l, 0::BIGINT AS c, [0::BIGINT] AS ks, [1::BIGINT << 60] AS us FROM runs
+  UNION ALL SELECT item_id, i, k, u, l, c, list_prepend(k, ks), list_prepend(u, us) FROM (
+    SELECT item_id, i, c, ks, us, coalesce(e // 1000, 1::BIGINT << 60) AS k, 999 - e % 1000 AS l, CASE WHEN c IS NULL THEN 1::BIGINT << 60 ELSE c * 100000 + least(us[c], ks[c] + 1) END AS u FROM (
+      SELECT s.item_id, s.i, s.c, b.ks, b.us, list_min(list_transform(s.ls, lambda x: (1 + least(b.ks[x], b.us[x])) * 1000 + 999 - x)) AS e FROM best b JOIN steps s ON s.item_id = b.item_id AND s.i = b.i - 1))),
+walk AS (SELECT item_id, i, i AS began, k <= u AS known, NULL::VARCHAR AS token FROM best WHERE i = 0
+  UNION ALL SELECT item_id, to_i, CASE WHEN is_known OR next_known THEN to_i ELSE began END, CASE WHEN is_known THEN nk <= nu ELSE next_known END, CASE WHEN is_known OR next_known THEN substr(r, began + 1, to_i - began) END FROM (
+    SELECT w.item_id, w.began, w.known AS is_known, n.i AS to_i, n.k AS nk, n.u AS nu, n.k + 1 <= n.u AS next_known, r.r FROM walk w JOIN best b ON b.item_id = w.item_id AND b.i = w.i
+      JOIN best n ON n.item_id = b.item_id AND n.i = b.i + CASE WHEN w.known THEN b.l ELSE b.c END JOIN runs r ON r.item_id = w.item_id WHERE w.i < length(r.r))),
+tokens AS (SELECT item_id, list(token ORDER BY i) AS t FROM walk WHERE token IS NOT NULL GROUP BY item_id),
+grams AS (SELECT item_id, n, unnest(list_transform(range(1, greatest(len(t) - n + 2, 1)), lambda i: t[i:i + n - 1])) AS g FROM tokens, (SELECT unnest([1, 2, 3, 4]) AS n))
+SELECT DISTINCT item_id, unnest([array_to_string(g, ' '), array_to_string(g, '')]) AS term FROM grams WHERE n > 1 OR length(g[1]) >= 2"""
+
+
+@query(_THAI_SQL)
 def thai_terms(t: Tables) -> DataFrame:
-    tokens = F.array(F.concat(F.lit("ไข้"), (F.col("item_id") % 3).cast("string")), F.lit("สูง"))
-    return t.raw("benchmark").select("item_id", F.explode(T.thai_terms(tokens)).alias("term"))
+    plain = t.raw("benchmark").select("item_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), _LATIN, _THAI).alias("t"))
+    words = plain.select(F.explode(F.split("t", " ")).alias("word")).filter("length(word) >= 2 AND length(word) % 5 <> 0")
+    runs = plain.select("item_id", F.replace("t", F.lit(" "), F.lit("")).alias("text"))
+    return segment.segment(runs, words).select("item_id", F.explode(T.thai_terms("tokens")).alias("term"))
 
 
 @query(with_ctes("src") + "SELECT doc_id, CASE WHEN doc_type = 'patient_record' THEN 'Patient ' || pseudonym ELSE filename END AS label FROM src")
