@@ -248,17 +248,30 @@ def resume_plan(t: Tables) -> DataFrame:
     return graph.resume_plan(_old(t), t.chunks().filter("doc_id % 3 = 0"))
 
 
-@query(with_ctes("entities") + "SELECT entity_id FROM entities WHERE doc_id % 5 <> 0")
-def delete_documents(t: Tables) -> DataFrame:
-    return graph.delete_documents(t.documents().filter("doc_id % 5 = 0"), {"entities": t.entities()})["entities"].select("entity_id")
+def _rows_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kind, id) of what documents, chunks, entities and edges hold."""
+    ids = {"documents": F.col("doc_id").cast("string"), "chunks": F.col("chunk_id"), "entities": F.col("entity_id"), "relations": F.concat_ws(" ", "source_id", "target_id", "relation_type")}
+    return functools.reduce(DataFrame.unionByName, (t.select(F.lit(name).alias("kind"), ids[name].alias("id")) for name, t in tables.items()))
 
 
-@query(with_ctes("relations") + """, dead AS (SELECT entity_id FROM entities WHERE "order" % 2 = 1) SELECT source_id, target_id, relation_type FROM relations WHERE source_id NOT IN (SELECT * FROM dead) AND target_id NOT IN (SELECT * FROM dead)""")
-def delete_chunks(t: Tables) -> DataFrame:
-    return graph.delete_chunks(t.stored("chunks").filter("`order` % 2 = 1"), t.stored("chunks"), t.stored("entities"), t.stored("relations"))[2].select("source_id", "target_id", "relation_type")
+_EDGE_ID = "source_id || ' ' || target_id || ' ' || relation_type"
+
+
+@query(with_ctes("src", "relations") + f"""SELECT 'documents' AS kind, doc_id::VARCHAR AS id FROM src WHERE doc_id % 5 <> 0
+UNION ALL SELECT 'chunks', chunk_id FROM chunks WHERE doc_id % 5 <> 0
+UNION ALL SELECT 'entities', entity_id FROM entities WHERE doc_id % 5 <> 0
+UNION ALL SELECT 'relations', {_EDGE_ID} FROM relations WHERE doc_id % 5 <> 0""")
+def delete_documents(t: Tables) -> DataFrame:
+    tables = {"documents": t.documents(), "chunks": t.stored("chunks"), "entities": t.stored("entities"), "relations": t.stored("relations")}
+    return _rows_of(graph.delete_documents(t.documents().filter("doc_id % 5 = 0"), tables))
 
 
-ORACLES["delete_chunks"] = ORACLES["delete_chunks"].replace(")\n, dead AS", "),\ndead AS", 1)
+@query(with_ctes("relations") + f"""SELECT 'chunks' AS kind, chunk_id AS id FROM chunks WHERE "order" % 2 <> 1
+UNION ALL SELECT 'entities', entity_id FROM entities WHERE "order" % 2 <> 1
+UNION ALL SELECT 'relations', {_EDGE_ID} FROM relations WHERE source_id NOT IN (SELECT entity_id FROM entities WHERE "order" % 2 = 1) AND target_id NOT IN (SELECT entity_id FROM entities WHERE "order" % 2 = 1)""")
+def delete_chunks(t: Tables) -> DataFrame:
+    left = graph.delete_chunks(t.stored("chunks").filter("`order` % 2 = 1"), t.stored("chunks"), t.stored("entities"), t.stored("relations"))
+    return _rows_of(dict(zip(("chunks", "entities", "relations"), left, strict=True)))
 
 
 @query(with_ctes("chunks") + "SELECT chunk_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE text END AS text FROM chunks")

@@ -265,9 +265,44 @@ def document_status(t: Tables) -> DataFrame:
 # --- de-identification
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+')) AS emails, len(regexp_extract_all(text, '\\d{4}-\\d{2}-\\d{2}')) AS iso_dates FROM documents""")
+#: One identifier or two of every rule, and what looks like one; a document gets those whose place its id picks.
+_PLANTED = (
+    "Name: Ann Lee\nMr. John Smith and Dr Ruth Gray\n",
+    "mail ann.lee@example.org, x+y@mail.example.com\n",
+    "1-2345-67890-12-3 and 3 2345 67890 12 3\n",
+    "HN: 12/345, MRN no. A-77, Patient ID: ABC9, ID none\n",
+    "call 02-123-4567 or (212) 555-0188, not 1234567\n",
+    "on 12/3/2024, 2024-01-05, 5 Jan 2024, March 3, 2024, May 2023, not 123/4/2024\n",
+    "3 มกราคม 2567, ๕ ก.พ. พ.ศ. 2566, นายสมชาย ใจดี, นายแพทย์ และ นางสาวมาลี\n",
+    "Address: 12 Long Road\nที่อยู่ 99 หมู่ 4\n",
+)
+
+
+def _pattern_sql(patterns, group: int = 0, digit: bool = False) -> str:
+    """How often patterns are found. This SQL has no look-around: the character beside a number is matched with it, and
+    words that a title is no part of are taken out first."""
+    edge = {f"(?<!{deid.DIGIT})": f"(?:^|[^{deid.DIGIT[1:-1]}])", r"(?<!\d)": "(?:^|[^0-9])", f"(?!{deid.DIGIT})": f"(?:$|[^{deid.DIGIT[1:-1]}])", r"(?!\d)": "(?:$|[^0-9])", "(?!แพทย์)": "", "(?!พยาบาล)": ""}
+
+    def count(pattern: str) -> str:
+        for look, plain in edge.items():
+            pattern = pattern.replace(look, plain)
+        found = f"regexp_extract_all(x, '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
+        return f"len(list_filter({found}, lambda v: regexp_matches(v, '{deid.DIGIT}')))" if digit else f"len({found})"
+
+    return " + ".join(count(p) for p in patterns)
+
+
+_PLANTED_SQL = " || ".join(f"CASE WHEN (doc_id >> {i}) & 1 = 1 THEN '{x}' ELSE '' END" for i, x in enumerate(_PLANTED))
+
+
+@query(f"""WITH t AS (SELECT doc_id, replace(replace({_PLANTED_SQL} || text, 'นายแพทย์', ''), 'นางพยาบาล', '') AS x FROM documents)
+SELECT doc_id, {_pattern_sql([deid.EMAIL])} AS emails, {_pattern_sql([deid.THAI_ID])} + {_pattern_sql(deid.LABELLED_IDS, 1, True)} AS ids, {_pattern_sql(deid.PHONES)} AS phones,
+{_pattern_sql(deid.DATES)} AS dates, {_pattern_sql([deid.ADDRESS])} AS addresses, {_pattern_sql(deid.NAMES)} AS persons FROM t""")
 def deid_pattern_counts(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.regexp_count("text", F.lit(deid.EMAIL)).cast("long").alias("emails"), F.regexp_count("text", F.lit(deid.DATES[1])).cast("long").alias("iso_dates"))
+    planted = (F.when(F.shiftright("doc_id", i).bitwiseAND(F.lit(1)) == 1, x).otherwise("") for i, x in enumerate(_PLANTED))
+    found = t.raw("documents").select("doc_id", deid.pattern_spans(F.concat(*planted, "text")).alias("spans"))
+    kinds = {"emails": "EMAIL", "ids": "ID", "phones": "PHONE", "dates": "DATE", "addresses": "ADDRESS", "persons": "PERSON"}
+    return found.select("doc_id", *((F.size("spans") - F.size(F.array_remove(F.col("spans.kind"), kind))).cast("long").alias(name) for name, kind in kinds.items()))
 
 
 @query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+', '[EMAIL]', 'g'), '(?:\\+1[ -]?)?\\(?\\d{3}\\)?[ -]\\d{3}-\\d{4}', '[PHONE]', 'g')) AS text_sha FROM documents""")
