@@ -11,10 +11,10 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import clean_docs, saved, shared_dir
+from .shared import clean_docs, numbered, saved, shared_dir
 
 SLOTS = 4096
 SHARDS = 8
@@ -39,12 +39,12 @@ def slotted(rows: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFr
     return rows.withColumn("virtual_slot", F.when(F.col("text_hash").isin(heavy), by_id).otherwise(by_text).cast("int"))
 
 
-def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> list[int]:
-    """Bytes of each slot: ``slots`` numbers."""
-    out = [0] * slots
-    for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("n")).collect():
-        out[r["virtual_slot"]] = r["n"]
-    return out
+def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
+    """Bytes and rows of each slot: twice ``slots`` numbers."""
+    sizes, counts = [0] * slots, [0] * slots
+    for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
+        sizes[r["virtual_slot"]], counts[r["virtual_slot"]] = r["bytes"], r["n"]
+    return sizes, counts
 
 
 def first_map(slots: int, shards: int = SHARDS) -> list[int]:
@@ -107,11 +107,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, n
     """
     spark, name = docs.sparkSession, name or uuid.uuid4().hex
     rows = saved(slotted(saved(records(docs), "records"), slots, shards), "slotted")  # texts are read once
-    sizes = slot_bytes(rows, slots)
+    sizes, counts = slot_sizes(rows, slots)
     store_map(spark, name, 1, first_map(slots, shards))
     shard_of = rebalance(spark, name, 1, sizes, shards)
-    counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(shard_of), "virtual_slot")
-    # a window over the map's fixed number of slots, not over rows
-    first = counts.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("n")).select("virtual_slot", "shard", "version", "first")
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1)
-    return numbered.join(F.broadcast(first), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
+    # rows are numbered through all slots by a range sort, which cuts a heavy slot between tasks; what a slot's numbers
+    # are moved by follows from the counts of the map's fixed number of slots
+    moves, before, held = [], 0, [0] * shards
+    for r in shard_of.orderBy("virtual_slot").collect():
+        slot, shard = r["virtual_slot"], r["shard"]
+        moves.append((slot, shard, r["version"], held[shard] - before))
+        before, held[shard] = before + counts[slot], held[shard] + counts[slot]
+    moved = spark.createDataFrame(moves, "virtual_slot int, shard int, version int, move long")
+    placed = numbered(rows, ["virtual_slot", "doc_id", "text_crc32"], "at")
+    return placed.join(F.broadcast(moved), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("move")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
