@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause is read as word classes: what a lexicon of insults, verbs of harm and learned words holds (found by one
-automaton over the text), and cues of intent, target, negation and reported speech. An insult transducer and a threat
-transducer (a verb of harm weighs more after a word of intent) make matches of those, negation and reported-speech
-transducers mark the matches in their scope, and a target transducer marks those near somebody. All are composed into
-one machine; the target transducer also runs from the clause's end, since a target may follow. A logistic layer weighs
-the matched clauses: how many match each pattern, and how heavy they are; single words count for nothing by themselves.
+automaton over the text), and cues of intent, target, negation, reported speech, and of what binds a word into a phrase.
+An insult transducer reads bound constructions (a determiner, copula or intensifier shortly before, or another insult
+in the clause or in one near by) and a threat transducer an intent before a verb of harm; negation and reported-speech transducers
+mark the matches in their scope, and a target transducer marks those near somebody. A last one lets pass what some
+pattern holds, so that a word alone is no match. All are composed into one machine, whose arcs are made as texts reach
+them; a second one runs from the clause's end, since a target or another insult may follow. A logistic layer weighs the
+matched clauses: how many match each pattern, and how heavy they are.
 
 The lexicon starts from a short fixed list and grows by words and word beginnings that tell toxic training documents
 from others (a likelihood-ratio test); the pattern weights are fitted on the same documents. Both use a bounded sample
@@ -19,6 +21,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -45,14 +48,20 @@ CUES = {
     "intent": "will i'll we'll gonna going shall should must want vais va vont werde wirst wird soll voy vas va quiero".split(),
     "target": "you your yours yourself u he she they him her them his their these those people tu vous toi il elle ils du dich dir ihr sie euch er tú usted ustedes él ella ellos".split(),
     "negation": "not no never none nobody isn't aren't wasn't don't didn't won't cannot can't without nor ne pas jamais sans nicht kein keine keinen nie niemals ohne sin nunca jamás ni".split(),
+    "binder": "a an the this that these those such is are was were be being been am i'm you're he's she's they're it's so very really total totally complete utter absolute ein eine einen einem einer der die das den dem ist sind war bist so sehr total un une le la les des est es sont était si très el los las una unos unas son era eres tan muy".split(),
     "speech": "said says say told claimed claims called calls wrote writes quoted reported according dit disait déclaré selon sagte sagt laut behauptet dijo dice según afirmó".split(),
 }
 QUOTES = '"«»“”„'
 
 #: What a word is read as, and what the insult and threat transducers make of it.
-CLASSES = ("other", "insult", "learned", "harm", "intent", "target", "negation", "speech", "quote")
+CLASSES = ("other", "insult", "learned", "harm", "intent", "target", "negation", "speech", "binder", "quote")
 HITS = ("insult", "learned", "threat")
-NEGATED, REPORTED, AIMED = 1, 2, 4
+NEGATED, REPORTED, AIMED, BOUND = 1, 2, 4, 8
+FLAGS = 16
+#: Words after a binder, and between two insults, within which a word of insult is bound.
+BINDS, PAIRS = 3, 40
+#: Clauses with insults that are at most so many clauses apart make a tirade: their insults are bound as well.
+TIRADE = 3
 
 
 @dataclass(frozen=True)
@@ -72,20 +81,24 @@ def machine(alphabet, states, step) -> Transducer:
     return Transducer({(q, s): step(q, s) for q in range(states) for s in alphabet})
 
 
+class _Composed(dict):
+    """Arcs of a composition, made when a text first takes them: of all pairs of states only few are ever met."""
+
+    def __init__(self, a: dict, b: dict):
+        super().__init__()
+        self.a, self.b = a, b
+
+    def __missing__(self, arc: tuple) -> tuple:
+        qa, qb = arc[0] or (0, 0)
+        qa, mid, wa = self.a[qa, arc[1]]
+        qb, out, wb = self.b[qb, mid]
+        self[arc] = made = ((qa, qb), out, wa * wb)
+        return made
+
+
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """What ``a`` emits is read by ``b``; weights multiply. Only states that can be reached are built."""
-    inputs = {s for _, s in a.arcs}
-    number, arcs, todo = {(0, 0): 0}, {}, [(0, 0)]
-    while todo:
-        pair = todo.pop()
-        for s in inputs:
-            qa, mid, wa = a.arcs[pair[0], s]
-            qb, out, wb = b.arcs[pair[1], mid]
-            if (qa, qb) not in number:
-                number[qa, qb] = len(number)
-                todo.append((qa, qb))
-            arcs[number[pair], s] = (number[qa, qb], out, wa * wb)
-    return Transducer(arcs)
+    """What ``a`` emits is read by ``b``; weights multiply."""
+    return Transducer(_Composed(a.arcs, b.arcs))
 
 
 def _scope(cues: tuple[str, ...], length: int, flag: int, weight: float, hits: tuple[str, ...]):
@@ -102,16 +115,27 @@ def _scope(cues: tuple[str, ...], length: int, flag: int, weight: float, hits: t
 
 
 def _insult(state, symbol):
-    """Words of insult are matches as they stand."""
+    """Words of insult are matches, bound ones where a binder or another insult stands before (or after, as the machine
+    from the clause's end has marked)."""
     kind, flags = symbol
-    return 0, ("insult!" if kind == "insult" else "learned!" if kind == "learned" else kind, flags), 1.0
+    bind, pair = divmod(state, PAIRS + 1)
+    left = BINDS if kind == "binder" else max(0, bind - 1)
+    if kind not in ("insult", "learned"):
+        return left * (PAIRS + 1) + max(0, pair - 1), symbol, 1.0
+    return left * (PAIRS + 1) + PAIRS, (f"{kind}!", flags | BOUND if bind or pair else flags), 1.25 if pair else 1.0
 
 
 def _threat(state, symbol):
-    """Verbs of harm are matches: heavy ones within four words after a word of intent."""
+    """Verbs of harm are matches: bound and heavy ones within four words after a word of intent."""
     kind, flags = symbol
     after = 4 if kind == "intent" else max(0, state - 1)
-    return (after, ("threat!", flags), 1.5 if state else 0.75) if kind == "harm" else (after, symbol, 1.0)
+    return (after, ("threat!", flags | BOUND if state else flags), 1.5 if state else 0.75) if kind == "harm" else (after, symbol, 1.0)
+
+
+def _patterned(state, symbol):
+    """A match that no pattern holds is a word like any other."""
+    kind, flags = symbol
+    return 0, (kind.rstrip("!"), flags) if kind.endswith("!") and not flags else symbol, 1.0
 
 
 _MATCHES = tuple(f"{k}!" for k in HITS)
@@ -119,22 +143,23 @@ _MATCHES = tuple(f"{k}!" for k in HITS)
 
 @lru_cache(maxsize=1)
 def grammar() -> tuple[Transducer, Transducer]:
-    """The machine that reads a clause from its end (targets after a match), and the one that reads the result from its
-    beginning: insults, threats, negation, reported speech and targets before a match."""
-    words = [(kind, flags) for kind in CLASSES for flags in (0, AIMED)]
-    marked = [(kind, flags) for kind in (*CLASSES, *_MATCHES) for flags in range(8)]
-    backward = machine(words, 7, _scope(("target",), 6, AIMED, 1.25, ("insult", "learned", "harm")))
-    found = compose(machine(words, 1, _insult), machine(marked, 5, _threat))
+    """The machine that reads a clause from its end (targets and insults after a match), and the one that reads the result
+    from its beginning: insults, threats, negation, reported speech, targets before a match, and what is no pattern."""
+    words = [(kind, flags) for kind in CLASSES for flags in (0, AIMED, BOUND, AIMED | BOUND)]
+    marked = [(kind, flags) for kind in (*CLASSES, *_MATCHES, "threat") for flags in range(FLAGS)]
+    backward = compose(machine(words, 7, _scope(("target",), 6, AIMED, 1.25, ("insult", "learned", "harm"))), machine(words, PAIRS + 1, _scope(("insult", "learned"), PAIRS, BOUND, 1.0, ("insult", "learned"))))
+    found = compose(machine(words, (BINDS + 1) * (PAIRS + 1), _insult), machine(marked, 5, _threat))
     negation = machine(marked, 5, _scope(("negation",), 4, NEGATED, 0.5, _MATCHES))
     speech = machine(marked, 41, _scope(("speech", "quote"), 40, REPORTED, 0.7, _MATCHES))
     target = machine(marked, 7, _scope(("target",), 6, AIMED, 1.25, _MATCHES))
-    return backward, compose(compose(compose(found, negation), speech), target)
+    return backward, compose(compose(compose(compose(found, negation), speech), target), machine(marked, 1, _patterned))
 
 
-def matches(classes: list[str]) -> list[tuple[str, int, float] | None]:
-    """For each word of a clause the match (kind, flags, factor) that the grammar makes of it."""
+def matches(classes: list[str], tirade: bool = False) -> list[tuple[str, int, float] | None]:
+    """For each word of a clause the match (kind, flags, factor) that the grammar makes of it. ``tirade``: a clause near
+    by holds insults too."""
     backward, forward = grammar()
-    back = list(backward.run((c, 0) for c in reversed(classes)))[::-1]
+    back = list(backward.run((c, BOUND if tirade and c in ("insult", "learned") else 0) for c in reversed(classes)))[::-1]
     out = []
     for ((kind, flags), factor), (_, before) in zip(forward.run(symbol for symbol, _ in back), back, strict=True):
         out.append((kind[:-1], flags, factor * before) if kind.endswith("!") else None)
@@ -191,7 +216,7 @@ def hits(text: str, lexicon: Lexicon) -> dict[int, tuple[str, float]]:
 
 
 #: Figures of a document: clauses by what they match, how heavy they are, and how long the text is.
-N_FIGURES = len(HITS) * 8 + 9
+N_FIGURES = len(HITS) * FLAGS + 9
 #: Weights that the heaviest clause is held against.
 HEAVY = (3.0, 8.0, 14.0, 24.0)
 
@@ -199,18 +224,21 @@ HEAVY = (3.0, 8.0, 14.0, 24.0)
 def figures(text: str, lexicon: Lexicon) -> np.ndarray:
     """Figures of the matched clauses of a whole text. A clause ends at a stop, colon or line end, however far."""
     low = text.lower()
-    out, base = np.zeros(N_FIGURES), len(HITS) * 8
+    out, base = np.zeros(N_FIGURES), len(HITS) * FLAGS
     n_words = low.count(" ") + low.count("\n") + 1
     found = hits(low, lexicon)
     weights = []
     if found:
         ends = [m.start() for m in _CLAUSE_END.finditer(low)] + [len(low)]
-        for k in sorted({bisect_left(ends, start) for start in found}):
+        clauses = sorted({bisect_left(ends, start) for start in found})
+        rude = sorted({bisect_left(ends, start) for start, (kind, _) in found.items() if kind != "harm"})
+        tirade = {k for a, b in pairwise(rude) if b - a <= TIRADE for k in (a, b)}
+        for k in clauses:
             words = list(_WORD.finditer(low, ends[k - 1] + 1 if k else 0, ends[k]))
             classes = [found[m.start()][0] if m.start() in found else _cues().get(m.group(), "other") for m in words]
-            made = [(match, found[m.start()][1]) for m, match in zip(words, matches(classes), strict=True) if match]
+            made = [(match, found[m.start()][1]) for m, match in zip(words, matches(classes, k in tirade), strict=True) if match]
             for kind, flags in {(match[0], match[1]) for match, _ in made}:
-                out[HITS.index(kind) * 8 + flags] += 1
+                out[HITS.index(kind) * FLAGS + flags] += 1
             if made:
                 weights.append(sum(match[2] * weight for match, weight in made))
     total, heaviest = sum(weights), max(weights, default=0.0)
@@ -303,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     sample.unpersist()
     if len({r["toxic"] for r in rows}) < 2:  # nothing to learn from: a clause as heavy as two insults makes a text toxic
         weights = np.zeros(N_FIGURES + 1)
-        weights[len(HITS) * 8 + 4], weights[-1] = 6.0, -3.0
+        weights[len(HITS) * FLAGS + 4], weights[-1] = 6.0, -3.0
         return Model(lexicon, np.zeros(N_FIGURES), np.ones(N_FIGURES), weights)
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)
     order = np.lexsort((*x.T, y))  # the same sum in any order of arrival

@@ -19,16 +19,19 @@ def _patterns(text):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("what an idiot", [("insult", 0, 1.0)]),
-        ("you are an idiot", [("insult", tox.AIMED, 1.25)]),
-        ("an idiot you are", [("insult", tox.AIMED, 1.25)]),
-        ("that is not stupid", [("insult", tox.NEGATED, 0.5)]),
-        ("the paper said he was a loser", [("insult", tox.REPORTED | tox.AIMED, 0.875)]),
-        ("I will kill you", [("threat", tox.AIMED, 1.875)]),
+        ("what an idiot", [("insult", tox.BOUND, 1.0)]),
+        ("you are an idiot", [("insult", tox.AIMED | tox.BOUND, 1.25)]),
+        ("an idiot you are", [("insult", tox.AIMED | tox.BOUND, 1.25)]),
+        ("one idiot beside you", [("insult", tox.AIMED, 1.25)]),
+        ("that is not stupid", [("insult", tox.NEGATED | tox.BOUND, 0.5)]),
+        ("the paper said he was a loser", [("insult", tox.REPORTED | tox.AIMED | tox.BOUND, 0.875)]),
+        ("I will kill you", [("threat", tox.AIMED | tox.BOUND, 1.875)]),
         ("you kill him", [("threat", tox.AIMED, 0.938)]),
-        ("a kill", [("threat", 0, 0.75)]),
-        ("he never said I will hurt you", [("threat", tox.NEGATED | tox.REPORTED | tox.AIMED, 0.656)]),
-        ("not one two three four five stupid", [("insult", 0, 1.0)]),
+        ("a kill", []),
+        ("he never said I will hurt you", [("threat", tox.NEGATED | tox.REPORTED | tox.AIMED | tox.BOUND, 0.656)]),
+        ("not one two three four five stupid", []),
+        ("idiot came late", []),
+        ("idiot came with one moron", [("insult", tox.BOUND, 1.0), ("insult", tox.BOUND, 1.25)]),
         ("skilled idiotic trashy", []),
     ],
 )
@@ -40,7 +43,45 @@ def test_scopes_reach_through_a_whole_clause_of_any_length():
     long = "you " + "supercalifragilistic" * 300 + " idiot"
     assert tox.figures(long, SEEDS)[tox.AIMED] > 0  # an aimed insult, over 6,000 characters away
     one, two = tox.figures("idiot " * 5000, SEEDS), tox.figures("idiot. " * 5000, SEEDS)
-    assert one[0] == pytest.approx(0.6931, abs=1e-3) and two[0] == pytest.approx(8.517, abs=1e-2)  # clauses, not words
+    assert one[tox.BOUND] == pytest.approx(0.6931, abs=1e-3) and two[tox.BOUND] == pytest.approx(8.517, abs=1e-2)  # clauses, not words
+
+
+def test_a_word_alone_has_no_figure():
+    calm = tox.figures("some words here. " * 9, SEEDS)[:-1]
+    for text in ("one idiot came. " + "some words here. " * 8, "idiot"):
+        assert not tox.figures(text, SEEDS)[:-1].any() and not calm.any()
+    near, far = ("some idiot came. " + "calm. " * n + "any moron left." for n in (tox.TIRADE - 1, tox.TIRADE))
+    assert tox.figures(near, SEEDS)[tox.BOUND] > 0 and not tox.figures(far, SEEDS)[:-1].any()
+
+
+def _walk(classes):
+    """The patterns by looking around every word, without machines: (kind, flags) of each match."""
+    out = []
+
+    def after(i, kinds, reach):
+        return any(classes[j] in kinds for j in range(max(0, i - reach), i))
+
+    for i, c in enumerate(classes):
+        if c not in ("insult", "learned", "harm"):
+            continue
+        insults, flags = ("insult", "learned"), 0
+        ahead = range(i + 1, min(len(classes), i + 1 + 40))
+        if c == "harm":
+            flags |= tox.BOUND * after(i, ("intent",), 4)
+        else:
+            flags |= tox.BOUND * (after(i, ("binder",), 3) or after(i, insults, 40) or any(classes[j] in insults for j in ahead))
+        flags |= tox.AIMED * (after(i, ("target",), 6) or any(classes[j] == "target" for j in ahead[:6]))
+        flags |= tox.NEGATED * after(i, ("negation",), 4) | tox.REPORTED * after(i, ("speech", "quote"), 40)
+        if flags:
+            out.append(("threat" if c == "harm" else c, flags))
+    return out
+
+
+def test_machines_against_a_walk():
+    rng = random.Random(9)
+    for n in [0, 1, 2, 5, 9, 30, 120] * 60:
+        classes = [rng.choice(tox.CLASSES) if rng.random() < 0.2 else "other" for _ in range(n)]
+        assert [m[:2] for m in filter(None, tox.matches(classes))] == _walk(classes)
 
 
 def test_composition_is_a_product():
