@@ -41,6 +41,8 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 CLASS_TOKENS, REFINE = 1 << 20, 1 << 19
 #: Customers up to which seatings are counted by their recursion; beyond it by closed forms.
 EXACT = 1024
+#: Customers up to which weights are plain products, which stay far from the ends of a double's range.
+FEW = 12
 #: Text bytes of a block; its tokens take several arrays of numbers.
 BLOCK_BYTES = 7 << 20
 #: Text bytes for each bucket of words that are numbered together.
@@ -240,7 +242,7 @@ def log_seatings(d: float, n: int = EXACT) -> np.ndarray:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series, after ten steps up."""
     x = np.asarray(x, dtype=float)
-    down = np.log(x[..., None] + np.arange(10)).sum(axis=-1)
+    down = np.log(np.multiply.reduce([x + i for i in range(10)]))
     z = x + 10
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - down
 
@@ -264,14 +266,16 @@ def _alternating(c: float, t: np.ndarray, d: float) -> np.ndarray:
 
 
 def _saddle(c: float, t: np.ndarray, d: float) -> np.ndarray:
-    low, high = np.full(len(t), -600.0), np.zeros(len(t))
-    for _ in range(60):  # log(1 - x) by halving: x g'(x) / g(x) = c / t falls as 1 - x grows
-        middle = (low + high) / 2
-        y = np.exp(middle)
-        slope = -np.expm1(middle) * d * y ** (d - 1) / -np.expm1(d * middle)
-        low, high = np.where(slope > c / t, middle, low), np.where(slope > c / t, high, middle)
-    y = np.exp((low + high) / 2)
-    x, g = 1 - y, -np.expm1(d * (low + high) / 2)
+    # log(1 - x) by Newton's steps: log of x g'(x) / g(x) falls and is convex, its slope is between d - 1 and half of that,
+    # and the first point is left of where it is log(c / t), so the steps come near from the left, each squaring the rest
+    want = np.log(c / t)
+    low = (want - np.log(d)) / (d - 1)
+    for _ in range(8):
+        one, all_ = -np.expm1(low), -np.expm1(d * low)
+        above = np.log(one / all_) + np.log(d) + (d - 1) * low - want
+        low = low - above / (d - 1 - (1 - one) / one + d * (1 - all_) / all_)
+    y = np.exp(low)
+    x, g = -np.expm1(low), -np.expm1(d * low)
     g1, g2 = d * y ** (d - 1), d * (1 - d) * y ** (d - 2)
     spread = t * x * ((g1 + x * g2) / g - x * (g1 / g) ** 2)
     return log_gamma(c + 1.0) - t * np.log(d) - log_gamma(t + 1.0) + t * np.log(g) - c * np.log(x) - 0.5 * np.log(2 * np.pi * spread)
@@ -285,6 +289,7 @@ def draw_tables(c: np.ndarray, open_weight: np.ndarray, d: float, p, rng: np.ran
     order = order[c[order] >= 2]
     near = order[c[order] <= EXACT]
     table = log_seatings(d)
+    few = np.exp(table[: FEW + 1, : FEW + 1])
     edges = [0, *(np.flatnonzero(np.diff(c[near])) + 1).tolist(), len(near)]
     for a, b in zip(edges, edges[1:], strict=False):
         if b == a:
@@ -294,6 +299,12 @@ def draw_tables(c: np.ndarray, open_weight: np.ndarray, d: float, p, rng: np.ran
         step = max(1, (1 << 19) // n)
         for at in range(a, b, step):
             rows = near[at : min(b, at + step)]
+            if n <= FEW:  # the first factor is the same for all numbers of tables
+                weight = np.empty((n, len(rows)))
+                weight[0] = 1.0
+                np.cumprod(((open_weight[rows, None] + d * i[1:]) * p(rows, i[None, 1:])).T, axis=0, out=weight[1:])
+                out[rows] = 1 + _pick_product(weight * few[n, 1 : n + 1, None], rng)
+                continue
             weight = np.cumsum(np.log((open_weight[rows, None] + d * i) * p(rows, i[None, :])), axis=1) + table[n, 1 : n + 1]
             out[rows] = 1 + _pick(weight, rng)
     for row in order[c[order] > EXACT]:
@@ -307,6 +318,12 @@ def _pick(weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return (total < rng.random(len(weight))[:, None] * total[:, -1:]).sum(axis=1)
 
 
+def _pick_product(weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One row of each column, in proportion to its weight."""
+    total = np.cumsum(weight, axis=0)
+    return (total < rng.random(weight.shape[1]) * total[-1]).sum(axis=0)
+
+
 def _far_tables(c: int, row: int, open_weight: float, d: float, p, rng: np.random.Generator) -> int:
     """Tables of one dish with many customers: the same weights, on points that close in on where the mass lies."""
     rows = np.array([row])
