@@ -11,6 +11,7 @@ are its words' ids in order.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -55,7 +56,13 @@ def words(text: bytes) -> list[bytes]:
         return text.split()
     if text.isascii():
         return text.lower().split()
-    return [w.lower() if w.isascii() else w for w in text.split()]
+    found = text.lower().split()
+    cased = [i for i, w in enumerate(found) if not w.isascii()]
+    if cased:
+        as_is = text.split()
+        for i in cased:
+            found[i] = as_is[i]
+    return found
 
 
 def _encode(vocabulary: str):
@@ -63,7 +70,7 @@ def _encode(vocabulary: str):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
-        last, last_ids = None, np.zeros(0, dtype=np.uint32)
+        last, last_ids = None, []
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
@@ -83,12 +90,14 @@ def _encode(vocabulary: str):
             distinct, counts = _runs(batch.column(0))
             same = bool(distinct) and distinct[0] == last
             found = [e.ids for e in t.encode_batch_fast([w.decode() for w in distinct[same:]], add_special_tokens=False)]
-            ids = ([last_ids] if same else []) + [np.array(x, dtype=np.uint32) for x in found]
+            ids = ([last_ids] if same else []) + found
             if not ids:
                 continue
             last, last_ids = distinct[-1], ids[-1]
-            lengths = np.repeat(np.array([len(x) for x in ids]), counts)
-            flat = np.concatenate([x for x, n in zip(ids, counts, strict=True) for _ in range(n)])
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            once, first = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32), np.cumsum(sizes) - sizes
+            lengths = np.repeat(sizes, counts)
+            flat = once[np.repeat(np.repeat(first, counts) - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
             held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), lengths, flat))
             size += batch.num_rows
             if size >= W.PENDING:
