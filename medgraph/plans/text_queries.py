@@ -370,8 +370,9 @@ UNION ALL SELECT 'removed', p.doc_id::VARCHAR, (SELECT count(*) FROM entities e
 def deid_backfill(t: Tables) -> DataFrame:
     """Every table after the backfill: half of the patients' chunks name a man, whose name their entities hold as well."""
     docs, text = t.documents(), F.when(F.col("order") == 0, F.concat(F.lit("Mr. John Smith. "), "text")).otherwise(F.col("text"))
+    chunks = t.stored("chunks")  # before the entities, which read it
     entities = t.stored("entities").select("entity_id", "doc_id", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Smith "), "name")).otherwise(F.col("name")).alias("name"))
-    after = deid.backfill_graph(docs, t.stored("chunks").withColumn("text", text), entities, t.stored("relations"), docs.filter("doc_id % 8 = 0").select("doc_id", "pseudonym"))
+    after = deid.backfill_graph(docs, chunks.withColumn("text", text), entities, t.stored("relations"), docs.filter("doc_id % 8 = 0").select("doc_id", "pseudonym"))
     rows = lambda table, kind, key, detail: after[table].select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), detail.cast("string").alias("detail"))
     parts = [rows("chunks", "chunk", "chunk_id", F.sha2("text", 256)), rows("entities", "entity", "entity_id", F.lit(None)), rows("relations", "edge", "source_id", F.col("target_id")), rows("pseudonyms", "pseudonym", "doc_id", F.col("pseudonym")), rows("counts", "updated", "doc_id", F.col("chunks_updated")), rows("counts", "removed", "doc_id", F.col("entities_removed"))]
     return functools.reduce(DataFrame.unionByName, parts)
