@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import TOKEN, normalize_term
 from ..sources.scratch import stored
 from ..sources.snapshots import Snapshots
+from .filters import passing
 
 #: Fixed values.
 ENTITY_TYPES = ("symptom", "diagnosis", "treatment", "other")
@@ -166,8 +167,12 @@ def dictionary_entities(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
 def rule_relations(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """A rule (source_term, target_term, relation_type) fires once in each chunk that mentions both, between the last
     mentions. Names are reduced to one row per chunk before they meet, so repeats make no pairs."""
-    ends = rules.select(F.explode(F.array("source_term", "target_term")).alias("normalized_name")).distinct()
-    last = entities.join(ends, "normalized_name", "left_semi").groupBy("doc_id", "chunk_id", "normalized_name").agg(F.max_by("entity_id", F.struct("pos", "n")).alias("id"))
+    # which chunks hold both terms of a rule is settled by names and short hashes, and only their mentions come with ids
+    able = passing(entities, "normalized_name", rules.select(F.explode(F.array("source_term", "target_term")))).withColumn("h", F.xxhash64("chunk_id"))
+    named = able.select("h", "normalized_name").distinct()
+    fired = named.join(rules.withColumnRenamed("source_term", "normalized_name"), "normalized_name").select("h", F.col("target_term").alias("normalized_name")).join(named, ["h", "normalized_name"], "left_semi").select("h")
+    both = passing(able, "h", fired)
+    last = both.groupBy("doc_id", "chunk_id", "normalized_name").agg(F.max_by("entity_id", F.struct("pos", "n")).alias("id"))
     source = last.select("doc_id", "chunk_id", F.col("normalized_name").alias("source_term"), F.col("id").alias("source_id"))
     target = last.select("chunk_id", F.col("normalized_name").alias("target_term"), F.col("id").alias("target_id"))
     return source.join(rules, "source_term").join(target, ["chunk_id", "target_term"]).filter("source_id <> target_id").select("doc_id", "chunk_id", "source_id", "target_id", "source_term", "target_term", "relation_type")

@@ -466,7 +466,7 @@ FROM n u JOIN sources s ON s.question_id = u.conv_id || '/' || u.turn LEFT JOIN
 def chat_messages(t: Tables) -> DataFrame:
     """All messages of each turn that has sources, as text; the conversations are those of the table."""
     raw = t.conversations()
-    ranked = retrieve.retrieve_conversations(retrieve.user_turns(raw), t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.defined_as(), cut=stored)
+    ranked = stored(retrieve.retrieve_conversations(retrieve.user_turns(raw), t.documents(), t.stored("chunks"), t.stored("entities"), t.stored("relations"), t.defined_as(), cut=stored))
     paged = t.stored("chunks").withColumn("page_number", F.floor(F.col("order") / 3) + 1)
     # earlier messages and questions are shown as they stand in the table, without the patient that the view adds
     rows = retrieve.chat_messages(t.raw("conversations"), retrieve.hydrate(ranked, t.documents(), paged), "Use the sources only.")
